@@ -9,6 +9,8 @@ from .common import read_table
 from .mixing import mix_sources
 from .sharding import shard_documents
 from .url_cascade import UrlRule, judge_urls
+from .warc import archive_and_read, resolve_revisits
+from .wavelet import tokenize_to_shards
 
 URL_RULES = [
     UrlRule("allow", "com", "/"),
@@ -19,10 +21,24 @@ URL_RULES = [
 ]
 
 
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = resolve_revisits(archive_and_read(read_table(spark, sf_dir, "pages")))
+    page = lambda c: F.split(c, ":")[2].try_cast("long")
+    rows = facts.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"), "status", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"))
+    return rows.drop("_copy")
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    read = tokenize_to_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -33,6 +49,20 @@ def op10_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), h AS (
+  SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY sha1(body)) AS first FROM p
+), b AS (
+  SELECT *, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * i + 1, 5))::INT >> s) & 31)::BIGINT + 1, 1)), '')), '') AS payload_digest FROM h
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, 'ok' AS status
+FROM b
+"""
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -76,9 +106,11 @@ FROM r
 """
 
 QUERIES = {
+    "op3_warc_segments": op3_warc_segments,
     "op6_url_cascade": op6_url_cascade,
+    "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_mix_sources": op8_mix_sources,
     "op10_shard_interleaved": op10_shard_interleaved,
 }
 
-ORACLES = {"op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES = {"op3_warc_segments": OP3_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL}
