@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontamination import contamination_report
 from .mixing import mix_sources
 from .sharding import shard_documents
 from .url_cascade import UrlRule, judge_urls
@@ -21,6 +22,11 @@ URL_RULES = [
 ]
 
 
+def op1_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = resolve_revisits(archive_and_read(read_table(spark, sf_dir, "pages")))
     page = lambda c: F.split(c, ":")[2].try_cast("long")
@@ -49,6 +55,28 @@ def op10_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS p FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), hit AS (
+  SELECT dw.doc_id, dw.p, dw.n, iw.item_id FROM dw JOIN iw USING (n, g)
+), words AS (
+  SELECT doc_id, count(DISTINCT k)::BIGINT AS n_hit FROM (SELECT DISTINCT doc_id, p, n, unnest(range(p, p + n)) AS k FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 OP3_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body FROM pages
@@ -106,6 +134,7 @@ FROM r
 """
 
 QUERIES = {
+    "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op3_warc_segments": op3_warc_segments,
     "op6_url_cascade": op6_url_cascade,
     "op7_wavelet_tokens": op7_wavelet_tokens,
@@ -113,4 +142,4 @@ QUERIES = {
     "op10_shard_interleaved": op10_shard_interleaved,
 }
 
-ORACLES = {"op3_warc_segments": OP3_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES = {"op1_winnowing_decontamination": OP1_SQL, "op3_warc_segments": OP3_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL}
