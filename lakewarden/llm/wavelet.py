@@ -17,6 +17,7 @@ first; repeated ids stand side by side.  An empty table gives no file.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -41,6 +42,7 @@ MEMO_WORDS = 1_000_000
 MEMO_WORD_BYTES = 64
 GROUP_BYTES = 1 << 20
 SEPARATOR = b"|"
+CLOSING = b".,!?;:&%$#*)\"]}"
 
 
 def stable_split(values: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -213,26 +215,52 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         if self._tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"the vocabulary needs more than {BITS} bits")
+        if hasattr(self._tokenizer.model, "_resize_cache"):  # the memo stands in for it
+            self._tokenizer.model._resize_cache(0)
         self._memo: dict[bytes, bytes] = {}
+        self._cores: dict[bytes, bytes] = {}
         (self._separator_id,) = self._tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode unseen words, thousands in one call: a separator word of one known id keeps them apart."""
-        plain = [w for w in words if SEPARATOR not in w]
-        chunks = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many words, thousands in one call: a separator word of one known id keeps them apart."""
+        chunks = [words[i : i + 4096] for i in range(0, len(words), 4096)]
         texts = [(b" %s " % SEPARATOR).join(c).decode() for c in chunks]
-        for chunk, code in zip(chunks, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        out = []
+        for code in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(code.ids, "<u2")
             cuts = np.flatnonzero(ids == self._separator_id)
             data = ids.tobytes()
-            for word, a, b in zip(chunk, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)], strict=True):
-                self._memo[word] = data[a:b]
-        single = [w for w in words if SEPARATOR in w]
-        for word, code in zip(single, self._tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False), strict=True):
-            self._memo[word] = np.array(code.ids, "<u2").tobytes()
+            out += [data[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)], strict=True)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode unseen words.  Closing punctuation is a token run of its own, so words without
+        it are encoded once and shared."""
+        memo, cores = self._memo, self._cores
+        if len(cores) + len(words) > MEMO_WORDS:
+            cores.clear()
+        odd = [w for w in words if SEPARATOR in w or b"<" in w]
+        plain = list(words.difference(odd))
+        heads = [w.rstrip(CLOSING) for w in plain]
+        tails = [w[len(h) :] for w, h in zip(plain, heads, strict=True)]
+        unseen = list(set(heads).union(tails).difference(cores))
+        cores.update(zip(unseen, self._encode_words(unseen), strict=True))
+        memo.update(zip(plain, [cores[h] + cores[t] for h, t in zip(heads, tails, strict=True)], strict=True))
+        for word, code in zip(odd, self._tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
+            memo[word] = np.array(code.ids, "<u2").tobytes()
+        for part in unseen:
+            if len(part) > MEMO_WORD_BYTES:
+                del cores[part]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """UTF-8 texts -> ids as little-endian uint16."""
+        gc.disable()  # millions of byte strings and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         out, group, size = [], [], 0
         for text in texts:
             group.append(text)
@@ -243,7 +271,8 @@ class WordEncoder:
         return out + self._encode_group(group)
 
     def _encode_group(self, texts: list[bytes]) -> list[bytes]:
-        memo, cut = self._memo, [t.split() for t in texts]
+        # the vocabulary's normaliser lower-cases; only its added tokens, which hold "<", see case
+        memo, cut = self._memo, [(t if b"<" in t else t.lower()).split() for t in texts]
         unseen = set().union(*cut).difference(memo)
         if len(memo) + len(unseen) > MEMO_WORDS:
             memo.clear()
