@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontamination import contamination_report
 from .mixing import mix_sources
+from .quality import resample_report
 from .sharding import shard_documents
 from .url_cascade import UrlRule, judge_urls
 from .warc import archive_and_read, resolve_revisits
@@ -27,6 +28,10 @@ def op1_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = resolve_revisits(archive_and_read(read_table(spark, sf_dir, "pages")))
     page = lambda c: F.split(c, ":")[2].try_cast("long")
@@ -135,6 +140,7 @@ FROM r
 
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
+    "op2_importance_resampling": op2_importance_resampling,
     "op3_warc_segments": op3_warc_segments,
     "op6_url_cascade": op6_url_cascade,
     "op7_wavelet_tokens": op7_wavelet_tokens,
