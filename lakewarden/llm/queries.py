@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import contamination_report
+from .html_mincut import extract_pages
 from .mixing import mix_sources
 from .quality import resample_report
 from .sharding import shard_documents
@@ -39,6 +40,10 @@ def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_copy")
 
 
+def op5_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -142,6 +147,7 @@ QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_importance_resampling": op2_importance_resampling,
     "op3_warc_segments": op3_warc_segments,
+    "op5_html_mincut": op5_html_mincut,
     "op6_url_cascade": op6_url_cascade,
     "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_mix_sources": op8_mix_sources,
