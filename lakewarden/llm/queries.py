@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontamination import contamination_report
 from .html_mincut import extract_pages
+from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .quality import resample_report
 from .sharding import shard_documents
@@ -60,6 +61,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op9_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -143,6 +148,23 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
 FROM r
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN len(w)::VARCHAR || ' ' || array_to_string(w, ' ') ELSE array_to_string(w[p:p + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_importance_resampling": op2_importance_resampling,
@@ -151,7 +173,8 @@ QUERIES = {
     "op6_url_cascade": op6_url_cascade,
     "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_mix_sources": op8_mix_sources,
+    "op9_grouped_prefix_join": op9_grouped_prefix_join,
     "op10_shard_interleaved": op10_shard_interleaved,
 }
 
-ORACLES = {"op1_winnowing_decontamination": OP1_SQL, "op3_warc_segments": OP3_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES = {"op1_winnowing_decontamination": OP1_SQL, "op3_warc_segments": OP3_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_grouped_prefix_join": OP9_SQL}
