@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks, spanning_forest, with_chunks
 from .common import shuffle_width, written
 from .components import connected_components
 from .words import gram_hashes, hashed_words
@@ -287,21 +288,7 @@ def forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     links = (100 * dense.astype(np.int64) >= percent * union) & (dense > 0)
     if sides.any():
         links &= sides[:, None] != sides[None, :]
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*[x.tolist() for x in np.nonzero(np.triu(links, 1))], strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
+    return spanning_forest(m, zip(*[x.tolist() for x in np.nonzero(np.triu(links, 1))], strict=True))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK, max_ranked: int = MAX_RANKED) -> DataFrame:
@@ -327,14 +314,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     under = written(under, "shingle-candidates")
 
     # blocks: a leader's classes in chunks, every chunk with itself and with each other one
-    sizes = under.groupBy("leader").agg(F.count("*").alias("m"))
-    chunked = under.join(sizes, "leader").select("leader", "cls", F.ceil(F.col("m") / block).cast("int").alias("chunks"))
+    chunked = with_chunks(under, "leader", block)
     busy = prefixes.where("kind = 1").join(classes_of, "grp").select(F.concat(F.lit(b"hot"), F.encode(F.col("hot").cast("string"), "UTF-8")).alias("leader"), classes_of["cls"], F.ceil(F.col("df") / block).cast("int").alias("chunks")).distinct() if order.value.df.max(initial=0) > hot else None
     if busy is not None:
-        chunked = chunked.unionByName(busy)
-    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    members = chunked.withColumn("other", other).select("leader", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") > F.col("other"), 1).otherwise(0).alias("side"), "cls")
+        chunked = chunked.select("leader", "cls", "chunks").unionByName(busy)
+    members = in_blocks(chunked, "leader", "cls")
 
     wanted = chunked.select("cls").distinct()
     first = written(facts.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "shingle-representatives")

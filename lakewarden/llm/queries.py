@@ -9,6 +9,7 @@ from .common import read_table
 from .decontamination import contamination_report
 from .html_mincut import extract_pages
 from .jaccard_join import jaccard_components
+from .lattice import near_duplicate_vectors
 from .mixing import mix_sources
 from .quality import resample_report
 from .sharding import shard_documents
@@ -41,6 +42,10 @@ def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_copy")
 
 
+def op4_lattice_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -106,6 +111,21 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM b
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other
+)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN (SELECT a AS vec_id, count(*)::BIGINT AS n FROM link GROUP BY a) USING (vec_id) JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) c USING (vec_id)
+"""
+
 OP6_SQL = r"""
 WITH u AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -169,6 +189,7 @@ QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_importance_resampling": op2_importance_resampling,
     "op3_warc_segments": op3_warc_segments,
+    "op4_lattice_near_dup": op4_lattice_near_dup,
     "op5_html_mincut": op5_html_mincut,
     "op6_url_cascade": op6_url_cascade,
     "op7_wavelet_tokens": op7_wavelet_tokens,
@@ -177,4 +198,4 @@ QUERIES = {
     "op10_shard_interleaved": op10_shard_interleaved,
 }
 
-ORACLES = {"op1_winnowing_decontamination": OP1_SQL, "op3_warc_segments": OP3_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_grouped_prefix_join": OP9_SQL}
+ORACLES = {"op1_winnowing_decontamination": OP1_SQL, "op3_warc_segments": OP3_SQL, "op4_lattice_near_dup": OP4_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_grouped_prefix_join": OP9_SQL}
