@@ -8,7 +8,7 @@ plane, the file answers access(position), rank/count(token), select(token, k)
 and occurrences(token) without unpacking the ids.
 
 Encoding: text is cut at ASCII white space, which no token of the vocabulary's
-pre-tokenizer spans, and each distinct word of a batch is encoded once by the
+pre-tokenizer spans, and a worker encodes each distinct word once, by the
 tokenizers library; ids are the same as for the whole text.
 
 Null and odd input: a null or empty text is its end id alone.  Null ids come
@@ -17,11 +17,12 @@ first; repeated ids stand side by side.  An empty table gives no file.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +39,9 @@ from .files import AtomicFile, read_all
 MAGIC = b"LWWM0001"
 BITS = 16
 BLOCK = 512  # bits a rank entry covers
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1_500_000
 MEMO_WORD_BYTES = 64
-GROUP_BYTES = 1 << 20
-SEPARATOR = b"|"
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 CLOSING = b".,!?;:&%$#*)\"]}"
 
 
@@ -201,8 +201,47 @@ def load_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     return WaveletMatrix(header["tokens"], planes, header["zeros"], np.frombuffer(sections[3], "<u2")), docs, np.frombuffer(sections[2], "<i8")
 
 
+def byte_symbols() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself where it is printable in
+    Latin-1, else the next one from U+0100 on."""
+    spare = iter(range(256, 512))
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
+
+
+class _WordIds(dict):
+    """Word -> its ids as little-endian uint16, through the tokenizers library, each word once.
+
+    A run of lower-case letters a-z and U+00DF-U+00FF is one token run that
+    normalising leaves alone, so the library's model reads it directly; any
+    other word takes the whole path.  Closing punctuation is a run of its own.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self._tokenizer, self._model = tokenizer, tokenizer.model
+        if hasattr(self._model, "_resize_cache"):  # this memo stands in for it
+            self._model._resize_cache(0)
+        self._symbols = dict(enumerate(byte_symbols()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(CLOSING)
+        if LETTERS.fullmatch(word):
+            text = word.decode("latin-1").translate(self._symbols)
+            ids = array("H", [t.id for t in self._model.tokenize(text)]).tobytes()
+        elif core and core != word and b"<" not in word:
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            ids = array("H", self._tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(word) <= MEMO_WORD_BYTES:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """Encodes whole texts word by word through the tokenizers library, each distinct word once.
+    """Encodes whole texts word by word.
 
     Words over MEMO_WORD_BYTES are encoded each time; the memo is emptied at
     MEMO_WORDS entries, so a worker's memory stays bounded.
@@ -212,77 +251,19 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(vocabulary)
-        if self._tokenizer.get_vocab_size() > 1 << BITS:
+        tokenizer = Tokenizer.from_file(vocabulary)
+        if tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"the vocabulary needs more than {BITS} bits")
-        if hasattr(self._tokenizer.model, "_resize_cache"):  # the memo stands in for it
-            self._tokenizer.model._resize_cache(0)
-        self._memo: dict[bytes, bytes] = {}
-        self._cores: dict[bytes, bytes] = {}
-        (self._separator_id,) = self._tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of many words, thousands in one call: a separator word of one known id keeps them apart."""
-        chunks = [words[i : i + 4096] for i in range(0, len(words), 4096)]
-        texts = [(b" %s " % SEPARATOR).join(c).decode() for c in chunks]
-        out = []
-        for code in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(code.ids, "<u2")
-            cuts = np.flatnonzero(ids == self._separator_id)
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(data)], strict=True)]
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode unseen words.  Closing punctuation is a token run of its own, so words without
-        it are encoded once and shared."""
-        memo, cores = self._memo, self._cores
-        if len(cores) + len(words) > MEMO_WORDS:
-            cores.clear()
-        odd = [w for w in words if SEPARATOR in w or b"<" in w]
-        plain = list(words.difference(odd))
-        heads = [w.rstrip(CLOSING) for w in plain]
-        tails = [w[len(h) :] for w, h in zip(plain, heads, strict=True)]
-        unseen = list(set(heads).union(tails).difference(cores))
-        cores.update(zip(unseen, self._encode_words(unseen), strict=True))
-        memo.update(zip(plain, [cores[h] + cores[t] for h, t in zip(heads, tails, strict=True)], strict=True))
-        for word, code in zip(odd, self._tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
-            memo[word] = np.array(code.ids, "<u2").tobytes()
-        for part in unseen:
-            if len(part) > MEMO_WORD_BYTES:
-                del cores[part]
+        self._ids = _WordIds(tokenizer)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """UTF-8 texts -> ids as little-endian uint16."""
-        gc.disable()  # millions of byte strings and no cycles
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= GROUP_BYTES:
-                out += self._encode_group(group)
-                group, size = [], 0
-        return out + self._encode_group(group)
-
-    def _encode_group(self, texts: list[bytes]) -> list[bytes]:
-        # the vocabulary's normaliser lower-cases; only its added tokens, which hold "<", see case
-        memo, cut = self._memo, [(t if b"<" in t else t.lower()).split() for t in texts]
-        unseen = set().union(*cut).difference(memo)
-        if len(memo) + len(unseen) > MEMO_WORDS:
-            memo.clear()
-            unseen = set().union(*cut)
-        self._learn(unseen)
-        out = [b"".join([memo[w] for w in words]) for words in cut]
-        for word in unseen:
-            if len(word) > MEMO_WORD_BYTES:
-                del memo[word]
-        return out
+        """UTF-8 texts -> ids as little-endian uint16.
+
+        The vocabulary's normaliser lower-cases; only its added tokens, which
+        hold "<", see case.
+        """
+        find = self._ids.__getitem__
+        return [b"".join(map(find, (t if b"<" in t else t.lower()).split())) for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
