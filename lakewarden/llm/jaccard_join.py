@@ -44,7 +44,7 @@ from .common import shuffle_width, written
 from .components import connected_components
 from .words import gram_hashes, hashed_words
 
-MAX_RANKED = 4_000_000
+MAX_RANKED = 2_000_000
 HOT = 50_000
 BLOCK = 512
 #: Documents whose ids are broadcast to pick the texts that need verifying; beyond it they are joined.
@@ -144,7 +144,7 @@ class Order:
 
     def __init__(self, tokens: np.ndarray, df: np.ndarray, bits: int):
         self.tokens, self.bits, self.df = tokens, bits, df
-        self.weight = np.minimum(1 + np.log2(np.maximum(df, 1)) * 8, 255).astype(np.uint64)
+        self.weight = np.minimum(1 + np.log2(np.maximum(df, 1)) * 8, 255).astype(np.uint8)
 
     @classmethod
     def of(cls, counts: DataFrame, bits: int, most: int) -> Order:
@@ -154,10 +154,11 @@ class Order:
             if by_df[d] > room:
                 break
             least, room = d, room - by_df[d]
-        hot = counts.where(F.col("df") >= least).toPandas()
-        key = (hot["span"].to_numpy(np.uint64) << np.uint64(32)) | hot["low"].to_numpy(np.uint64)
+        key = F.shiftleft(F.col("span").cast("long"), 32).bitwiseOR(F.col("low"))
+        hot = counts.where(F.col("df") >= least).select(key.alias("key"), F.col("df").cast("int").alias("df")).toArrow()  # `most` rows at most
+        key = hot.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        return cls(key[order], hot["df"].to_numpy(np.int64)[order], bits)
+        return cls(key[order], hot.column("df").to_numpy()[order], bits)
 
     def find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = shingles >> np.uint64(32 - self.bits)
@@ -172,7 +173,7 @@ class Order:
         if not len(self.tokens):
             chosen = np.arange(size)
             return shingles[chosen], np.ones(size, np.int64)
-        rank = np.where(known, self.weight[at], np.uint64(0))
+        rank = np.where(known, self.weight[at], 0).astype(np.uint64)
         key = (rank << np.uint64(56)) | (shingles >> np.uint64(8))
         chosen = np.argpartition(key, size - 1)[:size] if size < len(key) else np.arange(len(key))
         return shingles[chosen], np.where(known, self.df[at], 1)[chosen]

@@ -103,8 +103,9 @@ class QualityModel:
         marked = docs.join(F.broadcast(sample.where("good AND NOT held").select("l_id", "good")), docs[id_col] == F.col("l_id"), "left")
         counts = count_features(marked.select(docs[text_col].cast("binary").alias("text"), F.coalesce("good", F.lit(False)).alias("target")))
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        found = counts.toPandas()  # BUCKETS rows at most
-        raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
+        found = counts.toArrow()  # BUCKETS rows at most
+        bucket = found.column("bucket").to_numpy()
+        raw[bucket], target[bucket] = found.column("raw").to_numpy(), found.column("target").to_numpy()
         self.ratios = log_ratios(raw, target, p.pseudo, p.dead_zone).astype(np.float32)
         self._shared = spark.sparkContext.broadcast(self.ratios)
         self.weights = written(docs.select(F.col(id_col).alias("doc_id"), self.log_weight().alias("log_weight")), "quality-weights")
