@@ -90,7 +90,7 @@ def _below(ordered: np.ndarray, bits: int) -> np.ndarray:
 
 def _pack_counts(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Facts of each document (kind 0), then the task's shingle counts by range (kind 1)."""
-    names = ["kind", "doc_id", "cls", "n", "span", "tokens", "counts"]
+    names = ["kind", "doc_id", "text_hash", "cls", "n", "span", "tokens", "counts"]
     seen: set[bytes] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -102,7 +102,7 @@ def _pack_counts(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterat
         few = np.minimum(counts, 0xFFFF).astype(np.uint16)
         m = len(spans)
         return pa.RecordBatch.from_arrays(
-            [pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(spans.astype(np.int32)), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary()), pa.array([few[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary())],
+            [pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(spans.astype(np.int32)), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary()), pa.array([few[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary())],
             names,
         )
 
@@ -121,7 +121,7 @@ def _pack_counts(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterat
                 yield flush()
                 held, size = [], 0
         m = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), ids.cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), ids.cast(pa.int64()), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
     if held:
         yield flush()
 
@@ -293,18 +293,19 @@ def forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK, max_ranked: int = MAX_RANKED) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, text_hash, n_shingles, component_id."""
     spark = docs.sparkSession
     spans = _ranges(spark)
     bits = spans.bit_length() - 1
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
-    packed = texts.mapInArrow(lambda batches: _pack_counts(batches, n, bits), "kind int, doc_id long, cls binary, n long, span int, tokens binary, counts binary")
+    packed = texts.mapInArrow(lambda batches: _pack_counts(batches, n, bits), "kind int, doc_id long, text_hash long, cls binary, n long, span int, tokens binary, counts binary")
     packed = written(packed, "shingle-counts")
-    facts = packed.where("kind = 0").select("doc_id", "cls", "n")
+    facts = packed.where("kind = 0").select("doc_id", "text_hash", "cls", "n")
     counts = written(packed.where("kind = 1").select("span", "tokens", "counts").groupBy("span").applyInArrow(_add_counts, "span int, low long, df long"), "shingle-frequencies")
     order = spark.sparkContext.broadcast(Order.of(counts, bits, max_ranked))
 
+    texts = texts.select("doc_id", "text")
     prefixes = texts.mapInArrow(lambda batches: _pack_prefixes(batches, n, bits, percent, order.value, hot), "kind int, span int, tokens binary, grp binary, hot long, df long, cls binary")
     prefixes = written(prefixes, "shingle-prefixes")
     led = prefixes.where("kind = 0").select("span", "tokens", "grp").groupBy("span").applyInArrow(_lead, "leader binary, grp binary").distinct()
@@ -352,4 +353,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     whole = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = whole.join(least, "component").select("cls", "component_id")
-    return facts.join(labelled, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return facts.join(labelled, "cls", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, that of the least id, all columns kept; documents without words stay.
+
+    Removed documents are found by id and text.  Repeated rows of a kept id are reduced to one.
+    """
+    labelled = written(jaccard_components(docs, id_col=id_col, text_col=text_col, **options), "near-duplicates")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    removed = labelled.where((F.col("n_shingles") > 0) & ~kept).select(F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_hash")).distinct()
+    repeated = labelled.where((F.col("n_shingles") > 0) & kept & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d_id"))
+    side = F.broadcast(removed) if removed.count() <= MAX_BROADCAST_IDS else removed
+    own_id, own_hash = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    left = docs.join(side, own_id.eqNullSafe(F.col("_r_id")) & (own_hash == F.col("_r_hash")), "left_anti")
+    if repeated.limit(1).count() == 0:
+        return left
+    once = left.join(repeated, own_id == F.col("_d_id"), "left_semi").dropDuplicates([id_col])
+    return left.join(repeated, own_id == F.col("_d_id"), "left_anti").unionByName(once)

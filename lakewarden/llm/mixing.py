@@ -101,27 +101,43 @@ def find_thresholds(sized: DataFrame, budgets: dict[str | None, float]) -> dict[
     return done
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_cycle: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 8) -> DataFrame:
+class MixPlan:
+    """What the mix takes of each source: sizes are counted in one pass and written; plan() is a row per source."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_cycle: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 8):
+        self._id, self._source, self._seed = id_col, source_col, seed
+        self.sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), self._hash().alias("h")), "mix-sizes")
+        totals = self.sized.groupBy("source").agg(F.sum("size").alias("n"))
+        found = [(r["source"], r["n"]) for r in totals.limit(MAX_SOURCES + 1).collect()]
+        if len(found) > MAX_SOURCES:
+            raise ValueError(f"over {MAX_SOURCES} sources")
+        sizes = sorted(found, key=lambda x: (x[0] is None, x[0] or ""))
+        weights = [weight_cycle[i % len(weight_cycle)] for i in range(len(sizes))]
+        targets = share_targets(sizes, weights, cap)
+        copies = [min(int(t // n), int(cap)) if n else 0 for t, (_, n) in zip(targets, sizes, strict=True)]
+        cuts = find_thresholds(self.sized, {s: t - c * n for t, c, (s, n) in zip(targets, copies, sizes, strict=True)})
+        self.cuts = [SourceCut(s, n, t, c, cuts[s] if c < cap else 0) for (s, n), t, c in zip(sizes, targets, copies, strict=True)]
+
+    def _hash(self) -> Column:
+        return hash60(F.lit(self._seed), F.coalesce(F.col(self._id).cast("string"), F.lit("null")))
+
+    def with_copies(self, rows: DataFrame, source: Column, h: Column) -> DataFrame:
+        """rows with _size, _target (of their source) and _copies; a broadcast of a row per source, at most MAX_SOURCES."""
+        plan = rows.sparkSession.createDataFrame([(c.source, c.size, c.target, c.copies, c.threshold) for c in self.cuts], "_source string, _size long, _target double, _base int, _threshold long")
+        joined = rows.join(F.broadcast(plan), source.eqNullSafe(F.col("_source")))
+        return joined.withColumn("_copies", (F.col("_base") + (h < F.col("_threshold")).cast("int")).cast("long")).drop("_source", "_base", "_threshold")
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target (the source's), copies, taken."""
-    spark = docs.sparkSession
-    sized = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), hash60(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("h")),
-        "mix-sizes",
-    )
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n"))
-    found = [(r["source"], r["n"]) for r in totals.limit(MAX_SOURCES + 1).collect()]
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    sizes = sorted(found, key=lambda x: (x[0] is None, x[0] or ""))
-    weights = [weight_cycle[i % len(weight_cycle)] for i in range(len(sizes))]
-    targets = share_targets(sizes, weights, cap)
-    copies = [min(int(t // n), int(cap)) if n else 0 for t, (_, n) in zip(targets, sizes, strict=True)]
-    cuts = find_thresholds(sized, {s: t - c * n for t, c, (s, n) in zip(targets, copies, sizes, strict=True)})
-    plan = [(s, n, t, c, cuts[s] if c < cap else 0) for (s, n), t, c in zip(sizes, targets, copies, strict=True)]
-    cut = spark.createDataFrame(plan, "c_source string, source_size long, target double, base int, threshold long")
-    copies_of = (F.col("base") + (F.col("h") < F.col("threshold")).cast("int")).cast("long")
-    return (
-        # one row per source, at most MAX_SOURCES
-        sized.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("c_source")))
-        .select("doc_id", "source", "size", "source_size", "target", copies_of.alias("copies"), (F.col("size") * copies_of).alias("taken"))
-    )
+    plan = MixPlan(docs, **options)
+    placed = plan.with_copies(plan.sized, F.col("source"), F.col("h"))
+    return placed.select("doc_id", "source", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("size") * F.col("_copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, all columns kept; texts are not shuffled."""
+    plan = MixPlan(docs, **options)
+    placed = plan.with_copies(docs, F.col(plan._source).cast("string"), plan._hash())
+    repeated = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1)).cast("int")))).where("_copies > 0")
+    return repeated.select(docs.columns)
