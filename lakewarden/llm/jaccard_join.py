@@ -6,10 +6,10 @@ first; two sets of similarity t or more share a shingle among the first
 n - ceil(t n) + 1 of each (their prefixes), so only classes that share a prefix
 shingle are compared:
 
-1. Document frequencies: each task counts its classes' shingles and sends one
-   packed array for each hash range; a range's reducer adds them up.  The
-   hottest MAX_RANKED shingles make the order (all others count as rare); any
-   common order is correct, a better one only leaves fewer candidates.
+1. Document frequencies: each task sends its classes' shingles as one packed
+   array for each hash range; a range's reducer counts them.  The
+   hottest MAX_RANKED shingles and a sieve of those that occur again make the
+   order; any common order is correct, a better one only leaves fewer candidates.
 2. Prefixes are packed and sent by hash range likewise.  Classes with identical
    prefixes and size are collapsed there into one group; of each shingle's groups
    the one of least identifier leads, and (leader, group) pairs are kept: every
@@ -44,8 +44,10 @@ from .common import shuffle_width, written
 from .components import connected_components
 from .words import gram_hashes, hashed_words
 
-MAX_RANKED = 2_000_000
+MAX_RANKED = 1_000_000
 HOT = 50_000
+SIEVE_BITS = 27
+PREFIX_SCHEMA = "kind int, span int, tokens binary, groups binary, grp long, hot long, df long, cls binary, doc_id long, text_hash long, n long"
 BLOCK = 512
 #: Documents whose ids are broadcast to pick the texts that need verifying; beyond it they are joined.
 MAX_BROADCAST_IDS = 1_000_000
@@ -88,67 +90,65 @@ def _below(ordered: np.ndarray, bits: int) -> np.ndarray:
     return ((ordered << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _pack_counts(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Facts of each document (kind 0), then the task's shingle counts by range (kind 1)."""
-    names = ["kind", "doc_id", "text_hash", "cls", "n", "span", "tokens", "counts"]
+def _pack_shingles(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of a task's classes by hash range, once for each class that has them."""
     seen: set[bytes] = set()
     held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        tokens = np.sort(np.concatenate(held))
         cuts, low = _slices(tokens, bits), _below(tokens, bits)
         spans = np.flatnonzero(np.diff(cuts))
-        few = np.minimum(counts, 0xFFFF).astype(np.uint16)
-        m = len(spans)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(spans.astype(np.int32)), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary()), pa.array([few[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary())],
-            names,
-        )
+        return pa.RecordBatch.from_arrays([pa.array(spans.astype(np.int32)), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary())], ["span", "tokens"])
 
     for batch in batches:
-        ids, keys, sizes = batch.column(0), [], []
-        for text in batch.column(1):
+        for text in batch.column(0):
             shingles = shingle_set(text.as_py(), n)
-            key = set_key(shingles)
-            keys.append(key)
-            sizes.append(len(shingles))
-            if len(shingles) and key not in seen:
-                seen.add(key)
-                held.append(shingles)
-                size += len(shingles)
+            if not len(shingles) or (key := set_key(shingles)) in seen:
+                continue
+            seen.add(key)
+            held.append(shingles)
+            size += len(shingles)
             if size > 4_000_000:
                 yield flush()
                 held, size = [], 0
-        m = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), ids.cast(pa.int64()), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
     if held:
         yield flush()
 
 
-def _add_counts(table: pa.Table) -> pa.Table:
-    """One range's packed counts -> its shingles (32 bits below the range's) with two classes or more."""
-    tokens = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("tokens")])
-    counts = np.concatenate([np.frombuffer(b.as_py(), np.uint16) for b in table.column("counts")])
-    order = np.argsort(tokens, kind="stable")
-    tokens, counts = tokens[order], counts[order]
+def _add_counts(table: pa.Table, bits: int, sieve_bits: int) -> pa.Table:
+    """One range's packed shingles -> a row for each of three classes or more (the 32 bits below the
+    range's, and their number), and one row with the range's part of the sieve: a bit for each of two or more."""
+    tokens = np.sort(np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("tokens")]))
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    total = np.add.reduceat(counts.astype(np.int64), first)
-    many = total >= 2
+    total = np.diff(np.concatenate((first, [len(tokens)])))
+    sieve = np.zeros(1 << (sieve_bits - bits), bool)
+    sieve[tokens[first][total >= 2] >> np.uint32(32 - (sieve_bits - bits))] = True
+    many = total >= 3
     found = tokens[first][many].astype(np.int64)
-    return pa.table({"span": pa.array(np.full(len(found), table.column("span")[0].as_py(), np.int32)), "low": pa.array(found), "df": pa.array(total[many])})
+    span = table.column("span")[0].as_py()
+    return pa.table({
+        "span": pa.array(np.full(len(found) + 1, span, np.int32)), "low": pa.array([None, *found.tolist()], pa.int64()), "df": pa.array([None, *total[many].tolist()], pa.int64()),
+        "sieve": pa.array([np.packbits(sieve).tobytes(), *[None] * len(found)], pa.binary()),
+    })
 
 
 class Order:
-    """Ranks of the hottest shingles, as sorted arrays that every worker gets: MAX_RANKED entries at most."""
+    """The global order of shingles, the same in every worker and of bounded size.
+
+    Rare first: shingles outside the sieve, then those in it, then the ranked
+    ones by frequency.  The sieve has 2 ** sieve_bits bits however many shingles
+    there are; one that is in it by chance is in it for every document.
+    """
 
-    def __init__(self, tokens: np.ndarray, df: np.ndarray, bits: int):
-        self.tokens, self.bits, self.df = tokens, bits, df
-        self.weight = np.minimum(1 + np.log2(np.maximum(df, 1)) * 8, 255).astype(np.uint8)
+    def __init__(self, tokens: np.ndarray, df: np.ndarray, sieve: np.ndarray, bits: int, sieve_bits: int):
+        self.tokens, self.df, self.sieve, self.bits, self.sieve_bits = tokens, df, sieve, bits, sieve_bits
+        self.weight = np.minimum(2 + np.log2(np.maximum(df, 1)) * 8, 255).astype(np.uint8)
 
     @classmethod
-    def of(cls, counts: DataFrame, bits: int, most: int) -> Order:
-        by_df = {r["d"]: r["n"] for r in counts.groupBy(F.least("df", F.lit(100_000)).alias("d")).agg(F.count("*").alias("n")).collect()}  # 100,000 rows at most
+    def of(cls, counts: DataFrame, bits: int, sieve_bits: int, most: int) -> Order:
+        by_df = {r["d"]: r["n"] for r in counts.where("df IS NOT NULL").groupBy(F.least("df", F.lit(100_000)).alias("d")).agg(F.count("*").alias("n")).collect()}  # 100,000 rows at most
         least, room = 100_001, most
         for d in sorted(by_df, reverse=True):
             if by_df[d] > room:
@@ -158,105 +158,128 @@ class Order:
         hot = counts.where(F.col("df") >= least).select(key.alias("key"), F.col("df").cast("int").alias("df")).toArrow()  # `most` rows at most
         key = hot.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        return cls(key[order], hot.column("df").to_numpy()[order], bits)
+        part = 1 << (sieve_bits - bits - 3)
+        sieve = np.zeros(part << bits, np.uint8)
+        for r in counts.where("sieve IS NOT NULL").select("span", "sieve").toLocalIterator():  # 2 ** (sieve_bits - 3) bytes in all
+            sieve[r["span"] * part : (r["span"] + 1) * part] = np.frombuffer(r["sieve"], np.uint8)
+        return cls(key[order], hot.column("df").to_numpy()[order], sieve, bits, sieve_bits)
 
     def find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = shingles >> np.uint64(32 - self.bits)
-        at = np.searchsorted(self.tokens, key)
-        at[at == len(self.tokens)] = 0
-        known = self.tokens[at] == key if len(self.tokens) else np.zeros(len(key), bool)
-        return at, known
-
-    def prefix(self, shingles: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first `size` shingles of the order, and how many classes have each as far as it is ranked."""
-        at, known = self.find(shingles)
+        """Which shingles are in the sieve, and the place of each of those among the ranked ones, or -1."""
+        at = (shingles >> np.uint64(64 - self.sieve_bits)).astype(np.int64)
+        inside = np.flatnonzero((self.sieve[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
         if not len(self.tokens):
-            chosen = np.arange(size)
-            return shingles[chosen], np.ones(size, np.int64)
-        rank = np.where(known, self.weight[at], 0).astype(np.uint64)
-        key = (rank << np.uint64(56)) | (shingles >> np.uint64(8))
-        chosen = np.argpartition(key, size - 1)[:size] if size < len(key) else np.arange(len(key))
-        return shingles[chosen], np.where(known, self.df[at], 1)[chosen]
+            return inside, np.full(len(inside), -1, np.int64)
+        key = shingles[inside] >> np.uint64(32 - self.bits)
+        place = np.searchsorted(self.tokens, key)
+        place[place == len(self.tokens)] = 0
+        return inside, np.where(self.tokens[place] == key, place, -1)
+
+    def prefixes(self, sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each set the first shingles of the order, and how many classes have each as far as it is ranked."""
+        joined = np.concatenate(sets)
+        inside, place = self.find(joined)
+        rank = np.ones(len(inside), np.uint64)
+        ranked = place >= 0
+        rank[ranked] = self.weight[place[ranked]]
+        key = joined >> np.uint64(8)
+        key[inside] |= rank << np.uint64(56)
+        df = np.ones(len(joined), np.int64)
+        df[inside[ranked]] = self.df[place[ranked]]
+        out, start = [], 0
+        for s in sets:
+            end = start + len(s)
+            size = prefix_size(len(s), percent)
+            chosen = np.argpartition(key[start:end], size - 1)[:size] if size < len(s) else np.arange(len(s))
+            out.append((s[chosen], df[start:end][chosen]))
+            start = end
+        return out
 
 
 def _pack_prefixes(batches: Iterator[pa.RecordBatch], n: int, bits: int, percent: int, order: Order, hot: int) -> Iterator[pa.RecordBatch]:
-    """Prefixes by hash range (hot = null), and classes of hot shingles one by one (hot = the shingle)."""
+    """kind 0: prefixes by hash range, packed as 32-bit shingles and 64-bit groups; kind 1: groups of
+    hot shingles, one by one; kind 2: the classes of groups; kind 3: facts of each document.
+
+    Narrow numbers are safe: two shingles or groups taken for one add candidates, which are verified.
+    """
     seen: set[bytes] = set()
-    tokens: list[np.ndarray] = []
-    groups: list[bytes] = []
-    owners: list[int] = []
-    hots: list[tuple[int, bytes, int]] = []
-    members: list[tuple[bytes, bytes]] = []
+    facts: list[tuple] = []
+    waiting: list[tuple[bytes, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
+        sets = [s for _, s in waiting]
+        tokens, groups, hots, members = [], [], [], []
+        for (key, shingles), (chosen, df) in zip(waiting, order.prefixes(sets, percent) if sets else [], strict=True):
+            # the group: an identical prefix and size
+            group = xxhash.xxh3_64_intdigest(np.sort(chosen).tobytes() + len(shingles).to_bytes(8, "little"))
+            members.append((group, key))
+            busy = df > hot
+            hots += [(int(t), group, int(d)) for t, d in zip(chosen[busy].view(np.int64), df[busy], strict=True)]
+            tokens.append(chosen[~busy])
+            groups.append(group)
         joined = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        own = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]) if tokens else np.zeros(0, np.int64)
+        own = np.repeat(np.array(groups, np.uint64), [len(t) for t in tokens]) if tokens else np.zeros(0, np.uint64)
         by = np.argsort(joined, kind="stable")
         joined, own = joined[by], own[by]
-        cuts = _slices(joined, bits)
-        spans = np.flatnonzero(np.diff(cuts))
-        keys = np.frombuffer(b"".join(groups), "V16") if groups else np.zeros(0, "V16")
-        m, h, g = len(spans), len(hots), len(members)
+        cuts, low = _slices(joined, bits), _below(joined, bits)
+        spans = np.flatnonzero(np.diff(cuts)).tolist()
+        m, h, g, f = len(spans), len(hots), len(members), len(facts)
+        signed = lambda x: int(np.uint64(x).astype(np.int64))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([0] * m + [1] * h + [2] * g, pa.int32()),
-                pa.array(spans.tolist() + [None] * (h + g), pa.int32()),
-                pa.array([joined[cuts[s] : cuts[s + 1]].tobytes() for s in spans] + [None] * (h + g), pa.binary()),
-                pa.array([keys[own[cuts[s] : cuts[s + 1]]].tobytes() for s in spans] + [x[1] for x in hots] + [x[0] for x in members], pa.binary()),
-                pa.array([None] * m + [int(np.int64(np.uint64(x[0]))) for x in hots] + [None] * g, pa.int64()),
-                pa.array([None] * m + [x[2] for x in hots] + [None] * g, pa.int64()),
-                pa.array([None] * (m + h) + [x[1] for x in members], pa.binary()),
+                pa.array([0] * m + [1] * h + [2] * g + [3] * f, pa.int32()),
+                pa.array(spans + [None] * (h + g + f), pa.int32()),
+                pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in spans] + [None] * (h + g + f), pa.binary()),
+                pa.array([own[cuts[s] : cuts[s + 1]].tobytes() for s in spans] + [None] * (h + g + f), pa.binary()),
+                pa.array([None] * m + [signed(x[1]) for x in hots] + [signed(x[0]) for x in members] + [None] * f, pa.int64()),
+                pa.array([None] * m + [x[0] for x in hots] + [None] * (g + f), pa.int64()),
+                pa.array([None] * m + [x[2] for x in hots] + [None] * (g + f), pa.int64()),
+                pa.array([None] * (m + h) + [x[1] for x in members] + [x[2] for x in facts], pa.binary()),
+                pa.array([None] * (m + h + g) + [x[0] for x in facts], pa.int64()),
+                pa.array([None] * (m + h + g) + [x[1] for x in facts], pa.int64()),
+                pa.array([None] * (m + h + g) + [x[3] for x in facts], pa.int64()),
             ],
-            ["kind", "span", "tokens", "grp", "hot", "df", "cls"],
+            [c.split()[0] for c in PREFIX_SCHEMA.split(", ")],
         )
 
     for batch in batches:
-        for text in batch.column(1):
+        for doc_id, text, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             shingles = shingle_set(text.as_py(), n)
-            if not len(shingles):
-                continue
             key = set_key(shingles)
-            if key in seen:
-                continue
-            seen.add(key)
-            chosen, df = order.prefix(shingles, prefix_size(len(shingles), percent))
-            chosen_sorted = np.sort(chosen)
-            # the group: an identical prefix and size
-            group = xxhash.xxh3_128_digest(chosen_sorted.tobytes() + len(shingles).to_bytes(8, "little"))
-            members.append((group, key))
-            busy = df > hot
-            hots += [(int(t), group, int(d)) for t, d in zip(chosen[busy].view(np.int64), df[busy], strict=True)]
-            tokens.append(chosen[~busy])
-            groups.append(group)
-            size += len(chosen)
-            if size > 1_000_000:
+            facts.append((doc_id, text_hash, key, len(shingles)))
+            if len(shingles) and key not in seen:
+                seen.add(key)
+                waiting.append((key, shingles))
+                size += len(shingles)
+            if size > 4_000_000 or len(facts) > 50_000:
                 yield flush()
-                tokens, groups, hots, members, size = [], [], [], [], 0
-    if tokens or hots or members:
+                facts, waiting, size = [], [], 0
+    if facts:
         yield flush()
 
 
 def _lead(table: pa.Table) -> pa.Table:
     """One range's packed prefixes -> distinct (leader, group): each shingle's groups under the least of them."""
-    tokens = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("tokens")])
-    raw = b"".join(b.as_py() for b in table.column("grp"))
-    keys = np.frombuffer(raw, ">u8").reshape(-1, 2).astype(np.uint64)
-    order = np.lexsort((keys[:, 1], keys[:, 0], tokens))
-    tokens, keys = tokens[order], keys[order]
-    if len(tokens):
-        # copies of a group from several tasks are one
-        fresh = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1]).any(1)))
-        tokens, keys = tokens[fresh], keys[fresh]
-    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
-    length = np.diff(np.concatenate((first, [len(tokens)])))
-    start = np.repeat(first, length)
-    shared = np.repeat(length, length) >= 2
-    pairs = np.concatenate((keys[start][shared], keys[shared]), axis=1)
+    tokens = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("tokens")])
+    groups = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("groups")])
+    # only shingles that occur again are worth sorting by group
+    order = np.argsort(tokens, kind="stable")
+    tokens, groups = tokens[order], groups[order]
+    same = tokens[1:] == tokens[:-1]
+    again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    tokens, groups = tokens[again], groups[again]
+    order = np.lexsort((groups, tokens))
+    tokens, groups = tokens[order], groups[order]
+    starts = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, bool)
+    leader = groups[np.maximum.accumulate(np.where(starts, np.arange(len(tokens)), 0))] if len(tokens) else groups
+    # a group sent by several tasks leads itself alone; such runs are dropped
+    differs = np.flatnonzero(groups != leader)
+    leads = np.unique(leader[differs])
+    pairs = np.stack((np.concatenate((leader[differs], leads)), np.concatenate((groups[differs], leads))), 1)
     pairs = pairs[np.lexsort(pairs.T[::-1])]
     pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
-    pack = lambda part: [row.tobytes() for row in np.ascontiguousarray(part).astype(">u8")]
-    return pa.table({"leader": pa.array(pack(pairs[:, :2]), pa.binary()), "grp": pa.array(pack(pairs[:, 2:]), pa.binary())})
+    return pa.table({"leader": pa.array(pairs[:, 0].astype(np.int64)), "grp": pa.array(pairs[:, 1].astype(np.int64))})
 
 
 def forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -297,18 +320,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     spans = _ranges(spark)
     bits = spans.bit_length() - 1
+    sieve_bits = max(SIEVE_BITS, bits + 3)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
-    packed = texts.mapInArrow(lambda batches: _pack_counts(batches, n, bits), "kind int, doc_id long, text_hash long, cls binary, n long, span int, tokens binary, counts binary")
-    packed = written(packed, "shingle-counts")
-    facts = packed.where("kind = 0").select("doc_id", "text_hash", "cls", "n")
-    counts = written(packed.where("kind = 1").select("span", "tokens", "counts").groupBy("span").applyInArrow(_add_counts, "span int, low long, df long"), "shingle-frequencies")
-    order = spark.sparkContext.broadcast(Order.of(counts, bits, max_ranked))
+    shingles = texts.select("text").mapInArrow(lambda batches: _pack_shingles(batches, n, bits), "span int, tokens binary")
+    counts = written(shingles.groupBy("span").applyInArrow(lambda table: _add_counts(table, bits, sieve_bits), "span int, low long, df long, sieve binary"), "shingle-frequencies")
+    order = spark.sparkContext.broadcast(Order.of(counts, bits, sieve_bits, max_ranked))
 
-    texts = texts.select("doc_id", "text")
-    prefixes = texts.mapInArrow(lambda batches: _pack_prefixes(batches, n, bits, percent, order.value, hot), "kind int, span int, tokens binary, grp binary, hot long, df long, cls binary")
-    prefixes = written(prefixes, "shingle-prefixes")
-    led = prefixes.where("kind = 0").select("span", "tokens", "grp").groupBy("span").applyInArrow(_lead, "leader binary, grp binary").distinct()
+    prefixes = written(texts.mapInArrow(lambda batches: _pack_prefixes(batches, n, bits, percent, order.value, hot), PREFIX_SCHEMA), "shingle-prefixes")
+    facts = prefixes.where("kind = 3").select("doc_id", "text_hash", "cls", "n")
+    led = prefixes.where("kind = 0").select("span", "tokens", "groups").groupBy("span").applyInArrow(_lead, "leader long, grp long").distinct()
     classes_of = prefixes.where("kind = 2").select("grp", "cls").distinct()
     # a group of several classes is a candidate even if no other group shares its shingles
     own = classes_of.join(classes_of.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1"), "grp").select(F.col("grp").alias("leader"), "cls")
@@ -317,7 +338,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     # blocks: a leader's classes in chunks, every chunk with itself and with each other one
     chunked = with_chunks(under, "leader", block)
-    busy = prefixes.where("kind = 1").join(classes_of, "grp").select(F.concat(F.lit(b"hot"), F.encode(F.col("hot").cast("string"), "UTF-8")).alias("leader"), classes_of["cls"], F.ceil(F.col("df") / block).cast("int").alias("chunks")).distinct() if order.value.df.max(initial=0) > hot else None
+    busy = prefixes.where("kind = 1").select("grp", "hot", F.col("df").alias("m")).distinct().join(classes_of, "grp").select(F.xxhash64(F.lit("hot"), F.col("hot")).alias("leader"), "cls", F.ceil(F.col("m") / block).cast("int").alias("chunks")).distinct() if order.value.df.max(initial=0) > hot else None
     if busy is not None:
         chunked = chunked.select("leader", "cls", "chunks").unionByName(busy)
     members = in_blocks(chunked, "leader", "cls")
@@ -334,9 +355,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
-    sets = chosen.select("doc_id", "text").mapInArrow(to_sets, "cls binary, shingles binary").dropDuplicates(["cls"])
+    # rows that repeat an id give a class twice; the verifier drops repeats within a block
+    sets = chosen.select("doc_id", "text").mapInArrow(to_sets, "cls binary, shingles binary")
 
     def verify(table: pa.Table) -> pa.Table:
+        once = list({key: at for at, key in enumerate(table.column("cls").to_pylist())}.values())
+        if len(once) < table.num_rows:
+            table = table.take(pa.array(once))
         keys = table.column("cls").to_pylist()
         side = np.array(table.column("side").to_pylist())
         arrays = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]

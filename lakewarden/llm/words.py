@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import xxhash
 
@@ -36,12 +38,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def _factor(i: int) -> np.uint64:
+    """Odd and without a pattern: factors in progression would give (a, b, b, a) and (b, a, a, b) one sum."""
+    return np.uint64(xxhash.xxh3_64_intdigest(i.to_bytes(8, "little")) | 1)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words, in order; empty if there are fewer."""
+    """A hash of each run of n words, in order; empty if there are fewer.
+
+    Word hashes are random 64-bit numbers, so their sum with an odd factor for
+    each place tells runs apart; one finaliser spreads it.
+    """
     if len(words) < n:
         return words[:0]
     size = len(words) - n + 1
-    out = words[:size]
+    out = words[:size] * _factor(0)
     for i in range(1, n):
-        out = mixed(out + np.uint64(0x9E3779B97F4A7C15 * i & 0xFFFFFFFFFFFFFFFF)) ^ words[i : i + size]
+        out += words[i : i + size] * _factor(i)
     return mixed(out)
