@@ -225,11 +225,12 @@ class _WordIds(dict):
         self._symbols = dict(enumerate(byte_symbols()))
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(CLOSING)
-        if LETTERS.fullmatch(word):
+        if word.isalpha() and word.islower():
+            ids = array("H", [t.id for t in self._model.tokenize(word.decode())]).tobytes()
+        elif LETTERS.fullmatch(word):
             text = word.decode("latin-1").translate(self._symbols)
             ids = array("H", [t.id for t in self._model.tokenize(text)]).tobytes()
-        elif core and core != word and b"<" not in word:
+        elif (core := word.rstrip(CLOSING)) and core != word and b"<" not in word:
             ids = self[core] + self[word[len(core) :]]
         else:
             ids = array("H", self._tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
