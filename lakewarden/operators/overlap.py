@@ -5,6 +5,7 @@ rows(path, row_num, roles, row_hash) is the row relation; extra columns pass uns
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,7 @@ def candidate_pairs(items: DataFrame, threshold: float, hashes: int = 64, bands:
     Buckets are counted before members meet, so a bucket beyond the limit is
     never gathered; within it a self-join makes fewer than 5,000 pairs.
     """
+    items = items.persist(StorageLevel.MEMORY_AND_DISK)  # signatures are taken once
     rows = banded(items, hashes, bands)
     small = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, BUCKET_LIMIT)).select("band", "key")
     members = rows.join(small, ["band", "key"])
