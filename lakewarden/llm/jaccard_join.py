@@ -302,8 +302,9 @@ def forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     code, own = code[common], own[common]
     if len(code):
         _, code = np.unique(code, return_inverse=True)
-        step = max(1, (1 << 24) // m)
-        for at in range(0, int(code.max()) + 1, step):
+        kinds = int(code.max()) + 1
+        step = min(kinds, max(1, (1 << 24) // m))
+        for at in range(0, kinds, step):
             part = (code >= at) & (code < at + step)
             incidence = np.zeros((m, step), np.float32)
             incidence[own[part], code[part] - at] = 1
