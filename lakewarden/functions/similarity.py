@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -79,9 +80,29 @@ def signature_udf(k: int, size: int):
     return sign
 
 
-def jaccard_udf(k: int):
-    @F.pandas_udf("double")
-    def compare(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(shingle_set(x or "", k), shingle_set(y or "", k)) for x, y in zip(a, b, strict=True)], dtype="float64")
+def shingle_codes(shingles: set[str]) -> list[int]:
+    """Shingles of up to three characters packed into a long, longer ones by 64 bits of SHA-256."""
+    out = []
+    for s in shingles:
+        if len(s) <= 3:
+            code = 0
+            for c in s:
+                code = code << 21 | (ord(c) + 1)
+            out.append(code)
+        else:
+            out.append(int.from_bytes(hashlib.sha256(s.encode("utf-8")).digest()[:8], "big", signed=True))
+    return out
 
-    return compare
+
+def codes_udf(k: int):
+    @F.pandas_udf("array<long>")
+    def code(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shingle_codes(shingle_set(t or "", k)))
+
+    return code
+
+
+def jaccard_column(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct codes; two empty ones are equal."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
