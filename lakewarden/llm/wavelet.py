@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, written
 from .files import AtomicFile, read_all
+from .words import WordMemo
 
 MAGIC = b"LWWM0001"
 BITS = 16
 BLOCK = 512  # bits a rank entry covers
-MEMO_WORDS = 1_500_000
-MEMO_WORD_BYTES = 64
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 CLOSING = b".,!?;:&%$#*)\"]}"
 
@@ -209,53 +208,37 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-class _WordIds(dict):
-    """Word -> its ids as little-endian uint16, through the tokenizers library, each word once.
+class WordEncoder:
+    """Encodes whole texts word by word through the tokenizers library, each word once while the memo holds it.
 
     A run of lower-case letters a-z and U+00DF-U+00FF is one token run that
     normalising leaves alone, so the library's model reads it directly; any
     other word takes the whole path.  Closing punctuation is a run of its own.
     """
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self._tokenizer, self._model = tokenizer, tokenizer.model
-        if hasattr(self._model, "_resize_cache"):  # this memo stands in for it
-            self._model._resize_cache(0)
-        self._symbols = dict(enumerate(byte_symbols()))
-
-    def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha() and word.islower():
-            ids = array("H", [t.id for t in self._model.tokenize(word.decode())]).tobytes()
-        elif LETTERS.fullmatch(word):
-            text = word.decode("latin-1").translate(self._symbols)
-            ids = array("H", [t.id for t in self._model.tokenize(text)]).tobytes()
-        elif (core := word.rstrip(CLOSING)) and core != word and b"<" not in word:
-            ids = self[core] + self[word[len(core) :]]
-        else:
-            ids = array("H", self._tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        if len(word) <= MEMO_WORD_BYTES:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class WordEncoder:
-    """Encodes whole texts word by word.
-
-    Words over MEMO_WORD_BYTES are encoded each time; the memo is emptied at
-    MEMO_WORDS entries, so a worker's memory stays bounded.
-    """
-
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        if tokenizer.get_vocab_size() > 1 << BITS:
+        self._tokenizer = Tokenizer.from_file(vocabulary)
+        if self._tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"the vocabulary needs more than {BITS} bits")
-        self._ids = _WordIds(tokenizer)
+        self._model = self._tokenizer.model
+        if hasattr(self._model, "_resize_cache"):  # the memo stands in for it
+            self._model._resize_cache(0)
+        self._symbols = dict(enumerate(byte_symbols()))
+        self._ids = WordMemo(self._encode_word)
+
+    def _encode_word(self, word: bytes) -> bytes:
+        if word.isalpha() and word.islower():
+            return array("H", [t.id for t in self._model.tokenize(word.decode())]).tobytes()
+        if LETTERS.fullmatch(word):
+            text = word.decode("latin-1").translate(self._symbols)
+            return array("H", [t.id for t in self._model.tokenize(text)]).tobytes()
+        core = word.rstrip(CLOSING)
+        if core and core != word and b"<" not in word:
+            return self._ids[core] + self._ids[word[len(core) :]]
+        return array("H", self._tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """UTF-8 texts -> ids as little-endian uint16.
@@ -263,6 +246,7 @@ class WordEncoder:
         The vocabulary's normaliser lower-cases; only its added tokens, which
         hold "<", see case.
         """
+        self._ids.claim()
         find = self._ids.__getitem__
         return [b"".join(map(find, (t if b"<" in t else t.lower()).split())) for t in texts]
 
