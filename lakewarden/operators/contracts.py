@@ -20,7 +20,7 @@ def contract_violations(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     """
     grouped = contracts.groupBy("path").agg(F.collect_list(F.struct("field", "type", "required", "nullable")).alias("fields"), F.bool_and("allow_extra").alias("allow_extra"))
     met = rows.join(F.broadcast(grouped), "path")
-    bad = met.where("kind <> 'object'").select("path", "row_num", F.lit("").alias("field"), F.lit("row_not_object").alias("violation"), F.lit("object").alias("expected"), F.col("kind").alias("observed"))
+    bad = met.where("kind <> 'object'").select("path", "row_num", F.lit("").alias("field"), F.lit("record_not_object").alias("violation"), F.lit("object").alias("expected"), F.col("kind").alias("observed"))
     whole = met.where("kind = 'object'")
     each = whole.select("path", "row_num", "types", F.explode("fields").alias("f")).withColumn("seen", F.col("types")[F.col("f.field")])
     fits = (F.col("f.type") == F.col("seen")) | ((F.col("f.type") == "number") & (F.col("seen") == "integer"))
