@@ -62,6 +62,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as one struct beside the named columns, so that no name of the table can clash with ours."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def hash60(*parts: Column) -> Column:
     """60 uniform bits of md5 over the parts, a non-negative long that any SQL engine can recompute."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, packed, written
 
 #: Everything but [\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-cased, which is done word by word.
 #: Said positively, as Java matches a negated union of ranges several times slower.
@@ -161,6 +161,7 @@ def contamination_report(docs: DataFrame, items: DataFrame, span: int = 10, k: i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any hit, all columns kept."""
-    hits = Benchmark(items, span, k).hits(docs, id_col, text_col).select(F.col("doc_id").alias("_h_id"), F.col("text_hash").alias("_h_hash")).distinct()
+    hits = Benchmark(items, span, k).hits(docs, id_col, text_col).select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash")).distinct()
     hits = written(hits, "benchmark-hit-documents")
-    return docs.join(hits, docs[id_col].eqNullSafe(F.col("_h_id")) & (F.xxhash64(docs[text_col]) == F.col("_h_hash")), "left_anti")
+    rows = packed(docs, doc_id=F.col(id_col), text_hash=F.xxhash64(F.col(text_col)))
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left_anti").select("row.*")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks, spanning_forest, with_chunks
-from .common import shuffle_width, written
+from .common import packed, shuffle_width, written
 from .components import connected_components
 from .words import gram_hashes, hashed_words
 
@@ -389,12 +389,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     labelled = written(jaccard_components(docs, id_col=id_col, text_col=text_col, **options), "near-duplicates")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    removed = labelled.where((F.col("n_shingles") > 0) & ~kept).select(F.col("doc_id").alias("_r_id"), F.col("text_hash").alias("_r_hash")).distinct()
-    repeated = labelled.where((F.col("n_shingles") > 0) & kept & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d_id"))
+    removed = labelled.where((F.col("n_shingles") > 0) & ~kept).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct()
+    repeated = labelled.where((F.col("n_shingles") > 0) & kept & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d_id"))
     side = F.broadcast(removed) if removed.count() <= MAX_BROADCAST_IDS else removed
-    own_id, own_hash = F.col(id_col).cast("long"), F.xxhash64(text_col)
-    left = docs.join(side, own_id.eqNullSafe(F.col("_r_id")) & (own_hash == F.col("_r_hash")), "left_anti")
+    rows = packed(docs, own_id=F.col(id_col).cast("long"), own_hash=F.xxhash64(text_col))
+    left = rows.join(side, F.col("own_id").eqNullSafe(F.col("r_id")) & (F.col("own_hash") == F.col("r_hash")), "left_anti")
     if repeated.limit(1).count() == 0:
-        return left
-    once = left.join(repeated, own_id == F.col("_d_id"), "left_semi").dropDuplicates([id_col])
-    return left.join(repeated, own_id == F.col("_d_id"), "left_anti").unionByName(once)
+        return left.select("row.*")
+    once = left.join(repeated, F.col("own_id") == F.col("d_id"), "left_semi").dropDuplicates(["own_id"])
+    return left.join(repeated, F.col("own_id") == F.col("d_id"), "left_anti").unionByName(once).select("row.*")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, written
+from .common import hash60, packed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGIT_BITS = 10
@@ -138,6 +138,5 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns kept; texts are not shuffled."""
     plan = MixPlan(docs, **options)
-    placed = plan.with_copies(docs, F.col(plan._source).cast("string"), plan._hash())
-    repeated = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1)).cast("int")))).where("_copies > 0")
-    return repeated.select(docs.columns)
+    placed = plan.with_copies(packed(docs, source=F.col(plan._source).cast("string"), h=plan._hash()), F.col("source"), F.col("h"))
+    return placed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("row.*")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, written
+from .common import hash60, packed, written
 from .mixing import find_thresholds
 from .words import gram_hashes, hashed_words
 
@@ -92,7 +92,7 @@ class QualityModel:
     """Log ratios by bucket, the level that good documents reach, and the cut of the sampling keys."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, parameters: QualityParameters = QualityParameters(), id_col: str = "doc_id", text_col: str = "text"):
-        self.parameters, self._id, self._text = parameters, id_col, text_col
+        self.parameters = parameters
         p, spark = parameters, docs.sparkSession
         usable = labels.select(F.col("doc_id").alias("l_id"), (F.col("quality") == 1).alias("fine"), (F.col("toxic") == 1).alias("toxic")).where("l_id IS NOT NULL AND fine IS NOT NULL AND toxic IS NOT NULL")
         usable = usable.groupBy("l_id").agg(F.bool_and(F.col("fine") & ~F.col("toxic")).alias("good")).withColumn("l_hash", hash60(F.lit(p.seed), F.col("l_id")))
@@ -100,15 +100,16 @@ class QualityModel:
         # about max_labels rows; every fifth calibrates the level and stays out of the target model
         sample = usable.where(F.col("l_hash") < int(share * (1 << 60))).withColumn("held", F.col("l_hash") % 5 == 0)
         sample = written(sample.drop("l_hash"), "quality-labels")
-        marked = docs.join(F.broadcast(sample.where("good AND NOT held").select("l_id", "good")), docs[id_col] == F.col("l_id"), "left")
-        counts = count_features(marked.select(docs[text_col].cast("binary").alias("text"), F.coalesce("good", F.lit(False)).alias("target")))
+        lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+        marked = lean.join(F.broadcast(sample.where("good AND NOT held").select("l_id", "good")), F.col("doc_id") == F.col("l_id"), "left")
+        counts = count_features(marked.select("text", F.coalesce("good", F.lit(False)).alias("target")))
         raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         found = counts.toArrow()  # BUCKETS rows at most
         bucket = found.column("bucket").to_numpy()
         raw[bucket], target[bucket] = found.column("raw").to_numpy(), found.column("target").to_numpy()
         self.ratios = log_ratios(raw, target, p.pseudo, p.dead_zone).astype(np.float32)
         self._shared = spark.sparkContext.broadcast(self.ratios)
-        self.weights = written(docs.select(F.col(id_col).alias("doc_id"), self.log_weight().alias("log_weight")), "quality-weights")
+        self.weights = written(lean.select("doc_id", self.log_weight(F.col("text")).alias("log_weight")), "quality-weights")
         held = self.weights.join(F.broadcast(sample.where("good AND held").select("l_id")), F.col("doc_id") == F.col("l_id"))
         level = held.agg(F.percentile_approx("log_weight", p.miss, 10_000).alias("level")).first()["level"]
         self.level = -float("inf") if level is None else level
@@ -119,7 +120,7 @@ class QualityModel:
         places = keyed.select(F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("size"), self._place(F.col("key")).alias("h"))
         self.cut = find_thresholds(places, {None: float(self.k)})[None]
 
-    def log_weight(self) -> Column:
+    def log_weight(self, text: Column) -> Column:
         shared = self._shared
 
         @F.pandas_udf("double")
@@ -127,11 +128,12 @@ class QualityModel:
             ratios = shared.value
             return pd.Series([float(ratios[feature_buckets(t)].sum(dtype=np.float64)) for t in texts], dtype="float64")
 
-        return weigh(F.col(self._text).cast("binary"))
+        return weigh(text.cast("binary"))
 
-    def sampling_key(self, weight: Column | None = None, doc_id: Column | None = None) -> Column:
-        weight, doc_id = (F.col("log_weight") if weight is None else weight), (F.col("doc_id") if doc_id is None else doc_id)
-        uniform = (hash60(F.lit(self.parameters.seed + 1), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("double") + 0.5) / float(1 << 60)
+    def sampling_key(self) -> Column:
+        """The Gumbel-perturbed log weight, of columns log_weight and doc_id."""
+        weight = F.col("log_weight")
+        uniform = (hash60(F.lit(self.parameters.seed + 1), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("double") + 0.5) / float(1 << 60)
         return weight / self.parameters.temperature - F.log(-F.log(F.least(uniform, F.lit(1 - 1e-16))))
 
     def _place(self, key: Column) -> Column:
@@ -151,5 +153,5 @@ def resample_report(docs: DataFrame, labels: DataFrame, parameters: QualityParam
 def keep_sampled(docs: DataFrame, labels: DataFrame, parameters: QualityParameters = QualityParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the sampling keeps, all columns; weights are computed anew rather than joined to the texts."""
     model = QualityModel(docs, labels, parameters, id_col, text_col)
-    weighed = docs.withColumn("_log_weight", model.log_weight())
-    return weighed.where(model.kept(model.sampling_key(F.col("_log_weight"), F.col(id_col)))).drop("_log_weight")
+    weighed = packed(docs, doc_id=F.col(id_col), log_weight=model.log_weight(F.col(text_col)))
+    return weighed.where(model.kept(model.sampling_key())).select("row.*")
