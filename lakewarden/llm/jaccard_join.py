@@ -47,6 +47,8 @@ from .words import gram_hashes, hashed_words
 MAX_RANKED = 1_000_000
 HOT = 50_000
 SIEVE_BITS = 27
+#: Shingles that a task holds before it sends them on.
+FLUSH = 1_000_000
 PREFIX_SCHEMA = "kind int, span int, tokens binary, groups binary, grp long, hot long, df long, cls binary, doc_id long, text_hash long, n long"
 BLOCK = 512
 #: Documents whose ids are broadcast to pick the texts that need verifying; beyond it they are joined.
@@ -110,7 +112,7 @@ def _pack_shingles(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iter
             seen.add(key)
             held.append(shingles)
             size += len(shingles)
-            if size > 4_000_000:
+            if size > FLUSH:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -252,7 +254,7 @@ def _pack_prefixes(batches: Iterator[pa.RecordBatch], n: int, bits: int, percent
                 seen.add(key)
                 waiting.append((key, shingles))
                 size += len(shingles)
-            if size > 4_000_000 or len(facts) > 50_000:
+            if size > FLUSH or len(facts) > 20_000:
                 yield flush()
                 facts, waiting, size = [], [], 0
     if facts:

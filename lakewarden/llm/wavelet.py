@@ -246,7 +246,6 @@ class WordEncoder:
         The vocabulary's normaliser lower-cases; only its added tokens, which
         hold "<", see case.
         """
-        self._ids.claim()
         find = self._ids.__getitem__
         return [b"".join(map(find, (t if b"<" in t else t.lower()).split())) for t in texts]
 

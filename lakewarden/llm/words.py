@@ -8,30 +8,20 @@ import numpy as np
 import xxhash
 
 #: Words in one generation of a worker's memo, and the longest word that it keeps.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 350_000
 MEMO_WORD_BYTES = 64
 
-_memos: list[WordMemo] = []
-
 
 class WordMemo(dict):
     """Word -> what compute(word) gives, each word once while it is in use.
 
     Two generations bound it: when the young one is full it becomes the old one,
-    and words that are met again move over.  One memo of a worker holds words at
-    a time: an operator that starts with another takes its memory.
+    and words that are met again move over.
     """
 
     def __init__(self, compute):
         super().__init__()
         self._compute, self._old = compute, {}
-        _memos.append(self)
-
-    def claim(self) -> None:
-        for memo in _memos:
-            if memo is not self and memo:
-                memo.clear()
-                memo._old = {}
 
     def __missing__(self, word: bytes):
         value = self._old.get(word)
@@ -45,15 +35,10 @@ class WordMemo(dict):
         return value
 
 
-_hashes = WordMemo(xxhash.xxh3_64_intdigest)
-
-
 def hashed_words(text: bytes | None) -> np.ndarray:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a UTF-8 text, A-Z lower-cased."""
     words = text.lower().split() if text else []
-    if not _hashes:
-        _hashes.claim()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
