@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 PRIME = (1 << 31) - 1
 LOWEST = 50  # shingle hashes that a signature looks at
@@ -67,39 +66,66 @@ def jaccard(a: set[str], b: set[str]) -> float:
     return both / (len(a) + len(b) - both)
 
 
-@F.pandas_udf(StringType())
-def normal_form_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else normal_form(t))
+def shingle_codes(text: str, k: int) -> np.ndarray:
+    """A text's distinct shingles as longs: up to three characters are packed, longer ones hashed to 64 bits."""
+    if not text:
+        return np.zeros(0, np.int64)
+    if k > 3:
+        return np.array(sorted(int.from_bytes(hashlib.sha256(s.encode("utf-8")).digest()[:8], "big", signed=True) for s in shingle_set(text, k)), np.int64)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    width = min(k, len(points))
+    codes = points[: len(points) - width + 1].copy()
+    for i in range(1, width):
+        codes = codes << 21 | points[i : len(points) - width + 1 + i]
+    return np.unique(codes)
+
+
+def unpacked(code: int) -> str:
+    out = ""
+    while code:
+        out = chr((code & 0x1FFFFF) - 1) + out
+        code >>= 21
+    return out
 
 
-def signature_udf(k: int, size: int):
-    @F.pandas_udf("array<long>")
-    def sign(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: signature(shingle_set(t or "", k), size))
+class _CodeHashes(dict):
+    """Packed shingle -> its hash; a worker's memo is emptied at a million shingles."""
 
-    return sign
+    def __missing__(self, code: int) -> int:
+        if len(self) >= 1_000_000:
+            self.clear()
+        value = self[code] = shingle_hash(unpacked(code))
+        return value
 
 
-def shingle_codes(shingles: set[str]) -> list[int]:
-    """Shingles of up to three characters packed into a long, longer ones by 64 bits of SHA-256."""
-    out = []
-    for s in shingles:
-        if len(s) <= 3:
-            code = 0
-            for c in s:
-                code = code << 21 | (ord(c) + 1)
-            out.append(code)
-        else:
-            out.append(int.from_bytes(hashlib.sha256(s.encode("utf-8")).digest()[:8], "big", signed=True))
-    return out
+_code_hashes = _CodeHashes()
+
+
+def code_signature(text: str, codes: np.ndarray, k: int, size: int) -> list[int]:
+    """signature() of a text's shingles, from their packed codes."""
+    if not len(codes):
+        return [0] * size
+    if k > 3:
+        return signature(shingle_set(text, k), size)
+    hashes = np.fromiter(map(_code_hashes.__getitem__, codes.tolist()), np.int64, len(codes))
+    lowest = np.sort(hashes)[:LOWEST] if len(hashes) <= LOWEST else np.sort(np.partition(hashes, LOWEST - 1)[:LOWEST])
+    a, b = hash_family(size)
+    return ((a[:, None] * lowest[None, :] + b[:, None]) % PRIME).min(1).tolist()
+
 
+def sketch_udf(k: int, size: int):
+    """Text -> (codes, sig) of its normal form, in one pass."""
 
-def codes_udf(k: int):
-    @F.pandas_udf("array<long>")
-    def code(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shingle_codes(shingle_set(t or "", k)))
+    @F.pandas_udf("codes array<long>, sig array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        codes, sigs = [], []
+        for text in texts:
+            norm = normal_form(text or "")
+            codes.append(shingle_codes(norm, k))
+            sigs.append(code_signature(norm, codes[-1], k, size))
+        return pd.DataFrame({"codes": codes, "sig": sigs})
 
-    return code
+    return sketch
 
 
 def jaccard_column(a: Column, b: Column) -> Column:

@@ -33,28 +33,30 @@ def exact_duplicates(rows: DataFrame, roles: tuple[str, ...]) -> DataFrame:
 def similarity_items(rows: DataFrame, text_col: str = "sim_text", shingle_size: int = 3, hashes: int = 64) -> DataFrame:
     """rows with a similarity text -> items(id, path, row_num, roles, row_hash, discriminator, codes, sig)."""
     held = rows.where(F.coalesce(F.col(text_col), F.lit("")) != "")
-    named = held.select(F.concat_ws(":", "path", "row_num").alias("id"), "path", "row_num", "roles", "row_hash", "discriminator", similarity.normal_form_udf(text_col).alias("norm"))
-    return named.withColumn("sig", similarity.signature_udf(shingle_size, hashes)("norm")).withColumn("codes", similarity.codes_udf(shingle_size)("norm")).drop("norm")
+    named = held.select(F.concat_ws(":", "path", "row_num").alias("id"), "path", "row_num", "roles", "row_hash", "discriminator", similarity.sketch_udf(shingle_size, hashes)(text_col).alias("sketch"))
+    return named.select("id", "path", "row_num", "roles", "row_hash", "discriminator", "sketch.codes", "sketch.sig")
 
 
 def banded(items: DataFrame, hashes: int = 64, bands: int = 16) -> DataFrame:
-    """(id, band, key): an item's rows of each band; left-over hashes are not used."""
+    """(id, n, band, key): an item's rows of each band, with its number of shingles; left-over hashes are not used."""
     width = max(1, hashes // bands)
     keys = F.transform(F.sequence(F.lit(0), F.lit(min(bands, hashes) - 1)), lambda b: F.xxhash64(F.slice("sig", b * width + 1, F.lit(width))))
-    return items.select("id", F.posexplode(keys).alias("band", "key"))
+    return items.select("id", F.size("codes").alias("n"), F.posexplode(keys).alias("band", "key"))
 
 
 def candidate_pairs(items: DataFrame, threshold: float, hashes: int = 64, bands: int = 16) -> DataFrame:
     """Pairs of items that share a band bucket of 2 to BUCKET_LIMIT members and reach the threshold.
 
     Buckets are counted before members meet, so a bucket beyond the limit is
-    never gathered; within it a self-join makes fewer than 5,000 pairs.
+    never gathered; within it a self-join makes fewer than 5,000 pairs.  Sets
+    whose sizes differ by more than the threshold allows are not compared.
     """
     items = items.persist(StorageLevel.MEMORY_AND_DISK)  # signatures are taken once
     rows = banded(items, hashes, bands)
     small = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, BUCKET_LIMIT)).select("band", "key")
     members = rows.join(small, ["band", "key"])
-    pairs = members.alias("a").join(members.alias("b"), ["band", "key"]).where("a.id < b.id").select(F.col("a.id").alias("src"), F.col("b.id").alias("tgt")).distinct()
+    close = (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
+    pairs = members.alias("a").join(members.alias("b"), ["band", "key"]).where((F.col("a.id") < F.col("b.id")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("tgt")).distinct()
     facts = items.select("id", "codes", F.struct("path", "row_num", "roles", "row_hash", "discriminator").alias("meta"))
     both = pairs.join(facts.select(F.col("id").alias("src"), F.col("codes").alias("src_codes"), F.col("meta").alias("source")), "src").join(facts.select(F.col("id").alias("tgt"), F.col("codes").alias("tgt_codes"), F.col("meta").alias("target")), "tgt")
     return both.withColumn("jaccard", similarity.jaccard_column(F.col("src_codes"), F.col("tgt_codes"))).where(F.col("jaccard") >= threshold).select("src", "tgt", "source", "target", "jaccard")
@@ -62,10 +64,10 @@ def candidate_pairs(items: DataFrame, threshold: float, hashes: int = 64, bands:
 
 def probe(items: DataFrame, queries: DataFrame, threshold: float, hashes: int = 64, bands: int = 16, shingle_size: int = 3) -> DataFrame:
     """queries(query_id, text) against indexed items: (query_id, id, jaccard) at the threshold."""
-    q = queries.select(F.col("query_id").alias("id"), similarity.normal_form_udf("text").alias("norm")).withColumn("sig", similarity.signature_udf(shingle_size, hashes)("norm")).withColumn("codes", similarity.codes_udf(shingle_size)("norm"))
+    q = queries.select(F.col("query_id").alias("id"), similarity.sketch_udf(shingle_size, hashes)("text").alias("sketch")).select("id", "sketch.codes", "sketch.sig")
     rows = banded(items, hashes, bands)
     small = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") <= BUCKET_LIMIT).select("band", "key")
-    met = banded(q, hashes, bands).withColumnRenamed("id", "query_id").join(rows.join(small, ["band", "key"]), ["band", "key"]).select("query_id", "id").distinct()
+    met = banded(q, hashes, bands).drop("n").withColumnRenamed("id", "query_id").join(rows.join(small, ["band", "key"]), ["band", "key"]).select("query_id", "id").distinct()
     texts = met.join(q.select(F.col("id").alias("query_id"), F.col("codes").alias("q_codes")), "query_id").join(items.select("id", "codes"), "id")
     return texts.withColumn("jaccard", similarity.jaccard_column(F.col("q_codes"), F.col("codes"))).where(F.col("jaccard") >= threshold).select("query_id", "id", "jaccard")
 

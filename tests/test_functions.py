@@ -22,11 +22,13 @@ def test_hash_family_and_jaccard():
     assert similarity.normal_form("Héllo,  Wörld!") == "héllo wörld"
 
 
-@given(st.sets(st.text(max_size=3)), st.sets(st.text(max_size=3)))
-@settings(max_examples=60, deadline=None)
-def test_codes_tell_short_shingles_apart(a, b):
-    x, y = set(similarity.shingle_codes(a)), set(similarity.shingle_codes(b))
-    assert len(x) == len(a) and len(x & y) == len(a & b)
+@given(st.text(max_size=60), st.text(max_size=60), st.integers(1, 4))
+@settings(max_examples=80, deadline=None)
+def test_codes_stand_for_shingles(a, b, k):
+    x, y = similarity.shingle_codes(a, k), similarity.shingle_codes(b, k)
+    s, t = similarity.shingle_set(a, k), similarity.shingle_set(b, k)
+    assert len(x) == len(s) and len(set(x) & set(y)) == len(s & t)
+    assert similarity.code_signature(a, x, k, 8) == similarity.signature(s, 8)
 
 
 def test_canonical_values():
