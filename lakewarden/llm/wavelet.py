@@ -44,8 +44,9 @@ LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 CLOSING = b".,!?;:&%$#*)\"]}"
 
 
-def stable_split(values: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return np.concatenate((values[~bit], values[bit]))
+def split_places(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a plane has zeros and where ones; indexing by places is several times faster than by a mask."""
+    return np.flatnonzero(~bit), np.flatnonzero(bit)
 
 
 class WaveletMatrix:
@@ -64,9 +65,10 @@ class WaveletMatrix:
         current, planes, zeros = codes[ids], [], []
         for b in range(max(1, int(len(symbols) - 1).bit_length()) - 1, -1, -1):
             bit = (current & np.uint16(1 << b)) != 0
+            off, on = split_places(bit)
             planes.append(np.packbits(bit))
-            zeros.append(int(len(bit) - np.count_nonzero(bit)))
-            current = stable_split(current, bit)
+            zeros.append(len(off))
+            current = np.concatenate((current[off], current[on]))
         return cls(len(ids), planes, zeros, symbols)
 
     def _rank_directory(self, level: int) -> np.ndarray:
@@ -104,8 +106,9 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             above = np.empty(self.n, np.uint16)
             z = self.zeros[level]
-            above[~bit] = values[:z]
-            above[bit] = values[z:] | np.uint16(1 << (self.depth - 1 - level))
+            off, on = split_places(bit)
+            above[off] = values[:z]
+            above[on] = values[z:] | np.uint16(1 << (self.depth - 1 - level))
             values = above
         return self.symbols[values]
 
