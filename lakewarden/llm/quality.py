@@ -1,15 +1,22 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word n-grams are counted in one pass: one of
-the raw corpus, all documents, one of the target, the labelled documents of good
-quality that are not toxic.  A feature's log ratio of target to raw is smoothed
-by pseudo-counts and shrunk towards zero by a dead zone, so that only features
-whose ratio is clearly off bear on a document; a document's log importance is
-the sum over its features.  Documents are then sampled without replacement in
-proportion to importance ** (1 / temperature) by Gumbel top-k: a seeded Gumbel
-draw is added to the log weight and the k largest keys are kept.  k is the
-number of documents whose weight reaches the level that all but `miss` of the
-held-out good documents reach; the k-th key is found by nested histograms.
+Generative models over hashed n-grams (words, runs of symbols, pairs of words)
+are counted in one pass: of the raw corpus, all documents, and of the target,
+the labelled documents of good quality that are not toxic.  Each is counted
+twice, by occurrences and by documents that hold a feature.  The log ratio of
+target to raw is smoothed by pseudo-counts.  A document's log importance is
+
+    - the mean log ratio of its occurrences, for a text of `nominal` features,
+      where it falls below -`slack` (what it is made of), and
+    - the sum of the negative log ratios of the features that it holds, each
+      shrunk by a dead zone (what it should not hold).
+
+The plain sum over occurrences would follow length, and a long text would hide a
+few words that good texts never have.  Documents are then sampled without
+replacement in proportion to importance ** (1 / temperature) by Gumbel top-k: a
+seeded Gumbel draw is added to the log weight and the k largest keys are kept.
+k is the number of documents whose weight reaches the level that all but `miss`
+of the held-out good documents reach; the k-th key is found by nested histograms.
 
 Bounds: labels are a sample of at most `max_labels` rows by id hash, which is
 broadcast; counts and weights cover every document.  The model has a fixed
@@ -23,6 +30,7 @@ all documents are kept.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,18 +42,22 @@ from pyspark.sql import functions as F
 
 from .common import hash60, packed, written
 from .mixing import find_thresholds
-from .words import gram_hashes, hashed_words
+from .words import gram_hashes, hashes_of
 
-UNIGRAM_BITS = 18
-BIGRAM_BITS = 17
+UNIGRAM_BITS = 20
+BIGRAM_BITS = 18
 BUCKETS = (1 << UNIGRAM_BITS) + (1 << BIGRAM_BITS)
 KEY_RANGE = 1 << 52
+WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+SYMBOLS = re.compile(rb"[^a-z0-9\x80-\xff\s]+")
 
 
 @dataclass(frozen=True)
 class QualityParameters:
-    pseudo: float = 5.0
+    pseudo: float = 3.0
     dead_zone: float = 1.0
+    nominal: float = 50.0
+    slack: float = 0.05
     temperature: float = 0.05
     miss: float = 0.005
     max_labels: int = 200_000
@@ -53,39 +65,57 @@ class QualityParameters:
 
 
 def feature_buckets(text: bytes | None) -> np.ndarray:
-    words = hashed_words(text)
-    one = (gram_hashes(words, 1) >> np.uint64(64 - UNIGRAM_BITS)).astype(np.int64)
+    """Buckets of a text's words, its runs of symbols, and its pairs of neighbouring words.
+
+    Symbols stand apart from the words they cling to, so that decorated words
+    do not fill the buckets of rare plain ones.
+    """
+    low = (text or b"").lower()
+    words = hashes_of(WORD.findall(low))
+    single = np.concatenate((words, hashes_of(SYMBOLS.findall(low))))
+    one = (gram_hashes(single, 1) >> np.uint64(64 - UNIGRAM_BITS)).astype(np.int64)
     two = (gram_hashes(words, 2) >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64) + (1 << UNIGRAM_BITS)
     return np.concatenate((one, two))
 
 
 def count_features(rows: DataFrame) -> DataFrame:
-    """rows(text binary, target boolean) -> (bucket, raw, target) sums over all rows."""
+    """rows(text binary, target boolean) -> (bucket, raw, target, raw_docs, target_docs) sums over all rows."""
+    names = ["raw", "target", "raw_docs", "target_docs"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        sums = np.zeros((4, BUCKETS), np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = feature_buckets(text.as_py())
-                np.add.at(raw, found, 1)
+                found, times = np.unique(feature_buckets(text.as_py()), return_counts=True)
+                sums[0, found] += times
+                sums[2, found] += 1
                 if good:
-                    np.add.at(target, found, 1)
-        seen = np.flatnonzero(raw)
+                    sums[1, found] += times
+                    sums[3, found] += 1
+        seen = np.flatnonzero(sums[0])
         for at in range(0, len(seen), 1 << 16):
             part = seen[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(raw[part]), pa.array(target[part])], ["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(sums[i, part]) for i in range(4)]], ["bucket", *names])
 
-    counted = rows.mapInArrow(count, "bucket long, raw long, target long")
-    return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = rows.mapInArrow(count, "bucket int, raw long, target long, raw_docs long, target_docs long")
+    return counted.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, pseudo: float, dead_zone: float) -> np.ndarray:
-    """Shrunken log ratio of the smoothed models, per bucket."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, pseudo: float) -> np.ndarray:
+    """Log ratio of the smoothed target model to the raw one, per bucket."""
     if not target.sum():
         return np.zeros(len(raw))
     expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + pseudo) / (expected + pseudo))
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - dead_zone, 0)
+    return np.log((target + pseudo) / (expected + pseudo))
+
+
+def log_importance(found: np.ndarray, by_count: np.ndarray, by_document: np.ndarray, p: QualityParameters) -> float:
+    """The log weight of a document with the given feature buckets."""
+    if not len(found):
+        return 0.0
+    made_of = min(float(by_count[found].mean(dtype=np.float64)) + p.slack, 0.0)
+    held = by_document[np.unique(found)].astype(np.float64)
+    return p.nominal * made_of + float(np.minimum(held + p.dead_zone, 0.0).sum())
 
 
 class QualityModel:
@@ -103,12 +133,12 @@ class QualityModel:
         lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
         marked = lean.join(F.broadcast(sample.where("good AND NOT held").select("l_id", "good")), F.col("doc_id") == F.col("l_id"), "left")
         counts = count_features(marked.select("text", F.coalesce("good", F.lit(False)).alias("target")))
-        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         found = counts.toArrow()  # BUCKETS rows at most
-        bucket = found.column("bucket").to_numpy()
-        raw[bucket], target[bucket] = found.column("raw").to_numpy(), found.column("target").to_numpy()
-        self.ratios = log_ratios(raw, target, p.pseudo, p.dead_zone).astype(np.float32)
-        self._shared = spark.sparkContext.broadcast(self.ratios)
+        sums = np.zeros((4, BUCKETS))
+        for i, name in enumerate(("raw", "target", "raw_docs", "target_docs")):
+            sums[i, found.column("bucket").to_numpy()] = found.column(name).to_numpy()
+        self.by_count, self.by_document = (log_ratios(sums[i], sums[i + 1], p.pseudo).astype(np.float32) for i in (0, 2))
+        self._shared = spark.sparkContext.broadcast((self.by_count, self.by_document))
         self.weights = written(lean.select("doc_id", self.log_weight(F.col("text")).alias("log_weight")), "quality-weights")
         held = self.weights.join(F.broadcast(sample.where("good AND held").select("l_id")), F.col("doc_id") == F.col("l_id"))
         level = held.agg(F.percentile_approx("log_weight", p.miss, 10_000).alias("level")).first()["level"]
@@ -121,12 +151,12 @@ class QualityModel:
         self.cut = find_thresholds(places, {None: float(self.k)})[None]
 
     def log_weight(self, text: Column) -> Column:
-        shared = self._shared
+        shared, p = self._shared, self.parameters
 
         @F.pandas_udf("double")
         def weigh(texts: pd.Series) -> pd.Series:
-            ratios = shared.value
-            return pd.Series([float(ratios[feature_buckets(t)].sum(dtype=np.float64)) for t in texts], dtype="float64")
+            by_count, by_document = shared.value
+            return pd.Series([log_importance(feature_buckets(t), by_count, by_document, p) for t in texts], dtype="float64")
 
         return weigh(text.cast("binary"))
 

@@ -35,10 +35,13 @@ class WordMemo(dict):
         return value
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def hashed_words(text: bytes | None) -> np.ndarray:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of a UTF-8 text, A-Z lower-cased."""
-    words = text.lower().split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return hashes_of(text.lower().split() if text else [])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -93,20 +93,26 @@ def test_quality_model_against_brute_force(spark):
     labels = spark.createDataFrame([(i, int(i % 4 < 3), 0) for i in range(40)], "doc_id long, quality int, toxic int")
     p = quality.QualityParameters(pseudo=1.0, dead_zone=0.1)
     model = quality.QualityModel(docs_of(spark, rows), labels, p)
-    held = {r["l_id"] for r in labels.select(F.col("doc_id").alias("l_id")).where("false").collect()}
-    assert held == set()
-    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     from lakewarden.llm.common import hash60
 
     hashes = {r["doc_id"]: r["h"] for r in labels.select("doc_id", hash60(F.lit(p.seed), F.col("doc_id")).alias("h")).collect()}
+    sums = np.zeros((4, quality.BUCKETS))
     for i, text, _ in rows:
-        for b in quality.feature_buckets(text.encode()):
-            raw[b] += 1
-            target[b] += i % 4 < 3 and hashes[i] % 5 > 0
-    np.testing.assert_allclose(model.ratios, quality.log_ratios(raw, target, 1.0, 0.1), rtol=1e-5)
+        target = i % 4 < 3 and hashes[i] % 5 > 0
+        found = quality.feature_buckets(text.encode())
+        for b in found:
+            sums[0, b] += 1
+            sums[1, b] += target
+        for b in set(found.tolist()):
+            sums[2, b] += 1
+            sums[3, b] += target
+    for got, (raw, target) in ((model.by_count, sums[:2]), (model.by_document, sums[2:])):
+        np.testing.assert_allclose(got, np.log((target + 1) / (raw * target.sum() / raw.sum() + 1)), rtol=1e-5, atol=1e-6)
     weights = {r["doc_id"]: r["log_weight"] for r in model.weights.collect()}
     for i, text, _ in rows:
-        assert weights[i] == pytest.approx(float(model.ratios[quality.feature_buckets(text.encode())].sum()), abs=1e-4)
+        found = quality.feature_buckets(text.encode())
+        held = sum(min(float(model.by_document[b]) + 0.1, 0) for b in set(found.tolist()))
+        assert weights[i] == pytest.approx(50 * min(float(np.mean(model.by_count[found])) + 0.05, 0) + held, abs=1e-4)
     keys = sorted((r["key"] for r in model.weights.withColumn("key", model.sampling_key()).collect()), reverse=True)
     chosen = [r["key"] for r in model.weights.withColumn("key", model.sampling_key()).where(model.kept(F.col("key"))).collect()]
     assert sorted(chosen, reverse=True) == keys[: len(chosen)] and len(chosen) == model.k
