@@ -380,7 +380,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     named = written(facts.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "shingle-classes")
     whole = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    labelled = whole.join(least, "component").select("cls", "component_id")
+    # written, so that both sides of the join are exchanged as they are and a class of many copies can be split
+    labelled = written(whole.join(least, "component").select("cls", "component_id"), "shingle-labels")
     return facts.join(labelled, "cls", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
