@@ -23,7 +23,6 @@ import html as html_lib
 import math
 import random
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import hash60, packed, written
@@ -68,36 +69,30 @@ def _digit(level: int) -> Column:
 def find_thresholds(sized: DataFrame, budgets: dict[str | None, float]) -> dict[str | None, int]:
     """sized(source, size, h) -> for each source the hash below which rows add up nearest to its budget."""
     spark = sized.sparkSession
-    done: dict[str | None, int] = {}
-    prefix = {s: (0, 0) for s, b in budgets.items() if b > 0}  # source -> hash prefix of the boundary bucket, size below it
-    done.update({s: 0 for s, b in budgets.items() if b <= 0})
+    done: dict[str | None, int] = {s: 0 for s, b in budgets.items() if b <= 0}
+    open_: dict[str | None, tuple[int, int]] = {s: (0, 0) for s, b in budgets.items() if b > 0}  # hash prefix of the boundary bucket, size below it
     for level in range(LEVELS):
-        if not prefix:
+        if not open_:
             break
-        rows = sized
-        if level:
-            bounds = spark.createDataFrame([(s, p) for s, (p, _) in prefix.items()], "b_source string, b_prefix long")
-            # at most MAX_SOURCES rows, checked by the caller
-            rows = sized.join(F.broadcast(bounds), F.col("source").eqNullSafe(F.col("b_source")) & (F.shiftright("h", 60 - DIGIT_BITS * level) == F.col("b_prefix")), "left_semi")
-        hist = rows.groupBy("source", _digit(level).alias("digit")).agg(F.sum("size").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        by: dict[str | None, list] = {}
-        for r in hist.where("n > 0").collect():
-            by.setdefault(r["source"], []).append((r["digit"], r["n"], r["lo"], r["hi"]))
+        state = spark.createDataFrame([(s, p, below, float(budgets[s])) for s, (p, below) in open_.items()], "b_source string, b_prefix long, below long, budget double")
+        # one row per source: at most MAX_SOURCES, checked by the caller
+        inside = sized.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("b_source")) & (F.shiftright("h", 60 - DIGIT_BITS * level) == F.col("b_prefix")))
+        hist = inside.groupBy("b_source", "below", "budget", _digit(level).alias("digit")).agg(F.sum("size").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("n > 0")
+        upto = F.sum("n").over(W.partitionBy("b_source").orderBy("digit"))  # 1,024 rows a source at most
+        reached = hist.withColumn("upto", F.col("below") + upto).where("upto >= budget")
+        first = reached.groupBy("b_source").agg(F.min(F.struct("digit", "upto", "n", "lo", "hi")).alias("x"))
+        found = {r["b_source"]: r["x"] for r in first.collect()}
         following = {}
-        for s, (p, below) in prefix.items():
-            cut = 1 << 60
-            for digit, n, lo, hi in sorted(by.get(s, [])):
-                if below + n < budgets[s]:
-                    below += n
-                    continue
-                if lo == hi or level == LEVELS - 1:
-                    cut = lo if budgets[s] - below < below + n - budgets[s] else hi + 1
-                else:
-                    following[s] = ((p << DIGIT_BITS) | digit, below)
-                break
-            if s not in following:
-                done[s] = cut
-        prefix = following
+        for s, (p, _) in open_.items():
+            if (x := found.get(s)) is None:
+                done[s] = 1 << 60
+                continue
+            below = x["upto"] - x["n"]
+            if x["lo"] == x["hi"] or level == LEVELS - 1:
+                done[s] = x["lo"] if budgets[s] - below < x["upto"] - budgets[s] else x["hi"] + 1
+            else:
+                following[s] = ((p << DIGIT_BITS) | x["digit"], below)
+        open_ = following
     return done
 
 

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
@@ -283,9 +283,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
 
 
-def base32_of_hex(hex40):
+def base32_of_hex(hex40: Column) -> Column:
     """Base32 of a 40-digit hexadecimal SHA-1: each five digits are four symbols."""
-    number = F.conv(F.substring(hex40, 1, 5), 16, 10)
     parts = []
     for i in range(8):
         number = F.conv(F.substring(hex40, 5 * i + 1, 5), 16, 10).cast("int")
