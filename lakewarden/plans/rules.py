@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aliases
 from ..functions.canon import canonical_json, type_name
-from ..functions.text import bare_fingerprint, content_fields, content_state, first_scalar, plain_text
+from ..functions.text import content_fields, content_state, first_scalar, plain_text
 from ..operators import content, contracts, identity, overlap, results
 from .index import INCOMPLETE, Index
 
@@ -386,6 +386,3 @@ def execute(index: Index, rules: list[Rule]) -> list[dict]:
         except Exception as e:  # noqa: BLE001  one rule must not end a scan
             index.diagnostics.append({"severity": "error", "code": "rule.recoverable_error", "message": f"Rule '{r.id}' failed: {type(e).__name__}."})
     return out
-
-
-__all__ = ["RULES", "Rule", "SEVERITY_RANKS", "bare_fingerprint", "execute", "finding", "selected"]

@@ -21,7 +21,7 @@ import yaml
 from pyspark.sql import DataFrame
 
 from ..functions import aliases
-from ..functions.canon import ROW_FIELDS, canonical_json, focus_text, record_view, string_leaves, trimmed
+from ..functions.canon import ROW_FIELDS, canonical_json, focus_text, record_view, string_leaves
 
 EVENTS = f"event string, path string, row_num long, payload string, sim_text string, leaves array<string>, {ROW_FIELDS}"
 NAMES = [part.split()[0] for part in re.split(r", (?=\w+ \w)", EVENTS)]
@@ -207,6 +207,3 @@ def read_artifacts(files: DataFrame, limits: ReadLimits) -> DataFrame:
                     yield frame.where(frame.notna(), None)
 
     return files.mapInPandas(read, EVENTS)
-
-
-__all__ = ["EVENTS", "ReadLimits", "audit", "read_artifacts", "read_file", "trimmed"]
