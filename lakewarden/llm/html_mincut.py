@@ -51,11 +51,12 @@ BOILERPLATE_TAGS = {"nav", "aside", "footer", "form", "menu", "button", "dialog"
 CONTENT_TAGS = {"article", "main"}
 # fixed values: words that name a region in class, id and role attributes
 BOILERPLATE_WORDS = {
-    "ad", "ads", "advert", "advertisement", "adverts", "alert", "author", "banner", "bio", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "copyright", "discussion",
-    "disqus", "footer", "form", "gdpr", "header", "links", "login", "masthead", "menu", "meta", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "privacy",
+    "ad", "ads", "advert", "advertisement", "adverts", "alert", "author", "banner", "bio", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "complementary", "contentinfo", "cookie", "cookies", "copyright", "discussion",
+    "disqus", "footer", "form", "gdpr", "header", "links", "login", "masthead", "menu", "meta", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "privacy",
     "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toolbar",
     "trending", "widget",
 }
+BOILERPLATE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "menu", "navig", "newsletter", "promo", "sidebar", "sponsor", "subscri")
 CONTENT_WORDS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
 FEATURES = ("bias", "in_boilerplate", "in_content", "nowhere", "link_share", "log_words", "sentence", "heading", "list_item", "few_words")
 
@@ -96,8 +97,13 @@ def _hint(name: str, attrs: str, inherited: int) -> int:
         named.update(WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
     if not named:
         return inherited
-    good, bad = named & CONTENT_WORDS, named & BOILERPLATE_WORDS
-    if bad and not (good and {"sidebar", "nav", "header", "footer"} >= bad):
+    good = named & CONTENT_WORDS
+    bad = {w for w in named if w in BOILERPLATE_WORDS or w.startswith(BOILERPLATE_STARTS)}
+    if bad == {"header"} and (inherited == 1 or good):
+        return max(inherited, 0) or int(bool(good))  # the head of an article, not of the page
+    if bad == {"sidebar"} and named & {"with", "has", "no"}:
+        bad = set()  # says what stands beside it
+    if bad:
         return -1
     if good and inherited >= 0:
         return 1
