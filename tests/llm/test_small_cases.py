@@ -381,6 +381,18 @@ def test_jaccard_removal(spark):
     assert jaccard_join.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_shards(rows, shards=16, seed=10):
+    """Every row's shard and slot from one sorted list; a null id sorts first and is shown as -1."""
+    strata = {}
+    for i, text, source in rows:
+        data = (text or "").encode()
+        h = int(hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:15], 16)
+        strata.setdefault("~" if source is None else "s" + source, []).append((h, -1 if i is None else i, zlib.crc32(data), len(data) + 1))
+    line = sorted(((2 * r - 1) / (2 * len(held)), name, row) for name, held in strata.items() for r, row in enumerate(sorted(held), 1))
+    total = len(line)
+    return [(row[1] or -1, p * shards // total, p - -(-(p * shards // total) * total // shards), row[3]) for p, (_, _, row) in enumerate(line)]
+
+
 def test_sharding_cases(spark):
     rows = [(i, "t" * (i % 50), f"s{i % 3}" if i % 7 else "hot") for i in range(500)] + [(1000, None, None), (1001, "é", None), (1001, "é", None), (None, "x", "s1")]
     df = docs_of(spark, rows)
@@ -402,6 +414,7 @@ def test_sharding_cases(spark):
             assert abs(sum(r["source"] == source for r in v) - n / 16) <= 2
     facts = {(r["doc_id"], r["size"], r["text_crc32"]) for r in got}
     assert (1000, 1, 0) in facts and (1001, 3, zlib.crc32("é".encode())) in facts
+    assert sorted((r["doc_id"] or -1, r["shard"], r["slot"], r["size"]) for r in got) == sorted(brute_shards(rows))
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard_documents(df.repartition(9)).collect()))
     assert sharding.shard_documents(df.limit(0)).count() == 0
     few = sharding.shard_documents(df.where("doc_id < 5")).collect()
