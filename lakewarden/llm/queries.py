@@ -57,7 +57,7 @@ def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    read = tokenize_to_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    read = tokenize_to_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, memo_words=750_000)
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

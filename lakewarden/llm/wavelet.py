@@ -17,6 +17,7 @@ first; repeated ids stand side by side.  An empty table gives no file.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -40,6 +41,8 @@ from .words import WordMemo
 MAGIC = b"LWWM0001"
 BITS = 16
 BLOCK = 512  # bits a rank entry covers
+#: Words in each of the two generations that a worker remembers, about 200 bytes each.
+MEMO_WORDS = 350_000
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 CLOSING = b".,!?;:&%$#*)\"]}"
 
@@ -176,7 +179,7 @@ class WaveletMatrix:
         return [self.select(token, k) for k in range(self.count(token))]
 
 
-def dump_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level: int = 3) -> bytes:
+def dump_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level: int = 1) -> bytes:
     """The shard's file: magic, header length, JSON header, then zstd sections (documents, lengths, alphabet, planes)."""
     matrix = WaveletMatrix.build(ids)
     squeeze = zstandard.ZstdCompressor(level=level)
@@ -219,7 +222,7 @@ class WordEncoder:
     other word takes the whole path.  Closing punctuation is a run of its own.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -230,7 +233,7 @@ class WordEncoder:
         if hasattr(self._model, "_resize_cache"):  # the memo stands in for it
             self._model._resize_cache(0)
         self._symbols = dict(enumerate(byte_symbols()))
-        self._ids = WordMemo(self._encode_word)
+        self._ids = WordMemo(self._encode_word, memo_words)
 
     def _encode_word(self, word: bytes) -> bytes:
         if word.isalpha() and word.islower():
@@ -239,7 +242,8 @@ class WordEncoder:
             text = word.decode("latin-1").translate(self._symbols)
             return array("H", [t.id for t in self._model.tokenize(text)]).tobytes()
         core = word.rstrip(CLOSING)
-        if core and core != word and b"<" not in word:
+        # only after a letter or digit does a run of symbols begin
+        if core and core != word and b"<" not in word and (core[-1:].isalnum() or LETTERS.fullmatch(core)):
             return self._ids[core] + self._ids[word[len(core) :]]
         return array("H", self._tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
@@ -250,25 +254,31 @@ class WordEncoder:
         hold "<", see case.
         """
         find = self._ids.__getitem__
-        return [b"".join(map(find, (t if b"<" in t else t.lower()).split())) for t in texts]
+        gc.disable()  # only byte strings are made, no cycles
+        try:
+            return [b"".join(map(find, (t if b"<" in t else t.lower()).split())) for t in texts]
+        finally:
+            gc.enable()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder_for(vocabulary: str) -> WordEncoder:
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = WordEncoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder_for(vocabulary: str, memo_words: int) -> WordEncoder:
+    key = (vocabulary, memo_words)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(vocabulary, memo_words)
+    return _encoders[key]
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
     """Write one file per range of document ids; returns the manifest (shard, first, path, docs, tokens), already written."""
     # the text itself is the tie-break of repeated ids, so that reruns agree
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_for(vocabulary), np.array([end_id], "<u2").tobytes()
+        encoder, end = encoder_for(vocabulary, memo_words), np.array([end_id], "<u2").tobytes()
         pieces, doc_ids, lengths = [], [], []
         for batch in batches:
             codes = encoder.encode([t or b"" for t in batch.column(1).to_pylist()])
@@ -310,7 +320,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return listed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
-def tokenize_to_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+def tokenize_to_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Encode, write the shard files, and read every document back from them."""
     folder = folder or scratch_path(docs.sparkSession, "wavelet")
-    return read_shards(write_shards(docs, folder, vocabulary, end_id, id_col, text_col))
+    return read_shards(write_shards(docs, folder, vocabulary, end_id, id_col, text_col, memo_words))

@@ -7,28 +7,27 @@ from functools import cache
 import numpy as np
 import xxhash
 
-#: Words in one generation of a worker's memo, and the longest word that it keeps.
-MEMO_WORDS = 350_000
+#: The longest word that a worker's memo keeps.
 MEMO_WORD_BYTES = 64
 
 
 class WordMemo(dict):
     """Word -> what compute(word) gives, each word once while it is in use.
 
-    Two generations bound it: when the young one is full it becomes the old one,
-    and words that are met again move over.
+    Two generations of `size` words bound it: when the young one is full it
+    becomes the old one, and words that are met again move over.
     """
 
-    def __init__(self, compute):
+    def __init__(self, compute, size: int):
         super().__init__()
-        self._compute, self._old = compute, {}
+        self._compute, self._size, self._old = compute, size, {}
 
     def __missing__(self, word: bytes):
         value = self._old.get(word)
         if value is None:
             value = self._compute(word)
         if len(word) <= MEMO_WORD_BYTES:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self._size:
                 self._old = dict(self)
                 self.clear()
             self[word] = value
