@@ -47,9 +47,30 @@ LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 CLOSING = b".,!?;:&%$#*)\"]}"
 
 
-def split_places(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a plane has zeros and where ones; indexing by places is several times faster than by a mask."""
-    return np.flatnonzero(~bit), np.flatnonzero(bit)
+CHUNK = 1 << 17  # places of a plane that are worked on at a time; they stay in the processor's cache
+
+
+def split_stably(values: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values where a plane has zeros, and those where it has ones, each in order."""
+    off, on = [values[:0]], [values[:0]]
+    for at in range(0, len(values), CHUNK):
+        part, held = values[at : at + CHUNK], bit[at : at + CHUNK]
+        off.append(part[np.flatnonzero(~held)])
+        on.append(part[np.flatnonzero(held)])
+    return np.concatenate(off), np.concatenate(on)
+
+
+def merge_stably(off: np.ndarray, on: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Undoes split_stably."""
+    out, i, j = np.empty(len(bit), off.dtype), 0, 0
+    for at in range(0, len(bit), CHUNK):
+        held = bit[at : at + CHUNK]
+        ones = np.flatnonzero(held)
+        part = out[at : at + CHUNK]
+        part[ones] = on[j : j + len(ones)]
+        part[np.flatnonzero(~held)] = off[i : i + len(held) - len(ones)]
+        i, j = i + len(held) - len(ones), j + len(ones)
+    return out
 
 
 class WaveletMatrix:
@@ -68,10 +89,10 @@ class WaveletMatrix:
         current, planes, zeros = codes[ids], [], []
         for b in range(max(1, int(len(symbols) - 1).bit_length()) - 1, -1, -1):
             bit = (current & np.uint16(1 << b)) != 0
-            off, on = split_places(bit)
+            off, on = split_stably(current, bit)
             planes.append(np.packbits(bit))
             zeros.append(len(off))
-            current = np.concatenate((current[off], current[on]))
+            current = np.concatenate((off, on))
         return cls(len(ids), planes, zeros, symbols)
 
     def _rank_directory(self, level: int) -> np.ndarray:
@@ -107,12 +128,8 @@ class WaveletMatrix:
         values = np.zeros(self.n, np.uint16)
         for level in range(self.depth - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
-            above = np.empty(self.n, np.uint16)
             z = self.zeros[level]
-            off, on = split_places(bit)
-            above[off] = values[:z]
-            above[on] = values[z:] | np.uint16(1 << (self.depth - 1 - level))
-            values = above
+            values = merge_stably(values[:z], values[z:] | np.uint16(1 << (self.depth - 1 - level)), bit)
         return self.symbols[values]
 
     def access(self, positions) -> np.ndarray:
