@@ -63,11 +63,14 @@ def candidate_pairs(items: DataFrame, threshold: float, hashes: int = 64, bands:
 
 
 def probe(items: DataFrame, queries: DataFrame, threshold: float, hashes: int = 64, bands: int = 16, shingle_size: int = 3) -> DataFrame:
-    """queries(query_id, text) against indexed items: (query_id, id, jaccard) at the threshold."""
-    q = queries.select(F.col("query_id").alias("id"), similarity.sketch_udf(shingle_size, hashes)("text").alias("sketch")).select("id", "sketch.codes", "sketch.sig")
-    rows = banded(items, hashes, bands)
-    small = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") <= BUCKET_LIMIT).select("band", "key")
-    met = banded(q, hashes, bands).drop("n").withColumnRenamed("id", "query_id").join(rows.join(small, ["band", "key"]), ["band", "key"]).select("query_id", "id").distinct()
+    """queries(query_id, text) against indexed items: (query_id, id, jaccard) at the threshold.
+
+    Buckets of any size are met: a query pairs with its bucket's members only, and the
+    adaptive planner splits a hot bucket of a join.  A query without shingles finds nothing.
+    """
+    q = queries.select(F.col("query_id").alias("id"), similarity.sketch_udf(shingle_size, hashes)("text").alias("sketch")).select("id", "sketch.codes", "sketch.sig").where(F.size("codes") > 0)
+    asked = banded(q, hashes, bands).drop("n").withColumnRenamed("id", "query_id")
+    met = asked.join(banded(items, hashes, bands).drop("n"), ["band", "key"]).select("query_id", "id").distinct()
     texts = met.join(q.select(F.col("id").alias("query_id"), F.col("codes").alias("q_codes")), "query_id").join(items.select("id", "codes"), "id")
     return texts.withColumn("jaccard", similarity.jaccard_column(F.col("q_codes"), F.col("codes"))).where(F.col("jaccard") >= threshold).select("query_id", "id", "jaccard")
 

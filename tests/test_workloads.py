@@ -55,6 +55,23 @@ def test_bucket_limit_drops_large_families(spark):
     assert overlap.candidate_pairs(items.limit(n - 1), 0.85).count() == (n - 1) * (n - 2) // 2
 
 
+def test_probe_against_brute_force_with_a_large_bucket(spark):
+    n = overlap.BUCKET_LIMIT + 1
+    texts = ["one and the same text of a family"] * n + ["one and the same text of a familx", "a wholly other sentence", "!!!"]
+    df = spark.createDataFrame([("p", i, ["training_dataset"], str(i), None, t) for i, t in enumerate(texts)], "path string, row_num long, roles array<string>, row_hash string, discriminator string, sim_text string")
+    asked = {"a": "One and the same text of a family!", "b": "a wholly other sentences", "c": "", "d": "???", "e": None, "f": "nothing like it"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, text string")
+    got = {(r["query_id"], r["id"]): round(r["jaccard"], 9) for r in overlap.probe(overlap.similarity_items(df), queries, 0.3).collect()}
+    facts = lambda t: (s := similarity.shingle_set(similarity.normal_form(t or ""), 3), similarity.signature(s, 64))
+    indexed, want = [facts(t) for t in texts], {}
+    for q, text in asked.items():
+        own, sig = facts(text)
+        for i, (held, other) in enumerate(indexed):
+            if own and any(sig[b : b + 4] == other[b : b + 4] for b in range(0, 64, 4)) and (score := similarity.jaccard(own, held)) >= 0.3:
+                want[q, f"p:{i}"] = round(score, 9)
+    assert got == want and sum(q == "a" for q, _ in got) >= n
+
+
 def test_leakage_with_and_without_inner_words(spark):
     found = spark.createDataFrame([("e", 1, "answer", "abcdefghijklmnopqrst"), ("e", 2, "answer", "part of a longer wordxx")], "path string, row_num long, field string, answer string")
     corpus = spark.createDataFrame([("r", 1, "zzabcdefghijklmnopqrstzz"), ("r", 2, "some_part of a longer wordxxy"), ("s", 3, "none")], "rag_artifact string, rag_row long, rag_text string")
