@@ -44,6 +44,7 @@ BLOCK = 512  # bits a rank entry covers
 #: Words in each of the two generations that a worker remembers, about 200 bytes each.
 MEMO_WORDS = 350_000
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\x80-\xff]")
 CLOSING = b".,!?;:&%$#*)\"]}"
 
 
@@ -231,6 +232,21 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def cased_words(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z lower-cased where that leaves the ids as they are.
+
+    H and U+0331 have no composed form, h and U+0331 do, so a capital before a
+    non-ASCII byte stays in a text with marks.  The marks that compose with
+    ASCII letters are all in U+0300 to U+036F, and only U+0300 to U+037F begin
+    with the bytes CC and CD.
+    """
+    if b"<" in text:
+        return text.split()
+    if b"\xcc" in text or b"\xcd" in text:
+        return [w if CAPITAL_BEFORE_MARK.search(w) else w.lower() for w in text.split()]
+    return text.lower().split()
+
+
 class WordEncoder:
     """Encodes whole texts word by word through the tokenizers library, each word once while the memo holds it.
 
@@ -267,13 +283,14 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """UTF-8 texts -> ids as little-endian uint16.
 
-        The vocabulary's normaliser lower-cases; only its added tokens, which
-        hold "<", see case.
+        The vocabulary's normaliser composes and then lower-cases; only its added
+        tokens, which hold "<", see case.  Lower-casing A-Z first is the same but
+        for a capital with a combining mark (see cased_words).
         """
         find = self._ids.__getitem__
         gc.disable()  # only byte strings are made, no cycles
         try:
-            return [b"".join(map(find, (t if b"<" in t else t.lower()).split())) for t in texts]
+            return [b"".join(map(find, cased_words(t))) for t in texts]
         finally:
             gc.enable()
 

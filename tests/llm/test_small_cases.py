@@ -284,6 +284,18 @@ def test_wavelet_cases(spark, tmp_path):
     assert wavelet.tokenize_to_shards(df.limit(0), vocabulary, 2).count() == 0
 
 
+def test_words_with_decomposed_capitals():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(vocabulary), wavelet.WordEncoder(vocabulary)
+    pairs = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    texts = [*pairs, "Some J\u0331\u030c, (W\u030aords). J\u0591\u030c X\u2014Y \u00c9T\u0308A. J\u1dc4\u030c\u0301 PLAIN", "a < H\u0331", *[" ".join(chr(c) + chr(m) + "S." for m in range(0x2F0, 0x380)) for c in range(65, 91)]]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text[:60])
+
+
 @pytest.mark.parametrize("n, kinds", [(0, 1), (1, 1), (700, 1), (3000, 50), (5000, 40_000)])
 def test_wavelet_matrix_against_arrays(n, kinds):
     ids = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint16) + np.uint16(3)
