@@ -346,20 +346,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         chunked = chunked.select("leader", "cls", "chunks").unionByName(busy)
     members = in_blocks(chunked, "leader", "cls")
 
+    # a class is represented by its least id, a null one only if it has no other, and a text of that id
+    named = written(facts.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("least")), "shingle-classes")
     wanted = chunked.select("cls").distinct()
-    first = written(facts.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "shingle-representatives")
-    side = first.select("doc_id").distinct()
-    if first.count() <= MAX_BROADCAST_IDS:
-        side = F.broadcast(side)
-    chosen = texts.join(side, "doc_id", "left_semi")
+    first = written(named.join(wanted, "cls", "left_semi").select(F.col("least.doc_id").alias("f_id"), F.col("least.text_hash").alias("f_hash")), "shingle-representatives")
+    side = F.broadcast(first) if first.count() <= MAX_BROADCAST_IDS else first
+    chosen = texts.join(side, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")), "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
+            found = {set_key(s): s for s in (shingle_set(t.as_py(), n) for t in batch.column(0))}
+            new = {key: s.tobytes() for key, s in found.items() if key not in seen}
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["cls", "shingles"])
 
-    # rows that repeat an id give a class twice; the verifier drops repeats within a block
-    sets = chosen.select("doc_id", "text").mapInArrow(to_sets, "cls binary, shingles binary")
+    # rows that repeat an id and text give a class once in each task; the verifier drops repeats within a block
+    sets = chosen.select("text").mapInArrow(to_sets, "cls binary, shingles binary")
 
     def verify(table: pa.Table) -> pa.Table:
         once = list({key: at for at, key in enumerate(table.column("cls").to_pylist())}.values())
@@ -377,9 +380,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     roots = connected_components(written(blocks, "shingle-links"))
 
     # classes of one component, and documents of one class
-    named = written(facts.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")), "shingle-classes")
     whole = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = whole.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
     # written, so that both sides of the join are exchanged as they are and a class of many copies can be split
     labelled = written(whole.join(least, "component").select("cls", "component_id"), "shingle-labels")
     return facts.join(labelled, "cls", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

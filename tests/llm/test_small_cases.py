@@ -393,6 +393,17 @@ def test_jaccard_removal(spark):
     assert jaccard_join.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_jaccard_links_through_null_ids(spark, monkeypatch):
+    words = lambda start, letter="w": " ".join(f"{letter}{i}" for i in range(start, start + 100))
+    # 10 and 11 are linked only through a text without id; 20 has a near copy without id; the last two have none
+    rows = [(10, words(0)), (None, words(8)), (11, words(16)), (20, words(0, "x")), (None, words(4, "x")), (None, words(0, "y")), (None, words(4, "y"))]
+    df = docs_of(spark, [(i, t, "s") for i, t in rows])
+    for most in (jaccard_join.MAX_BROADCAST_IDS, 0):
+        monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_IDS", most)
+        got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard_join.jaccard_components(df).collect())
+        assert got == [(0, 0), (0, 0), (0, 10), (0, 20), (10, 10), (11, 10), (20, 20)]
+
+
 def brute_shards(rows, shards=16, seed=10):
     """Every row's shard and slot from one sorted list; a null id sorts first and is shown as -1."""
     strata = {}
