@@ -318,8 +318,13 @@ def forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     return spanning_forest(m, zip(*[x.tolist() for x in np.nonzero(np.triu(links, 1))], strict=True))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK, max_ranked: int = MAX_RANKED) -> DataFrame:
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id."""
+    return headed_components(docs, **options).drop("head_hash")
+
+
+def headed_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK, max_ranked: int = MAX_RANKED) -> DataFrame:
+    """jaccard_components with head_hash: component_id and it name the one text that leads the component."""
     spark = docs.sparkSession
     spans = _ranges(spark)
     bits = spans.bit_length() - 1
@@ -381,25 +386,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     # classes of one component, and documents of one class
     whole = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = whole.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
+    least = whole.groupBy("component").agg(F.min("least").alias("head")).select("component", F.col("head.doc_id").alias("component_id"), F.col("head.text_hash").alias("head_hash"))
     # written, so that both sides of the join are exchanged as they are and a class of many copies can be split
-    labelled = written(whole.join(least, "component").select("cls", "component_id"), "shingle-labels")
-    return facts.join(labelled, "cls", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    labelled = written(whole.join(least, "component").select("cls", "component_id", "head_hash"), "shingle-labels")
+    return facts.join(labelled, "cls", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "head_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, that of the least id, all columns kept; documents without words stay.
 
-    Removed documents are found by id and text.  Repeated rows of a kept id are reduced to one.
+    Documents are told apart by id and text: of several texts of a component's least id, or of
+    a component without ids, that of the least hash stays.  Repeated rows of it are reduced to one.
     """
-    labelled = written(jaccard_components(docs, id_col=id_col, text_col=text_col, **options), "near-duplicates")
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    removed = labelled.where((F.col("n_shingles") > 0) & ~kept).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct()
-    repeated = labelled.where((F.col("n_shingles") > 0) & kept & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("d_id"))
+    labelled = written(headed_components(docs, id_col=id_col, text_col=text_col, **options), "near-duplicates").where("n_shingles > 0")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("head_hash"))
+    removed = labelled.where(~kept).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct()
+    repeated = labelled.where(kept).groupBy(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash")).count().where("count > 1").drop("count")
     side = F.broadcast(removed) if removed.count() <= MAX_BROADCAST_IDS else removed
     rows = packed(docs, own_id=F.col(id_col).cast("long"), own_hash=F.xxhash64(text_col))
     left = rows.join(side, F.col("own_id").eqNullSafe(F.col("r_id")) & (F.col("own_hash") == F.col("r_hash")), "left_anti")
     if repeated.limit(1).count() == 0:
         return left.select("row.*")
-    once = left.join(repeated, F.col("own_id") == F.col("d_id"), "left_semi").dropDuplicates(["own_id"])
-    return left.join(repeated, F.col("own_id") == F.col("d_id"), "left_anti").unionByName(once).select("row.*")
+    again = F.col("own_id").eqNullSafe(F.col("d_id")) & (F.col("own_hash") == F.col("d_hash"))
+    once = left.join(repeated, again, "left_semi").dropDuplicates(["own_id", "own_hash"])
+    return left.join(repeated, again, "left_anti").unionByName(once).select("row.*")

@@ -404,6 +404,16 @@ def test_jaccard_links_through_null_ids(spark, monkeypatch):
         assert got == [(0, 0), (0, 0), (0, 10), (0, 20), (10, 10), (11, 10), (20, 20)]
 
 
+def test_jaccard_removal_of_texts_that_share_an_id(spark):
+    words = lambda start, letter="w": " ".join(f"{letter}{i}" for i in range(start, start + 100))
+    alone = [(5, words(0, "a")), (5, words(0, "b")), (5, ""), (5, None), (None, words(0, "c")), (None, words(0, "d"))]
+    near = [(6, words(0, "e")), (6, words(4, "e"))], [(None, words(0, "f")), (None, words(4, "f")), (None, words(4, "f"))], [(7, words(0, "g")), (7, words(0, "g")), (None, words(4, "g"))]
+    rows = [*alone, *sum(near, [])]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.drop_near_duplicates(docs_of(spark, [(*r, "s") for r in rows]).repartition(3)).collect()]
+    assert len(kept) == len(alone) + len(near) and set(alone) < set(kept)
+    assert all(len(set(group) & set(kept)) == 1 for group in near) and near[2][0] in kept
+
+
 def brute_shards(rows, shards=16, seed=10):
     """Every row's shard and slot from one sorted list; a null id sorts first and is shown as -1."""
     strata = {}
