@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.llm import decontamination, html_mincut, jaccard_join, lattice, mixing, quality, sharding, url_cascade, warc, wavelet
-from lakewarden.llm.common import ascii_lower
+from lakewarden.llm.common import ascii_lower, written
 
 DOCS = "doc_id long, text string, source string, `row` int, wh string, good boolean, doc_hash long, p int, size int, h int, _size int, own_id int"
 EXTRA = (7, "x", True, 1, 2, 3, 4, 5, 6)
@@ -267,6 +267,33 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert universe.where(url_cascade.member(F.col("key"), levels) != F.col("listed")).count() == 0
 
 
+def test_many_listed_keys_in_linear_time(spark, monkeypatch):
+    """A test of a key must not read the whole filter: a million listed keys, a million urls."""
+    import time
+
+    n = 1_000_000
+    rules = spark.range(n).select(F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"), F.concat(F.lit("h"), F.col("id"), F.lit(".example.org")).alias("host"), F.lit("/a/").alias("path"))
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h"), 3 * F.col("id"), F.lit(".example.org/a/b?c")).alias("url"))
+    began = time.perf_counter()
+    judged = written(url_cascade.judge_urls(pages, rules, default="none"), "many-urls")
+    assert time.perf_counter() - began < 150
+    want = F.when(3 * F.col("page_id") >= n, "none").when(F.col("page_id") % 2 == 0, "block").otherwise("allow")
+    assert judged.count() == n and judged.where(F.col("verdict") != want).count() == 0
+    # beyond the bound of one filter keys are judged slice by slice, with the same results
+    monkeypatch.setattr(url_cascade, "MAX_LEVEL_BITS", 1000)
+    few, some = rules.limit(0).unionByName(rules.where("substring(host, 2, 10) LIKE '__.%'")), pages.where("page_id < 60")
+    assert some.count() == url_cascade.judge_urls(some, few, default="none").where(F.col("verdict") == F.when(~F.col("page_id").between(4, 33), "none").when(F.col("page_id") % 2 == 0, "block").otherwise("allow")).count()
+
+
+def test_long_hosts_and_oversized_filters(spark):
+    rules = [url_cascade.UrlRule("block", "b.c", "/"), url_cascade.UrlRule("allow", "b.c", "/")]
+    urls = ["http://" + "a." * 20_000 + "b.c/x", "http://" + "a." * 20_000 + "c/x", "http://b.c/" + "x" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r["verdict"] for r in url_cascade.judge_urls(pages, rules, default="none").orderBy("page_id").collect()] == ["block", "none", "block"]
+    with pytest.raises(ValueError):
+        url_cascade.judge_urls(pages, [url_cascade.UrlRule(str(i), "b.c", "/") for i in range(17)])
+
+
 def test_wavelet_cases(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
