@@ -229,16 +229,55 @@ def test_held_out_accuracy_of_the_block_classifier():
     import random
 
     rng, right, total = random.Random(99), 0, 0
-    for _ in range(100):
-        page, truth = html_mincut.generated_page(rng)
-        blocks = html_mincut.parse_blocks(page)
-        assert len(blocks) == len(truth)
-        labels = html_mincut.label_blocks(blocks, html_mincut.trained_weights())
+    for _ in range(200):
+        text, truth = html_mincut.generated_page(rng)
+        page = html_mincut.parse_page(text)
+        assert len(page.blocks) == len(truth)
+        labels = html_mincut.label_blocks(page, html_mincut.trained_weights())
         right += sum(a == b for a, b in zip(labels, truth, strict=True))
         total += len(truth)
     assert right / total > 0.97
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (
+            '''<body><div class="zeitleiste"><a href="/">Start</a> <a href="/s">Sport</a> <a href="/p">Politik</a></div><div class="inhalt"><h1>Neue Brücke eröffnet</h1><p>Am Montag wurde in der Stadt die neue Brücke
+            eröffnet, die beide Ufer verbindet.</p><p>Viele Menschen kamen, um sie zu sehen. Die Bauzeit betrug drei Jahre.</p></div><div class="kommentare"><p>Endlich ist sie fertig, das hat ja lange gedauert!</p></div>
+            <div class="fuss"><p>© 2024 Stadtblatt. Alle Rechte vorbehalten.</p></div></body>''',
+            "Neue Brücke eröffnet\nAm Montag wurde in der Stadt die neue Brücke eröffnet, die beide Ufer verbindet.\nViele Menschen kamen, um sie zu sehen. Die Bauzeit betrug drei Jahre.",
+        ),
+        (
+            '''<table id="enveloppe"><tr><td class="gauche"><ul><li><a href=1>Accueil</a><li><a href=2>Culture</a></ul></td><td class="corps"><h1>Le marché</h1><p>Le marché du village ouvre chaque samedi matin, et les visiteurs
+            viennent de loin.<p>On y trouve du fromage, du pain et des fleurs.<ul><li>Le pain est cuit au feu de bois.<li>Les fleurs viennent du sud.</ul></td></tr></table><div id="bas"><p>© Le Journal</p></div>''',
+            "Le marché\nLe marché du village ouvre chaque samedi matin, et les visiteurs viennent de loin.\nOn y trouve du fromage, du pain et des fleurs.\nLe pain est cuit au feu de bois.\nLes fleurs viennent du sud.",
+        ),
+        (
+            '<div class="ue"><a href=/>ホーム</a><a href=/n>ニュース</a></div><div class="honbun"><h1>新しい橋が開通</h1><p>月曜日に新しい橋が開通し、多くの人が集まりました。</p><p>市長は式典であいさつし、地域の発展に期待を示しました。</p></div><div class="shita">© 2024 新聞社</div>',
+            "新しい橋が開通\n月曜日に新しい橋が開通し、多くの人が集まりました。\n市長は式典であいさつし、地域の発展に期待を示しました。",
+        ),
+        (
+            "<div><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></div><div><h1>A plain page</h1><p>Nothing here has a name, yet the text is long enough to be told apart.</p><noscript><p>This part is for readers without scripts, and it is text like any other.</p></noscript><p>It ends here.</p></div>",
+            "A plain page\nNothing here has a name, yet the text is long enough to be told apart.\nThis part is for readers without scripts, and it is text like any other.\nIt ends here.",
+        ),
+    ],
+)
+def test_pages_with_unknown_names_in_other_languages(page, expected):
+    assert html_mincut.extract_text(page) == expected
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<b>x", "</i>", "<a ", '<a ">" ', "<ul>", "<td></td>", "&", "<", "<!--", "<script></script ", "<table><tr><td>", "<li>a<p>"])
+def test_a_megabyte_of_markup_takes_seconds(unit):
+    import time
+
+    page = "<b>x" * 20_000 + unit * (1_000_000 // len(unit)) + "</i>" * 20_000
+    html_mincut.trained_weights()
+    began = time.perf_counter()
+    html_mincut.extract_text(page)
+    assert time.perf_counter() - began < 5  # under 2 s on an idle core
+
+
 def test_url_cases(spark):
     rules = [url_cascade.UrlRule("allow", "com", "/"), url_cascade.UrlRule("block", "example.com", "/en/"), url_cascade.UrlRule("allow", "www.example.com", "/en/")]
     urls = ["http://EXAMPLE.com/en/1", "https://www.example.com/en/x?q#f", "http://a.example.com/en", "x://badexample.com/en/", None, "no scheme", "http://example.com", "a://b://c.com/", "http://com/\n", "", "http://example.com.evil.net/en/"]
