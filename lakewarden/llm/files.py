@@ -41,6 +41,18 @@ def open_input(uri: str):
     return store.open_input_stream(path, compression=None)
 
 
-def read_all(uri: str) -> bytes:
-    with open_input(uri) as stream:
-        return stream.read()
+class open_ranges:  # noqa: N801  used like open()
+    """A file of the shared folder whose parts are read by offset and length."""
+
+    def __init__(self, uri: str):
+        store, path = open_store(uri)
+        self._file = store.open_input_file(path)
+
+    def read(self, offset: int, length: int) -> bytes:
+        return self._file.read_at(length, offset)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *problem) -> None:
+        self._file.close()

@@ -3,16 +3,25 @@
 A shard holds a contiguous range of document ids.  Its token ids are numbered by
 the shard's own sorted alphabet and kept as bit-planes, as many as that needs:
 plane b has the b-th highest bit of every number, in the order that the
-planes above produce (zeros first, stably).  With a rank directory over each
-plane, the file answers access(position), rank/count(token), select(token, k)
-and occurrences(token) without unpacking the ids.
+planes above produce (zeros first, stably).
+
+The file: magic, header length, JSON header, then sections that are compressed
+on their own: documents, which of them have an id, lengths, alphabet, the rank
+directory (for each plane the ones before each block of BLOCK_BITS, and where its
+blocks stand), and the blocks of the planes one by one.  A reader loads all but
+the blocks; access(position), rank/count(token), select(token, k) and
+occurrences(token) then read a block or two of each plane (`ShardFile`).
+
+A task closes a shard when it holds SHARD_TOKENS tokens and begins the next one,
+so neither memory nor files grow with the number of rows in a task.  A document is
+never cut; one of more tokens than that is a shard of its own size.
 
 Encoding: text is cut at ASCII white space, which no token of the vocabulary's
 pre-tokenizer spans, and a worker encodes each distinct word once, by the
 tokenizers library; ids are the same as for the whole text.
 
 Null and odd input: a null or empty text is its end id alone.  Null ids come
-first; repeated ids stand side by side.  An empty table gives no file.
+first; repeated ids stand side by side, in one task.  An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -24,7 +33,8 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,15 +42,20 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
-from .files import AtomicFile, read_all
-from .words import WordMemo
+from .files import AtomicFile, open_ranges
+from .words import WordMemo, settled
 
-MAGIC = b"LWWM0001"
+MAGIC = b"LWWM0002"
 BITS = 16
-BLOCK = 512  # bits a rank entry covers
+BLOCK_BITS = 1 << 16  # places of a plane that are compressed together and that a rank entry covers
+#: Tokens at which a task closes a shard and begins the next.
+SHARD_TOKENS = 1 << 23
+#: Tasks that read shards back, at most; each reads its files one after the other.
+MOST_READERS = 20_000
 #: Words in each of the two generations that a worker remembers, about 200 bytes each.
 MEMO_WORDS = 350_000
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -75,16 +90,21 @@ def merge_stably(off: np.ndarray, on: np.ndarray, bit: np.ndarray) -> np.ndarray
 
 
 class WaveletMatrix:
-    """Bit-planes over uint16 symbols, with popcounts before every block of 512 bits."""
+    """Bit-planes over uint16 symbols, block by block, with the ones before each block.
+
+    block(level, b) gives a block's bytes: from memory, or out of a file.
+    """
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], symbols: np.ndarray):
-        self.n, self.planes, self.zeros, self.symbols = n, planes, zeros, symbols
-        self.depth = len(planes)
-        self._ranks: list[np.ndarray | None] = [None] * len(planes)
+    def __init__(self, n: int, zeros: list[int], symbols: np.ndarray, ones: np.ndarray, block: Callable[[int, int], np.ndarray]):
+        self.n, self.zeros, self.symbols, self.ones, self.block = n, zeros, symbols, ones, block
+        self.depth = len(zeros)
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        symbols = np.flatnonzero(np.bincount(ids, minlength=1)).astype(np.uint16)
+        seen = np.zeros(1 << BITS, bool)
+        for at in range(0, len(ids), CHUNK):
+            seen[ids[at : at + CHUNK]] = True
+        symbols = np.flatnonzero(seen).astype(np.uint16)
         codes = np.zeros(1 << BITS, np.uint16)
         codes[symbols] = np.arange(len(symbols), dtype=np.uint16)
         current, planes, zeros = codes[ids], [], []
@@ -94,41 +114,40 @@ class WaveletMatrix:
             planes.append(np.packbits(bit))
             zeros.append(len(off))
             current = np.concatenate((off, on))
-        return cls(len(ids), planes, zeros, symbols)
-
-    def _rank_directory(self, level: int) -> np.ndarray:
-        if self._ranks[level] is None:
-            packed = np.zeros(-(-self.n // BLOCK) * (BLOCK // 8), np.uint8)
-            packed[: len(self.planes[level])] = self.planes[level]
-            counts = np.bitwise_count(packed).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-            self._ranks[level] = np.concatenate(([0], np.cumsum(counts)))
-        return self._ranks[level]
-
-    def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
-        return (self.planes[level][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-
-    def _ones_before(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones in [0, at) of a plane: directory entry, whole bytes of the block, bits of the last byte."""
-        directory, plane = self._rank_directory(level), self.planes[level]
-        block = at // BLOCK
-        out = directory[block].copy()
-        first = block * (BLOCK // 8)
-        for i in range(BLOCK // 8):
-            byte = first + i
-            whole = byte < (at >> 3)
-            if not whole.any():
-                break
-            out[whole] += np.bitwise_count(plane[byte[whole]])
-        rest = at & 7
-        part = rest > 0
-        out[part] += np.bitwise_count(plane[at[part] >> 3] >> (8 - rest[part]).astype(np.uint8))
-        return out
+        width = BLOCK_BITS // 8
+        blocks = -(-len(ids) // BLOCK_BITS)
+        ones = np.array([np.cumsum([0, *[int(np.bitwise_count(p[k * width : (k + 1) * width]).sum()) for k in range(blocks)]]) for p in planes], np.int64)
+        return cls(len(ids), zeros, symbols, ones, lambda level, k: planes[level][k * width : (k + 1) * width])
+
+    @property
+    def blocks(self) -> int:
+        return self.ones.shape[1] - 1
+
+    def _bits(self, level: int, k: int) -> np.ndarray:
+        return np.unpackbits(self.block(level, k), count=min(BLOCK_BITS, self.n - k * BLOCK_BITS))
+
+    def _look(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits at the places of a plane (0 at its end), and the ones before them."""
+        bits, before = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+        of = at // BLOCK_BITS
+        for k in np.unique(of).tolist():
+            here = np.flatnonzero(of == k)
+            inside = at[here] - k * BLOCK_BITS
+            before[here] = self.ones[level, k]
+            if k == self.blocks:
+                continue
+            held = self._bits(level, k)
+            upto = np.concatenate(([0], np.cumsum(held, dtype=np.int64)))
+            before[here] += upto[inside]
+            bits[here] = np.append(held, np.uint8(0))[inside]
+        return bits, before
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the stable splits from the lowest plane up."""
         values = np.zeros(self.n, np.uint16)
         for level in range(self.depth - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            packed = [self.block(level, k) for k in range(self.blocks)]
+            bit = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n).view(bool)
             z = self.zeros[level]
             values = merge_stably(values[:z], values[z:] | np.uint16(1 << (self.depth - 1 - level)), bit)
         return self.symbols[values]
@@ -137,8 +156,7 @@ class WaveletMatrix:
         at = np.asarray(positions, np.int64)
         out = np.zeros(len(at), np.uint16)
         for level in range(self.depth):
-            bit = self._bit(level, at).astype(bool)
-            ones = self._ones_before(level, at)
+            bit, ones = self._look(level, at)
             out |= bit.astype(np.uint16) << np.uint16(self.depth - 1 - level)
             at = np.where(bit, self.zeros[level] + ones, at - ones)
         return self.symbols[out]
@@ -153,7 +171,7 @@ class WaveletMatrix:
             return 0, 0
         lo, hi = 0, end
         for level in range(self.depth):
-            ones = self._ones_before(level, np.array([lo, hi], np.int64))
+            _, ones = self._look(level, np.array([lo, hi], np.int64))
             if code >> (self.depth - 1 - level) & 1:
                 lo, hi = int(self.zeros[level] + ones[0]), int(self.zeros[level] + ones[1])
             else:
@@ -168,60 +186,87 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) bit of the given value in a plane, by bisection over its rank."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = int(self._ones_before(level, np.array([mid + 1], np.int64))[0])
-            if (ones if bit else mid + 1 - ones) <= k:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
+    def _select_bits(self, level: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Places of the nth (from 0) bits of the given value in a plane: the block by the directory, then inside it."""
+        starts = np.minimum(np.arange(self.blocks + 1) * BLOCK_BITS, self.n)
+        before = self.ones[level] if bit else starts - self.ones[level]
+        of = np.searchsorted(before, nth, "right") - 1
+        out = np.zeros(len(nth), np.int64)
+        for k in np.unique(of).tolist():
+            here = np.flatnonzero(of == k)
+            out[here] = k * BLOCK_BITS + np.flatnonzero(self._bits(level, k) == bit)[nth[here] - before[k]]
+        return out
 
-    def select(self, token: int, k: int) -> int:
-        """Position of the k-th occurrence (from 0), or -1."""
-        lo, hi = self._range(token, self.n)
-        if not 0 <= k < hi - lo:
-            return -1
-        at, code = lo + k, self._code(token)
+    def _upward(self, token: int, at: np.ndarray) -> np.ndarray:
+        """From places below the last plane back to positions."""
+        code = self._code(token)
         for level in range(self.depth - 1, -1, -1):
             if code >> (self.depth - 1 - level) & 1:
-                at = self._select_bit(level, 1, at - self.zeros[level])
+                at = self._select_bits(level, 1, at - self.zeros[level])
             else:
-                at = self._select_bit(level, 0, at)
+                at = self._select_bits(level, 0, at)
         return at
 
+    def select(self, token: int, k: int) -> int:
+        """Position of the k-th occurrence (from 0), or -1."""
+        lo, hi = self._range(token, self.n)
+        return int(self._upward(token, np.array([lo + k], np.int64))[0]) if 0 <= k < hi - lo else -1
+
     def occurrences(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        """All positions of the token, in order."""
+        lo, hi = self._range(token, self.n)
+        return self._upward(token, np.arange(lo, hi, dtype=np.int64)).tolist() if hi > lo else []
 
 
-def dump_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level: int = 1) -> bytes:
-    """The shard's file: magic, header length, JSON header, then zstd sections (documents, lengths, alphabet, planes)."""
+def dump_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, level: int = 1) -> Iterator[bytes]:
+    """The shard's file, piece by piece."""
     matrix = WaveletMatrix.build(ids)
-    squeeze = zstandard.ZstdCompressor(level=level)
+    squeeze = zstandard.ZstdCompressor(level=level).compress
+    blocks = [squeeze(matrix.block(b, k).tobytes()) for b in range(matrix.depth) for k in range(matrix.blocks)]
+    sizes = np.array([len(x) for x in blocks], "<i8")
     known = np.array([d is not None for d in doc_ids], bool)
-    sections = [np.array([d if d is not None else 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), lengths.astype("<i8").tobytes(), matrix.symbols.astype("<u2").tobytes(), *[p.tobytes() for p in matrix.planes]]
-    packed = [squeeze.compress(s) for s in sections]
-    header = json.dumps({"tokens": int(matrix.n), "docs": len(doc_ids), "zeros": matrix.zeros, "sections": [len(p) for p in packed]}).encode()
-    return MAGIC + struct.pack("<I", len(header)) + header + b"".join(packed)
-
-
-def load_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    if data[:8] != MAGIC:
-        raise ValueError("no wavelet shard")
-    size = struct.unpack("<I", data[8:12])[0]
-    header, at = json.loads(data[12 : 12 + size]), 12 + size
-    expand, sections = zstandard.ZstdDecompressor(), []
-    for n in header["sections"]:
-        sections.append(expand.decompress(data[at : at + n], max_output_size=max(2 << BITS, 8 * header["docs"], header["tokens"] // 8 + 1)))
-        at += n
-    ids = np.frombuffer(sections[0], "<i8")
-    known = np.unpackbits(np.frombuffer(sections[1], np.uint8), count=header["docs"]).astype(bool)
-    docs = [int(d) if k else None for d, k in zip(ids, known, strict=True)]
-    planes = [np.frombuffer(s, np.uint8) for s in sections[4:]]
-    return WaveletMatrix(header["tokens"], planes, header["zeros"], np.frombuffer(sections[3], "<u2")), docs, np.frombuffer(sections[2], "<i8")
+    sections = [np.array([d if d is not None else 0 for d in doc_ids], "<i8"), np.packbits(known), lengths.astype("<i8"), matrix.symbols.astype("<u2"), matrix.ones.astype("<i8"), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype("<i8")]
+    packed = [squeeze(x.tobytes()) for x in sections]
+    header = json.dumps({"tokens": int(matrix.n), "docs": len(doc_ids), "zeros": matrix.zeros, "sections": [[len(p), x.nbytes] for p, x in zip(packed, sections, strict=True)]}).encode()
+    yield MAGIC + struct.pack("<I", len(header)) + header
+    yield from packed
+    yield from blocks
+
+
+class ShardFile:
+    """A shard read by ranges: read(offset, length) gives bytes of the file.
+
+    The header, documents and directory are read at once, blocks when they are
+    asked for; the last few stay.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes], kept_blocks: int = 64):
+        head = read(0, 12)
+        if head[:8] != MAGIC:
+            raise ValueError("no wavelet shard")
+        size = struct.unpack("<I", head[8:12])[0]
+        header = json.loads(read(12, size))
+        at, expand = 12 + size, zstandard.ZstdDecompressor()
+        rest, found = read(at, sum(n for n, _ in header["sections"])), []
+        for packed, plain in header["sections"]:
+            found.append(expand.decompress(rest[: packed], max_output_size=max(plain, 1)))
+            rest = rest[packed:]
+            at += packed
+        ids = np.frombuffer(found[0], "<i8")
+        known = np.unpackbits(np.frombuffer(found[1], np.uint8), count=header["docs"]).astype(bool)
+        self.docs = [int(d) if k else None for d, k in zip(ids, known, strict=True)]
+        self.lengths = np.frombuffer(found[2], "<i8")
+        depth = len(header["zeros"])
+        ones = np.frombuffer(found[4], "<i8").reshape(depth, -1)
+        places, count = np.frombuffer(found[5], "<i8"), ones.shape[1] - 1
+
+        @lru_cache(kept_blocks)
+        def block(level: int, k: int) -> np.ndarray:
+            i = level * count + k
+            data = read(at + int(places[i]), int(places[i + 1] - places[i]))
+            return np.frombuffer(expand.decompress(data, max_output_size=BLOCK_BITS // 8), np.uint8)
+
+        self.matrix = WaveletMatrix(header["tokens"], header["zeros"], np.frombuffer(found[3], "<u2"), ones, block)
 
 
 def byte_symbols() -> list[str]:
@@ -263,8 +308,6 @@ class WordEncoder:
         if self._tokenizer.get_vocab_size() > 1 << BITS:
             raise ValueError(f"the vocabulary needs more than {BITS} bits")
         self._model = self._tokenizer.model
-        if hasattr(self._model, "_resize_cache"):  # the memo stands in for it
-            self._model._resize_cache(0)
         self._symbols = dict(enumerate(byte_symbols()))
         self._ids = WordMemo(self._encode_word, memo_words)
 
@@ -306,52 +349,61 @@ def encoder_for(vocabulary: str, memo_words: int) -> WordEncoder:
     return _encoders[key]
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
-    """Write one file per range of document ids; returns the manifest (shard, first, path, docs, tokens), already written."""
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Write each range of document ids to one file or more; returns the manifest (part, seq, path, docs, tokens), already written."""
     # the text itself is the tie-break of repeated ids, so that reruns agree
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_for(vocabulary, memo_words), np.array([end_id], "<u2").tobytes()
-        pieces, doc_ids, lengths = [], [], []
+        encoder, end, part, seq = encoder_for(vocabulary, memo_words), np.array([end_id], "<u2").tobytes(), TaskContext.get().partitionId(), 0
+        pieces, doc_ids, lengths, size = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            file = AtomicFile(folder, f"shard-{part:06d}-{seq:06d}", ".wm")
+            for piece in dump_shard(np.frombuffer(b"".join(pieces), "<u2"), doc_ids, np.array(lengths, np.int64)):
+                file.stream.write(piece)
+            values = [[part], [seq], [file.commit()], [len(doc_ids)], [size]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["part", "seq", "path", "docs", "tokens"])
+
         for batch in batches:
             codes = encoder.encode([t or b"" for t in batch.column(1).to_pylist()])
-            pieces.append(b"".join(c + end for c in codes))
-            lengths += [len(c) // 2 + 1 for c in codes]
-            doc_ids += batch.column(0).to_pylist()
-        if not doc_ids:
-            return
-        shard = TaskContext.get().partitionId()
-        file = AtomicFile(folder, f"shard-{shard:06d}", ".wm")
-        file.stream.write(dump_shard(np.frombuffer(b"".join(pieces), "<u2"), doc_ids, np.array(lengths, np.int64)))
-        values = [[shard], [file.commit()], [len(doc_ids)], [int(sum(lengths))]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["shard", "path", "docs", "tokens"])
+            for doc_id, code in zip(batch.column(0).to_pylist(), codes, strict=True):
+                n = len(code) // 2 + 1
+                if size and size + n > shard_tokens:
+                    yield close()
+                    pieces, doc_ids, lengths, size, seq = [], [], [], 0, seq + 1
+                pieces += (code, end)
+                lengths.append(n)
+                doc_ids.append(doc_id)
+                size += n
+        if doc_ids:
+            yield close()
 
-    return written(ranged.mapInArrow(write, "shard int, path string, docs long, tokens long"), "wavelet-manifest")
+    return written(ranged.mapInArrow(settled(write), "part int, seq int, path string, docs long, tokens long"), "wavelet-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document, decoded from the files: doc_id, start, n_tokens, ids_crc32, path."""
     spark = manifest.sparkSession
-    files, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["shard"]):  # a row per file
-        files.append((r["path"], start))
-        start += r["tokens"]
-    if not files:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    by_part, files, start, bases = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("files")).orderBy("part").collect(), 0, 0, []  # a row per writing task
+    for r in by_part:
+        bases.append((r["part"], start))
+        start, files = start + r["tokens"], files + r["files"]
+    within = F.coalesce(F.sum("tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    based = manifest.withColumn("within", within).join(F.broadcast(spark.createDataFrame(bases, "part int, first long")), "part").select("path", (F.col("first") + F.col("within")).alias("base"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, base in zip(pdf["path"], pdf["base"], strict=True):
-                matrix, docs, lengths = load_shard(read_all(path))
-                ids = matrix.decode()
-                ends = np.cumsum(lengths)
-                begins = ends - lengths
+                with open_ranges(path) as source:
+                    shard = ShardFile(source.read)
+                    ids = shard.matrix.decode()
+                ends = np.cumsum(shard.lengths)
+                begins = ends - shard.lengths
                 crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "start": begins + base, "n_tokens": lengths, "ids_crc32": np.array(crcs, np.int64), "path": path})
+                yield pd.DataFrame({"doc_id": pd.array(shard.docs, "Int64"), "start": begins + base, "n_tokens": shard.lengths, "ids_crc32": np.array(crcs, np.int64), "path": path})
 
-    listed = spark.createDataFrame(files, "path string, base long").repartition(len(files))
-    return listed.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    return based.repartition(max(1, min(files, MOST_READERS))).mapInPandas(settled(read), "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def tokenize_to_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:

@@ -362,24 +362,48 @@ def test_words_with_decomposed_capitals():
         assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text[:60])
 
 
-@pytest.mark.parametrize("n, kinds", [(0, 1), (1, 1), (700, 1), (3000, 50), (5000, 40_000)])
+@pytest.mark.parametrize("n, kinds", [(0, 1), (1, 1), (700, 1), (3000, 50), (5000, 40_000), (1 << 16, 9), (200_000, 30_000)])
 def test_wavelet_matrix_against_arrays(n, kinds):
     ids = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint16) + np.uint16(3)
-    data = wavelet.dump_shard(ids, [1, None], np.array([n // 2, n - n // 2]))
-    matrix, docs, lengths = wavelet.load_shard(data)
-    assert docs == [1, None] and lengths.sum() == n
+    data = b"".join(wavelet.dump_shard(ids, [1, None], np.array([n // 2, n - n // 2])))
+    asked = []
+    shard = wavelet.ShardFile(lambda at, size: asked.append(size) or data[at : at + size])
+    matrix = shard.matrix
+    assert shard.docs == [1, None] and shard.lengths.sum() == n
     assert (matrix.decode() == ids).all()
     if n:
         at = np.arange(0, n, max(1, n // 200))
-        assert (matrix.access(at) == ids[at]).all()
+        assert (matrix.access(at) == ids[at]).all() and (matrix.access([n - 1]) == ids[-1:]).all()
         token = int(ids[n // 2])
         where = np.flatnonzero(ids == token)
         assert matrix.count(token) == len(where) and matrix.rank(token, n // 3) == (where < n // 3).sum()
         assert [matrix.select(token, k) for k in range(min(3, len(where)))] == where[:3].tolist()
-        assert matrix.occurrences(token)[:5] == where[:5].tolist()
+        assert matrix.occurrences(token) == where.tolist() and matrix.select(token, len(where)) == -1
     assert matrix.count(1) == 0 and matrix.select(1, 0) == -1
 
 
+def test_queries_read_a_part_of_a_shard():
+    ids = np.random.default_rng(3).integers(0, 40_000, 2_000_000).astype(np.uint16)
+    data, asked = b"".join(wavelet.dump_shard(ids, [1], np.array([len(ids)]))), []
+    matrix = wavelet.ShardFile(lambda at, size: asked.append(size) or data[at : at + size]).matrix
+    assert matrix.access([1_234_567])[0] == ids[1_234_567]
+    assert matrix.count(int(ids[5])) == (ids == ids[5]).sum()
+    assert sum(asked) < len(data) / 5
+
+
+def test_shards_close_at_a_bound(spark, tmp_path):
+    """Files hold no more tokens than the bound, one long document aside; ids and starts stay the same."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    df = docs_of(spark, [(i % 90, f"word{i} " * (i % 17), "s") for i in range(300)] + [(45, "long " * 5000, "s")])
+    manifest = wavelet.write_shards(df, f"file://{tmp_path}/shards", vocabulary, 2, shard_tokens=500)
+    sizes = [r["tokens"] for r in manifest.collect()]
+    assert len(sizes) > 10 and sorted(sizes)[-2] <= 500 and max(sizes) > 5000
+    key = lambda frame: sorted(tuple(-1 if x is None else x for x in r) for r in frame.select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    assert key(wavelet.read_shards(manifest)) == key(wavelet.tokenize_to_shards(df, vocabulary, 2))
+
+
 def test_mixing_cases(spark):
     rows = [(i, "w " * (1 + i % 17), f"s{i % 4}") for i in range(400)] + [(1000, None, "s0"), (1001, "", None), (1002, "a b c", None), (1002, "a b c", None), (None, "x", "s1")]
     df = docs_of(spark, rows)
