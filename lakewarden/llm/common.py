@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,13 +23,19 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that the session names in spark.checkpoint.dir (or by setCheckpointDir), which driver and executors share.
+
+    Where none is named, a local session, whose executors are this very process, gets
+    a temporary one; anywhere else that would be a folder that others do not see.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lakewarden-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
@@ -47,15 +54,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back.
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Cut lineage: write df as Parquet into the shared folder and read it back; the table and its path.
 
     Unlike a cached frame the table outlives lost executors, and unlike
     localCheckpoint it has no single copy on one of them.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    return written_at(df, label)[0]
 
 
 def shuffle_width(spark: SparkSession) -> int:

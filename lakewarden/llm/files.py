@@ -11,6 +11,8 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """(file system, path) of a URI such as file:///x, hdfs://host/x or s3://bucket/x."""
     if "://" not in uri:
         uri = "file://" + uri.removeprefix("file:")
+    if uri.startswith("s3a://"):  # Hadoop's name for the same store
+        uri = "s3" + uri[3:]
     return fs.FileSystem.from_uri(uri)
 
 

@@ -3,33 +3,37 @@
 Generative models over hashed n-grams (words, runs of symbols, pairs of words)
 are counted in one pass: of the raw corpus, all documents, and of the target,
 the labelled documents of good quality that are not toxic.  Each is counted
-twice, by occurrences and by documents that hold a feature.  The log ratio of
-target to raw is smoothed by pseudo-counts.  A document's log importance is
-
-    - the mean log ratio of its occurrences, for a text of `nominal` features,
-      where it falls below -`slack` (what it is made of), and
-    - the sum of the negative log ratios of the features that it holds, each
-      shrunk by a dead zone (what it should not hold).
-
-The plain sum over occurrences would follow length, and a long text would hide a
-few words that good texts never have.  Documents are then sampled without
-replacement in proportion to importance ** (1 / temperature) by Gumbel top-k: a
-seeded Gumbel draw is added to the log weight and the k largest keys are kept.
-k is the number of documents whose weight reaches the level that all but `miss`
-of the held-out good documents reach; the k-th key is found by nested histograms.
+twice, by occurrences and by documents that hold a feature.  A document's log
+importance is
+
+- the log ratio of the target's model to the raw one, that is the sum over its
+  occurrences of log p_target - log p_raw, brought to the length of `nominal`
+  features, as the plain sum follows length; and
+- an extra term, `emphasis` times the sum over the features that it holds of the
+  log ratio by documents where it falls below -`dead_zone`: a long text would
+  else hide a few words that good texts never have.
+
+Documents are sampled without replacement in proportion to importance **
+(1 / temperature) by Gumbel top-k: a seeded Gumbel draw is added to the log weight
+and the k largest keys are kept.  k is the number of documents whose weight
+reaches the level that all but `miss` of the held-out good documents reach; the
+k-th key is found by nested histograms.
 
 Bounds: labels are a sample of at most `max_labels` rows by id hash, which is
-broadcast; counts and weights cover every document.  The model has a fixed
-number of buckets, whatever the corpus's size.
+broadcast; counts and weights cover every document.  The number of buckets grows
+with the corpus's bytes, by a factor of two for every factor of four up to
+2 ** MOST_GROWTH times (about 20 million buckets).  Counts stay on the executors,
+which write the model into the shared folder and read it from there.
 
-Defined results: a null or empty text has no features and log weight 0, so it
-is kept with the clean ones.  A label with a null in either column is not used.
+Defined results: a null or empty text has no features and no weight (null); it is
+kept, beside the k that are drawn.  A label with a null in either column is not used.
 Rows with one id get the same draw.  Without usable labels every ratio is 1 and
 all documents are kept.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,34 +41,48 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, packed, written
+from .common import hash60, packed, written, written_at
+from .files import open_store
 from .mixing import find_thresholds
-from .words import gram_hashes, hashes_of
+from .words import give_back_memory, gram_hashes, hashes_of, settled
 
-UNIGRAM_BITS = 20
-BIGRAM_BITS = 18
-BUCKETS = (1 << UNIGRAM_BITS) + (1 << BIGRAM_BITS)
+UNIGRAM_BITS, BIGRAM_BITS = 20, 18
+#: Bytes of text up to which the models have the bits above, and how often their sizes may double beyond it.
+BASE_BYTES, MOST_GROWTH = 1 << 28, 4
+#: Feature occurrences that a counting task holds before it sends them on.
+FLUSH = 2_000_000
 KEY_RANGE = 1 << 52
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 SYMBOLS = re.compile(rb"[^a-z0-9\x80-\xff\s]+")
+COUNTS = ("raw", "target", "raw_docs", "target_docs")
 
 
 @dataclass(frozen=True)
 class QualityParameters:
     pseudo: float = 3.0
     dead_zone: float = 1.0
-    nominal: float = 50.0
-    slack: float = 0.05
-    temperature: float = 0.05
+    nominal: float = 100.0
+    emphasis: float = 2.0
+    temperature: float = 1.0
     miss: float = 0.005
     max_labels: int = 200_000
     seed: int = 2
 
 
-def feature_buckets(text: bytes | None) -> np.ndarray:
+def growth_of(text_bytes: int) -> int:
+    """How often the models' sizes double: half as often as the corpus, as its vocabulary grows more slowly."""
+    return min(MOST_GROWTH, max(0, math.ceil(math.log2(max(1, text_bytes) / BASE_BYTES) / 2)))
+
+
+def bucket_count(growth: int) -> int:
+    return (1 << (UNIGRAM_BITS + growth)) + (1 << (BIGRAM_BITS + growth))
+
+
+def feature_buckets(text: bytes | None, growth: int = 0) -> np.ndarray:
     """Buckets of a text's words, its runs of symbols, and its pairs of neighbouring words.
 
     Symbols stand apart from the words they cling to, so that decorated words
@@ -73,73 +91,99 @@ def feature_buckets(text: bytes | None) -> np.ndarray:
     low = (text or b"").lower()
     words = hashes_of(WORD.findall(low))
     single = np.concatenate((words, hashes_of(SYMBOLS.findall(low))))
-    one = (gram_hashes(single, 1) >> np.uint64(64 - UNIGRAM_BITS)).astype(np.int64)
-    two = (gram_hashes(words, 2) >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64) + (1 << UNIGRAM_BITS)
+    one = (gram_hashes(single, 1) >> np.uint64(64 - UNIGRAM_BITS - growth)).astype(np.int32)
+    two = (gram_hashes(words, 2) >> np.uint64(64 - BIGRAM_BITS - growth)).astype(np.int32) + np.int32(1 << (UNIGRAM_BITS + growth))
     return np.concatenate((one, two))
 
 
-def count_features(rows: DataFrame) -> DataFrame:
+def count_features(rows: DataFrame, growth: int = 0) -> DataFrame:
     """rows(text binary, target boolean) -> (bucket, raw, target, raw_docs, target_docs) sums over all rows."""
-    names = ["raw", "target", "raw_docs", "target_docs"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((4, BUCKETS), np.int64)
+        found: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        good: list[np.ndarray] = []
+        size = 0
+
+        def sums() -> pa.RecordBatch:
+            bucket, at = np.unique(np.concatenate(found), return_inverse=True)
+            n, fine = np.concatenate(times).astype(float), np.concatenate(good)
+            columns = [np.bincount(at, n), np.bincount(at, n * fine), np.bincount(at), np.bincount(at, fine)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(c.astype(np.int64)) for c in columns]], ["bucket", *COUNTS])
+
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found, times = np.unique(feature_buckets(text.as_py()), return_counts=True)
-                sums[0, found] += times
-                sums[2, found] += 1
-                if good:
-                    sums[1, found] += times
-                    sums[3, found] += 1
-        seen = np.flatnonzero(sums[0])
-        for at in range(0, len(seen), 1 << 16):
-            part = seen[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(sums[i, part]) for i in range(4)]], ["bucket", *names])
-
-    counted = rows.mapInArrow(count, "bucket int, raw long, target long, raw_docs long, target_docs long")
-    return counted.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def log_ratios(raw: np.ndarray, target: np.ndarray, pseudo: float) -> np.ndarray:
-    """Log ratio of the smoothed target model to the raw one, per bucket."""
-    if not target.sum():
-        return np.zeros(len(raw))
-    expected = raw * (target.sum() / raw.sum())
-    return np.log((target + pseudo) / (expected + pseudo))
-
-
-def log_importance(found: np.ndarray, by_count: np.ndarray, by_document: np.ndarray, p: QualityParameters) -> float:
-    """The log weight of a document with the given feature buckets."""
+            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                buckets, n = np.unique(feature_buckets(text.as_py(), growth), return_counts=True)
+                found.append(buckets)
+                times.append(n)
+                good.append(np.full(len(buckets), float(target)))
+                size += len(buckets)
+                if size > FLUSH:
+                    yield sums()
+                    found, times, good, size = [], [], [], 0
+        if found:
+            yield sums()
+
+    counted = rows.mapInArrow(settled(count), "bucket int, " + ", ".join(f"{n} long" for n in COUNTS))
+    return counted.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in COUNTS])
+
+
+def log_ratio(raw: Column, target: Column, share: float, pseudo: float) -> Column:
+    """Log ratio of the smoothed target model to the raw one; share: the target's part of all that was counted."""
+    return (F.log((target + pseudo) / (raw * share + pseudo)) if share else F.lit(0.0)).cast("float")
+
+
+def log_importance(found: np.ndarray, by_count: np.ndarray, by_document: np.ndarray, p: QualityParameters) -> float | None:
+    """The log weight of a document with the given feature buckets; None if it has none."""
     if not len(found):
-        return 0.0
-    made_of = min(float(by_count[found].mean(dtype=np.float64)) + p.slack, 0.0)
+        return None
     held = by_document[np.unique(found)].astype(np.float64)
-    return p.nominal * made_of + float(np.minimum(held + p.dead_zone, 0.0).sum())
+    return p.nominal * float(by_count[found].mean(dtype=np.float64)) + p.emphasis * float(np.minimum(held + p.dead_zone, 0.0).sum())
+
+
+_models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def load_model(uri: str, growth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios by occurrences and by documents for each bucket; a worker reads them once."""
+    if uri not in _models:
+        store, path = open_store(uri)
+        table = pq.read_table(path, filesystem=store)
+        by_count, by_document = np.zeros(bucket_count(growth), np.float32), np.zeros(bucket_count(growth), np.float32)
+        bucket = table.column("bucket").to_numpy()
+        by_count[bucket], by_document[bucket] = table.column("by_count").to_numpy(), table.column("by_document").to_numpy()
+        _models.clear()
+        _models[uri] = (by_count, by_document)
+    return _models[uri]
 
 
 class QualityModel:
-    """Log ratios by bucket, the level that good documents reach, and the cut of the sampling keys."""
+    """Log ratios by bucket, the level that good documents reach, and the cut of the sampling keys.
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, parameters: QualityParameters = QualityParameters(), id_col: str = "doc_id", text_col: str = "text"):
+    rows: the documents with their log_weight, written once; with all their columns
+    as `row` where `carry` is set, so that nobody has to weigh them again.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, parameters: QualityParameters = QualityParameters(), id_col: str = "doc_id", text_col: str = "text", carry: bool = False):
         self.parameters = parameters
-        p, spark = parameters, docs.sparkSession
+        p = parameters
         usable = labels.select(F.col("doc_id").alias("l_id"), (F.col("quality") == 1).alias("fine"), (F.col("toxic") == 1).alias("toxic")).where("l_id IS NOT NULL AND fine IS NOT NULL AND toxic IS NOT NULL")
         usable = usable.groupBy("l_id").agg(F.bool_and(F.col("fine") & ~F.col("toxic")).alias("good")).withColumn("l_hash", hash60(F.lit(p.seed), F.col("l_id")))
         share = min(1.0, p.max_labels / max(1, usable.count()))
         # about max_labels rows; every fifth calibrates the level and stays out of the target model
         sample = usable.where(F.col("l_hash") < int(share * (1 << 60))).withColumn("held", F.col("l_hash") % 5 == 0)
         sample = written(sample.drop("l_hash"), "quality-labels")
-        lean = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+        text = F.col(text_col).cast("binary")
+        self.growth = growth_of(docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)
+        lean = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
         marked = lean.join(F.broadcast(sample.where("good AND NOT held").select("l_id", "good")), F.col("doc_id") == F.col("l_id"), "left")
-        counts = count_features(marked.select("text", F.coalesce("good", F.lit(False)).alias("target")))
-        found = counts.toArrow()  # BUCKETS rows at most
-        sums = np.zeros((4, BUCKETS))
-        for i, name in enumerate(("raw", "target", "raw_docs", "target_docs")):
-            sums[i, found.column("bucket").to_numpy()] = found.column(name).to_numpy()
-        self.by_count, self.by_document = (log_ratios(sums[i], sums[i + 1], p.pseudo).astype(np.float32) for i in (0, 2))
-        self._shared = spark.sparkContext.broadcast((self.by_count, self.by_document))
-        self.weights = written(lean.select("doc_id", self.log_weight(F.col("text")).alias("log_weight")), "quality-weights")
+        counts = written(count_features(marked.select("text", F.coalesce("good", F.lit(False)).alias("target")), self.growth), "quality-counts")
+        total = counts.agg(*[F.sum(n).alias(n) for n in COUNTS]).first()
+        part = lambda a, b: (total[b] or 0) / total[a] if total[a] else 0.0
+        self.ratios, self._uri = written_at(counts.select("bucket", log_ratio(F.col("raw"), F.col("target"), part("raw", "target"), p.pseudo).alias("by_count"), log_ratio(F.col("raw_docs"), F.col("target_docs"), part("raw_docs", "target_docs"), p.pseudo).alias("by_document")), "quality-model")
+        weighed = packed(docs, doc_id=F.col(id_col), log_weight=self.log_weight(F.col(text_col))) if carry else lean.select("doc_id", self.log_weight(F.col("text")).alias("log_weight"))
+        self.rows = written(weighed, "quality-weights")
+        self.weights = self.rows.select("doc_id", "log_weight")
         held = self.weights.join(F.broadcast(sample.where("good AND held").select("l_id")), F.col("doc_id") == F.col("l_id"))
         level = held.agg(F.percentile_approx("log_weight", p.miss, 10_000).alias("level")).first()["level"]
         self.level = -float("inf") if level is None else level
@@ -147,16 +191,18 @@ class QualityModel:
         facts = keyed.agg(F.count(F.when(F.col("log_weight") >= self.level, 1)).alias("k"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
         self.k, self._hi = facts["k"], facts["hi"] or 0.0
         self._unit = max((self._hi - (facts["lo"] or 0.0)), 1e-9) / KEY_RANGE
-        places = keyed.select(F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("size"), self._place(F.col("key")).alias("h"))
+        places = keyed.where("key IS NOT NULL").select(F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("size"), self._place(F.col("key")).alias("h"))
         self.cut = find_thresholds(places, {None: float(self.k)})[None]
 
     def log_weight(self, text: Column) -> Column:
-        shared, p = self._shared, self.parameters
+        uri, growth, p = self._uri, self.growth, self.parameters
 
         @F.pandas_udf("double")
-        def weigh(texts: pd.Series) -> pd.Series:
-            by_count, by_document = shared.value
-            return pd.Series([log_importance(feature_buckets(t), by_count, by_document, p) for t in texts], dtype="float64")
+        def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            by_count, by_document = load_model(uri, growth)
+            for texts in batches:
+                yield pd.Series([log_importance(feature_buckets(t, growth), by_count, by_document, p) for t in texts], dtype="float64")
+            give_back_memory()
 
         return weigh(text.cast("binary"))
 
@@ -168,10 +214,11 @@ class QualityModel:
 
     def _place(self, key: Column) -> Column:
         """Keys from the largest down as integers, left-aligned in the histogram's 60 bits."""
-        return (F.least(F.greatest((F.lit(self._hi) - key) / self._unit, F.lit(0.0)), F.lit(float(KEY_RANGE - 1))).cast("long") * 256).cast("long")
+        below = F.least(F.greatest((F.lit(self._hi) - key) / self._unit, F.lit(0.0)), F.lit(float(KEY_RANGE - 1)))
+        return F.when(key.isNotNull(), (below.cast("long") * 256).cast("long"))
 
     def kept(self, key: Column) -> Column:
-        return self._place(key) < F.lit(self.cut)
+        return F.coalesce(self._place(key) < F.lit(self.cut), F.lit(True))
 
 
 def resample_report(docs: DataFrame, labels: DataFrame, parameters: QualityParameters = QualityParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +228,6 @@ def resample_report(docs: DataFrame, labels: DataFrame, parameters: QualityParam
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, parameters: QualityParameters = QualityParameters(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the sampling keeps, all columns; weights are computed anew rather than joined to the texts."""
-    model = QualityModel(docs, labels, parameters, id_col, text_col)
-    weighed = packed(docs, doc_id=F.col(id_col), log_weight=model.log_weight(F.col(text_col)))
-    return weighed.where(model.kept(model.sampling_key())).select("row.*")
+    """The documents that the sampling keeps, all columns; they are written once with their weights."""
+    model = QualityModel(docs, labels, parameters, id_col, text_col, carry=True)
+    return model.rows.where(model.kept(model.sampling_key())).select("row.*")

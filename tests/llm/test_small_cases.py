@@ -96,7 +96,7 @@ def test_quality_model_against_brute_force(spark):
     from lakewarden.llm.common import hash60
 
     hashes = {r["doc_id"]: r["h"] for r in labels.select("doc_id", hash60(F.lit(p.seed), F.col("doc_id")).alias("h")).collect()}
-    sums = np.zeros((4, quality.BUCKETS))
+    sums = np.zeros((4, quality.bucket_count(0)))
     for i, text, _ in rows:
         target = i % 4 < 3 and hashes[i] % 5 > 0
         found = quality.feature_buckets(text.encode())
@@ -106,18 +106,49 @@ def test_quality_model_against_brute_force(spark):
         for b in set(found.tolist()):
             sums[2, b] += 1
             sums[3, b] += target
-    for got, (raw, target) in ((model.by_count, sums[:2]), (model.by_document, sums[2:])):
-        np.testing.assert_allclose(got, np.log((target + 1) / (raw * target.sum() / raw.sum() + 1)), rtol=1e-5, atol=1e-6)
+    ratios = model.ratios.toPandas().set_index("bucket")
+    for name, (raw, target) in (("by_count", sums[:2]), ("by_document", sums[2:])):
+        want = np.log((target + 1) / (raw * target.sum() / raw.sum() + 1))
+        np.testing.assert_allclose(ratios[name].to_numpy(), want[ratios.index], rtol=1e-5, atol=1e-6)
+        assert set(np.flatnonzero(sums[0])) == set(ratios.index)
     weights = {r["doc_id"]: r["log_weight"] for r in model.weights.collect()}
     for i, text, _ in rows:
         found = quality.feature_buckets(text.encode())
-        held = sum(min(float(model.by_document[b]) + 0.1, 0) for b in set(found.tolist()))
-        assert weights[i] == pytest.approx(50 * min(float(np.mean(model.by_count[found])) + 0.05, 0) + held, abs=1e-4)
+        held = sum(min(float(ratios["by_document"][b]) + 0.1, 0) for b in set(found.tolist()))
+        assert weights[i] == pytest.approx(100 * float(ratios["by_count"][found].mean()) + 2 * held, abs=1e-4)
     keys = sorted((r["key"] for r in model.weights.withColumn("key", model.sampling_key()).collect()), reverse=True)
     chosen = [r["key"] for r in model.weights.withColumn("key", model.sampling_key()).where(model.kept(F.col("key"))).collect()]
     assert sorted(chosen, reverse=True) == keys[: len(chosen)] and len(chosen) == model.k
 
 
+def test_the_sample_is_nearer_to_the_target(spark):
+    """Documents of two mixed styles: the sampled set's words must be distributed more like the target's than the raw corpus's."""
+    rng = np.random.default_rng(7)
+    styles = [[f"w{i}" for i in range(60)], [f"w{i}" for i in range(40, 100)]]
+    rows = [(i, " ".join(rng.choice(styles[0] if rng.random() < i % 5 / 4 else styles[1], 40)), "s") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 4), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    report = quality.resample_report(docs_of(spark, rows), labels, quality.QualityParameters(emphasis=0.0, miss=0.3)).collect()
+    kept = {r["doc_id"] for r in report if r["kept"]}
+
+    def spread(ids):
+        counts = np.zeros(100)
+        for i, text, _ in rows:
+            if i in ids:
+                np.add.at(counts, [int(w[1:]) for w in text.split()], 1)
+        return counts / counts.sum()
+
+    target = spread({i for i in range(600) if i % 5 == 4})
+    assert 60 < len(kept) < 500
+    assert np.abs(spread(kept) - target).sum() < 0.5 * np.abs(spread(set(range(600))) - target).sum()
+
+
+@pytest.mark.parametrize("texts", [1, 40_000, 1 << 28, 1 << 33, 1 << 50])
+def test_models_grow_with_the_corpus(texts):
+    growth = quality.growth_of(texts)
+    assert growth == {1: 0, 40_000: 0, 1 << 28: 0, 1 << 33: 3, 1 << 50: quality.MOST_GROWTH}[texts]
+    assert quality.feature_buckets(b"some words, here", growth).max() < quality.bucket_count(growth)
+
+
 def test_warc_round_trip(spark):
     big = "ü" * 20_000 + "\r\n0\r\n\r\n"
     rows = [(1, "http://a/", "x"), (2, "http://b/\r\nEvil: 1", "x"), (3, None, None), (4, "u", ""), (5, "u", big), (6, "u", big), (5, "u", big), (7, "u", "y"), (None, "u", "y"), (8, "u", "z" * 4096)]
