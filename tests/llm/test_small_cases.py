@@ -455,7 +455,18 @@ def test_mixing_cases(spark):
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.mix_sources(df.limit(0)).count() == 0
-    assert mixing.share_targets([("a", 10), ("b", 10)], [1, 3], 1.2) == [8.0, 12.0]
+    shared = mixing.share_targets(spark.createDataFrame([("a", 10, 1.0), ("b", 10, 3.0)], "source string, n long, w double"), 1.2)
+    assert {r["source"]: r["target"] for r in shared.collect()} == {"a": pytest.approx(8.0), "b": pytest.approx(12.0)}
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Joined instead of broadcast, the same rows; one source holds a third of all."""
+    rows = [(i, "w " * (1 + i % 5), None if i % 11 == 0 else f"s{i % 700 if i % 3 else 0}") for i in range(3000)]
+    df = docs_of(spark, rows)
+    want = sorted(map(str, mixing.mix_sources(df).collect()))
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 10)
+    assert sorted(map(str, mixing.mix_sources(df).collect())) == want and len(want) == 3000
+    assert mixing.mixed_documents(df).count() == sum(r["copies"] for r in mixing.mix_sources(df).collect())
 
 
 def brute_components(rows, n=5):
