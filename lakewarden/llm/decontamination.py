@@ -8,7 +8,8 @@ of the benchmark, and each hit is extended to its whole window by comparing the
 words around the gram.  Overlapping windows make up longer passages.
 
 An item with fewer words than `span`, but not none, is one window of its own
-length and is looked up by the hash of that many words.
+length and is looked up by the hash of that many words; all such lengths that the
+benchmark has are looked up in one pass.
 
 Scale: documents are never shuffled where the benchmark's distinct windows stay
 under MAX_BROADCAST_GRAMS; beyond it the minima, not the texts, are shuffled.
@@ -79,8 +80,12 @@ def winnowed(rows: DataFrame, span: int, k: int) -> DataFrame:
     return grams.withColumn("m", least).withColumn("m", F.col("m").bitwiseXOR(offset.cast("long"))).drop(*names)
 
 
-def _window_key(length: int) -> Column:
-    return F.xxhash64(F.lit(length), *[_at(i) for i in range(length)])
+def _short_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """rows(.., wh) -> one row per window of each length: its start p, its length and its key gid, in one pass over the words."""
+    starts = F.when(F.size("wh") > 0, F.sequence(F.lit(0), F.size("wh") - 1)).otherwise(F.array().cast("array<int>"))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: F.col("p") + n <= F.size("wh"))
+    windows = rows.withColumn("p", F.explode(starts)).withColumn("length", F.explode(fitting))
+    return windows.withColumn("gid", F.xxhash64("length", F.slice("wh", F.col("p") + 1, F.col("length"))))
 
 
 class Benchmark:
@@ -119,13 +124,11 @@ class Benchmark:
         out = None
         if self.long_grams:
             out = self._joined(winnowed(rows, self.span, self.k), ["m"], self.long_grams, self.span)
-        for length, n in sorted(self.short_grams.items()):
-            found = _positions(rows, length).withColumn("gid", _window_key(length))
-            # xxhash64 of an array equals that of its elements in turn
-            grams = self.grams.where(F.col("length") == length).select("gid", "gram")
-            side = F.broadcast(grams) if n <= MAX_BROADCAST_GRAMS else grams
-            own = found.select("doc_id", "text_hash", "p", "gid", F.slice("wh", F.col("p") + 1, F.lit(length)).alias("own"))
-            more = own.join(side, "gid").where("own = gram").select("doc_id", "text_hash", "p", F.lit(length).alias("length"), "gid")
+        if self.short_grams:
+            grams = self.grams.where(F.col("length") < self.span).select("gid", "gram")
+            side = F.broadcast(grams) if sum(self.short_grams.values()) <= MAX_BROADCAST_GRAMS else grams
+            own = _short_windows(rows, sorted(self.short_grams)).select("doc_id", "text_hash", "p", "length", "gid", F.slice("wh", F.col("p") + 1, F.col("length")).alias("own"))
+            more = own.join(side, "gid").where("own = gram").select("doc_id", "text_hash", "p", "length", "gid")
             out = more if out is None else out.unionByName(more)
         if out is None:
             out = rows.where("false").select("doc_id", "text_hash", F.lit(0).alias("p"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("gid"))
