@@ -35,9 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, written
 from .files import AtomicFile, open_input
+from .words import settled
 
 READ_SCHEMA = "record_id string, record_type string, origin_id string, segment int, total_bytes long, target_uri string, payload_digest string, refers_to string, copies int, block binary, payload binary, payload_bytes long, status string"
 BATCH_BYTES = 4 << 20
+#: Payloads that occur again whose digest and first id are broadcast, about 120 bytes each.
+MAX_BROADCAST_FIRST = 200_000
 
 
 def base32_sha1(data: bytes) -> str:
@@ -143,7 +146,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
             done.append((file.commit(), count))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["archive", "records"])
 
-    return written(rows.select("record_id", "target_uri", "payload_digest", "payload", "refers_to").mapInArrow(write, "archive string, records long"), "warc-manifest")
+    return written(rows.select("record_id", "target_uri", "payload_digest", "payload", "refers_to").mapInArrow(settled(write), "archive string, records long"), "warc-manifest")
 
 
 def iter_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -211,9 +214,9 @@ def scan_archives(manifest: DataFrame) -> DataFrame:
                             rows, size = [], 0
                 yield _frame(rows, names)
 
-    # one archive a task: manifests are small, archives are not
+    # one archive a task: manifests are small, archives are not; names are distinct, so ranges of them hold one each
     parts = max(1, manifest.count())
-    return manifest.repartition(parts, "archive").mapInPandas(scan, READ_SCHEMA)
+    return manifest.repartitionByRange(parts, "archive").mapInPandas(settled(scan), READ_SCHEMA)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -243,14 +246,15 @@ def reassemble(records: DataFrame) -> DataFrame:
     """scan_archives' rows -> one row per record, segmented ones rebuilt: READ_SCHEMA without segment columns."""
     columns = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "copies", "payload", "payload_bytes", "status"]
     whole = records.where("segment IS NULL").select(columns)
-    grouped = (
+    # a page that occurs often has its segments as often: one of each is enough, and their number
+    once = (
         records.where("segment IS NOT NULL")
-        .groupBy("origin_id")
-        .agg(
-            F.max(F.when(F.col("segment") == 1, F.struct("record_type", "target_uri", "payload_digest"))).alias("head"),
-            F.sum(F.when(F.col("segment") == 1, 1).otherwise(0)).cast("int").alias("copies"),
-            F.collect_list(F.struct("segment", "total_bytes", "block")).alias("segments"),
-        )
+        .groupBy("origin_id", "segment")
+        .agg(F.count("*").cast("int").alias("copies"), F.max("total_bytes").alias("total_bytes"), F.min("record_type").alias("record_type"), F.min("target_uri").alias("target_uri"), F.min("payload_digest").alias("payload_digest"), F.min("block").alias("block"))
+    )
+    first = F.col("segment") == 1
+    grouped = once.groupBy("origin_id").agg(
+        F.max(F.when(first, F.struct("record_type", "target_uri", "payload_digest"))).alias("head"), F.coalesce(F.max(F.when(first, F.col("copies"))), F.lit(0)).alias("copies"), F.collect_list(F.struct("segment", "total_bytes", "block")).alias("segments")
     )
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +279,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     first = rows.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    linked = rows.join(first.select(F.col("sha1").alias("first_sha1"), "first_id"), F.col("sha1") == F.col("first_sha1"), "left")
+    first = written(first.select(F.col("sha1").alias("first_sha1"), "first_id"), "warc-first")
+    # payloads are shuffled only where there are too many kinds of repeated ones to broadcast
+    linked = rows.join(F.broadcast(first) if first.count() <= MAX_BROADCAST_FIRST else first, F.col("sha1") == F.col("first_sha1"), "left")
     name = lambda c: F.concat(F.lit("urn:lakewarden:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(":"), F.col("sha1"))
     return linked.select(
         name(F.col("id")).alias("record_id"), "target_uri", F.col("sha1"), "payload",

@@ -63,6 +63,16 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert got == {1: (11, ["1", "2"]), 2: (0, [])}
 
 
+def test_items_of_every_length(spark):
+    """Short items of all lengths at once, beside a long one; a long text and one of a single word repeated."""
+    words = [f"w{i}" for i in range(40)]
+    items = [(n, " ".join(words[3 * n : 4 * n])) for n in range(1, 10)] + [(20, " ".join(words[5:25]))]
+    texts = [" ".join(words), " ".join(words[::-1]), "w3 " * 5000, " ".join(words * 300), "w3"]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontamination.contamination_report(docs, items_of(spark, items)).collect()}
+    assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("k", [1, 5, 10])
 def test_winnowing_guarantee_for_any_gram_size(spark, k):
     rng = np.random.default_rng(k)
@@ -166,6 +176,20 @@ def test_warc_round_trip(spark):
     assert {r["record_type"] for r in whole.collect()} == {"response"}
 
 
+def test_warc_of_often_repeated_long_pages(spark, monkeypatch):
+    """Copies of a page in many segments are gathered once; the join is the same with and without a broadcast."""
+    long = "<p>" + "0123456789" * 9000 + "</p>"
+    rows = [(1, "u", long)] * 60 + [(2, "v", long), (3, "w", "short"), (4, "w", "short"), (5, None, None), (6, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for most in (0, 1000):
+        monkeypatch.setattr(warc, "MAX_BROADCAST_FIRST", most)
+        facts = warc.resolve_revisits(warc.archive_and_read(pages, segment_bytes=5000)).collect()
+        seen.append(sorted((r["record_id"].split(":")[2], r["record_type"], r["payload_bytes"], r["copies"], r["status"]) for r in facts))
+    assert seen[0] == seen[1]
+    assert [(i, kind, n) for i, kind, n, *_ in seen[0]] == sorted([("1", "response", 90_007), ("2", "revisit", 90_007), ("3", "response", 5), ("4", "revisit", 5), ("5", "response", 0), ("6", "revisit", 0)]) and seen[0][0][3:] == (60, "ok")
+
+
 def test_warc_broken_records():
     frame = warc.frame_chunks(b"abcdef", 4)
     assert frame == b"4\r\nabcd\r\n2\r\nef\r\n0\r\n\r\n" and warc.unframe_chunks(frame) == b"abcdef"
