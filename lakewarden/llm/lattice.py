@@ -43,6 +43,8 @@ PARTS = 2  # blocks of 8 dimensions in a table's cell
 NEIGHBOURS = 2  # neighbouring cells filed for each block
 REACH = 0.35  # distance, in lattice units, that a pair at the threshold has on average in one block
 BLOCK = 1024
+#: Links are counted in blocks so many times as large, in strips of so many rows: a vector is sent once for each block of its component's rows.
+COUNT_BLOCKS, STRIP = 4, 512
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
@@ -163,13 +165,21 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
     roots = written(connected_components(edges), "lattice-components")
 
     def count(table: pa.Table) -> pa.Table:
-        nodes, found, side = table.column("node"), _vectors(table.column("vector").combine_chunks()), np.array(table.column("side").to_pylist())
-        copies = np.array(table.column("copies").to_pylist(), np.int64)
-        links = _links(found, table.column("label").to_pylist(), side, threshold)
-        np.fill_diagonal(links, False)
-        return pa.table({"node": nodes, "n": pa.array(links.astype(np.float64) @ copies.astype(np.float64)).cast(pa.int64())})
-
-    inside = in_blocks(with_chunks(roots.select(F.col("component"), "node"), "component", block), "component", "node").join(carried, "node")
+        # one component, so one label and length; a block's matrix is made in strips of rows
+        unit, side = _unit(_vectors(table.column("vector").combine_chunks())), np.array(table.column("side").to_pylist())
+        copies = np.array(table.column("copies").to_pylist(), np.float64)
+        across = bool(side.any() and not side.all())
+        n = np.zeros(len(unit))
+        for at in range(0, len(unit), STRIP):
+            strip = slice(at, at + STRIP)
+            links = unit[strip] @ unit.T >= threshold
+            if across:
+                links &= side[strip, None] != side[None, :]
+            links[np.arange(links.shape[0]), np.arange(at, at + links.shape[0])] = False
+            n[strip] = links @ copies
+        return pa.table({"node": table.column("node"), "n": pa.array(n.astype(np.int64))})
+
+    inside = in_blocks(with_chunks(roots.select(F.col("component"), "node"), "component", COUNT_BLOCKS * block), "component", "node").join(carried, "node")
     counted = inside.groupBy("component", "i", "j").applyInArrow(count, f"node {node_type}, n long").groupBy("node").agg(F.sum("n").alias("others"))
     facts = classes.select(*keys, "node", "copies").join(counted, "node", "left").join(roots, "node", "left")
     facts = facts.select(*[F.col(k).alias(f"f_{k}") for k in keys], (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
