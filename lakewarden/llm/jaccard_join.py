@@ -40,19 +40,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks, spanning_forest, with_chunks
-from .common import packed, shuffle_width, written
+from .common import packed, written
 from .components import connected_components
-from .words import gram_hashes, hashed_words
+from .words import gram_hashes, hashed_words, settled
 
 MAX_RANKED = 1_000_000
 HOT = 50_000
 SIEVE_BITS = 27
-#: Shingles that a task holds before it sends them on.
-FLUSH = 1_000_000
+#: Bytes of text whose shingles make up one hash range: a range's reducer holds their 32-bit or 96-bit codes.
+RANGE_BYTES = 16 << 20
+#: Shingles that a task holds before it sends them on: at least, for each range, and at most.
+FLUSH, FLUSH_A_RANGE, MOST_FLUSH = 1_000_000, 64, 8_000_000
 PREFIX_SCHEMA = "kind int, span int, tokens binary, groups binary, grp long, hot long, df long, cls binary, doc_id long, text_hash long, n long"
 BLOCK = 512
-#: Documents whose ids are broadcast to pick the texts that need verifying; beyond it they are joined.
-MAX_BROADCAST_IDS = 1_000_000
+#: Documents whose ids are broadcast to pick the texts that need verifying, about 100 bytes each; beyond it they are joined.
+MAX_BROADCAST_IDS = 200_000
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
@@ -74,9 +76,14 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _ranges(spark) -> int:
-    """Hash ranges by which packed arrays are reduced; a power of two."""
-    return 1 << max(0, (2 * shuffle_width(spark) - 1).bit_length())
+def _ranges(text_bytes: int) -> int:
+    """Hash ranges by which packed arrays are reduced, by the size of the texts; a power of two."""
+    return 1 << max(6, (-(-text_bytes // RANGE_BYTES) - 1).bit_length())
+
+
+def _flush_at(bits: int) -> int:
+    """How many shingles a task holds, so that a range still gets some of each batch."""
+    return max(FLUSH, min(MOST_FLUSH, FLUSH_A_RANGE << bits))
 
 
 def _slices(ordered: np.ndarray, bits: int) -> np.ndarray:
@@ -93,16 +100,18 @@ def _below(ordered: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pack_shingles(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """The shingles of a task's classes by hash range, once for each class that has them."""
+    """The shingles of a task's classes by hash range, each with the number of classes that have it: a
+    shingle of very many documents is one entry of a batch."""
     seen: set[bytes] = set()
     held: list[np.ndarray] = []
-    size = 0
+    size, most = 0, _flush_at(bits)
 
     def flush() -> pa.RecordBatch:
-        tokens = np.sort(np.concatenate(held))
-        cuts, low = _slices(tokens, bits), _below(tokens, bits)
+        tokens, times = np.unique(np.concatenate(held), return_counts=True)
+        cuts, low, times = _slices(tokens, bits), _below(tokens, bits), times.astype(np.uint32)
         spans = np.flatnonzero(np.diff(cuts))
-        return pa.RecordBatch.from_arrays([pa.array(spans.astype(np.int32)), pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary())], ["span", "tokens"])
+        pack = lambda x: pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in spans], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(spans.astype(np.int32)), pack(low), pack(times)], ["span", "tokens", "times"])
 
     for batch in batches:
         for text in batch.column(0):
@@ -112,7 +121,7 @@ def _pack_shingles(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iter
             seen.add(key)
             held.append(shingles)
             size += len(shingles)
-            if size > FLUSH:
+            if size > most:
                 yield flush()
                 held, size = [], 0
     if held:
@@ -122,9 +131,11 @@ def _pack_shingles(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iter
 def _add_counts(table: pa.Table, bits: int, sieve_bits: int) -> pa.Table:
     """One range's packed shingles -> a row for each of three classes or more (the 32 bits below the
     range's, and their number), and one row with the range's part of the sieve: a bit for each of two or more."""
-    tokens = np.sort(np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column("tokens")]))
+    tokens, times = (np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table.column(name)]) for name in ("tokens", "times"))
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    total = np.diff(np.concatenate((first, [len(tokens)])))
+    total = np.add.reduceat(times[order].astype(np.int64), first)
     sieve = np.zeros(1 << (sieve_bits - bits), bool)
     sieve[tokens[first][total >= 2] >> np.uint32(32 - (sieve_bits - bits))] = True
     many = total >= 3
@@ -207,7 +218,7 @@ def _pack_prefixes(batches: Iterator[pa.RecordBatch], n: int, bits: int, percent
     seen: set[bytes] = set()
     facts: list[tuple] = []
     waiting: list[tuple[bytes, np.ndarray]] = []
-    size = 0
+    size, most = 0, _flush_at(bits)
 
     def flush() -> pa.RecordBatch:
         sets = [s for _, s in waiting]
@@ -254,7 +265,7 @@ def _pack_prefixes(batches: Iterator[pa.RecordBatch], n: int, bits: int, percent
                 seen.add(key)
                 waiting.append((key, shingles))
                 size += len(shingles)
-            if size > FLUSH or len(facts) > 20_000:
+            if size > most or len(facts) > 20_000:
                 yield flush()
                 facts, waiting, size = [], [], 0
     if facts:
@@ -326,16 +337,15 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def headed_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK, max_ranked: int = MAX_RANKED) -> DataFrame:
     """jaccard_components with head_hash: component_id and it name the one text that leads the component."""
     spark = docs.sparkSession
-    spans = _ranges(spark)
-    bits = spans.bit_length() - 1
+    bits = _ranges(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary"))).alias("n")).first()["n"] or 0).bit_length() - 1
     sieve_bits = max(SIEVE_BITS, bits + 3)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
-    shingles = texts.select("text").mapInArrow(lambda batches: _pack_shingles(batches, n, bits), "span int, tokens binary")
+    shingles = texts.select("text").mapInArrow(settled(lambda batches: _pack_shingles(batches, n, bits)), "span int, tokens binary, times binary")
     counts = written(shingles.groupBy("span").applyInArrow(lambda table: _add_counts(table, bits, sieve_bits), "span int, low long, df long, sieve binary"), "shingle-frequencies")
     order = spark.sparkContext.broadcast(Order.of(counts, bits, sieve_bits, max_ranked))
 
-    prefixes = written(texts.mapInArrow(lambda batches: _pack_prefixes(batches, n, bits, percent, order.value, hot), PREFIX_SCHEMA), "shingle-prefixes")
+    prefixes = written(texts.mapInArrow(settled(lambda batches: _pack_prefixes(batches, n, bits, percent, order.value, hot)), PREFIX_SCHEMA), "shingle-prefixes")
     facts = prefixes.where("kind = 3").select("doc_id", "text_hash", "cls", "n")
     led = prefixes.where("kind = 0").select("span", "tokens", "groups").groupBy("span").applyInArrow(_lead, "leader long, grp long").distinct()
     classes_of = prefixes.where("kind = 2").select("grp", "cls").distinct()
@@ -367,7 +377,7 @@ def headed_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["cls", "shingles"])
 
     # rows that repeat an id and text give a class once in each task; the verifier drops repeats within a block
-    sets = chosen.select("text").mapInArrow(to_sets, "cls binary, shingles binary")
+    sets = chosen.select("text").mapInArrow(settled(to_sets), "cls binary, shingles binary")
 
     def verify(table: pa.Table) -> pa.Table:
         once = list({key: at for at, key in enumerate(table.column("cls").to_pylist())}.values())
