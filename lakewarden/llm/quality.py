@@ -45,7 +45,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60, packed, written, written_at
+from .common import hash60, packed, shuffle_width, written, written_at
 from .files import open_store
 from .mixing import find_thresholds
 from .words import give_back_memory, gram_hashes, hashes_of, settled
@@ -59,6 +59,8 @@ KEY_RANGE = 1 << 52
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 SYMBOLS = re.compile(rb"[^a-z0-9\x80-\xff\s]+")
 COUNTS = ("raw", "target", "raw_docs", "target_docs")
+#: The four counts of a bucket in one long, 16 bits each; larger ones take several rows.
+PACKED, SHIFTS = np.uint64((1 << 16) - 1), np.array([48, 32, 16, 0], np.uint64)
 
 
 @dataclass(frozen=True)
@@ -105,11 +107,16 @@ def count_features(rows: DataFrame, growth: int = 0) -> DataFrame:
         good: list[np.ndarray] = []
         size = 0
 
-        def sums() -> pa.RecordBatch:
+        def sums() -> Iterator[pa.RecordBatch]:
             bucket, at = np.unique(np.concatenate(found), return_inverse=True)
             n, fine = np.concatenate(times).astype(float), np.concatenate(good)
-            columns = [np.bincount(at, n), np.bincount(at, n * fine), np.bincount(at), np.bincount(at, fine)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket), *[pa.array(c.astype(np.int64)) for c in columns]], ["bucket", *COUNTS])
+            left = np.stack([np.bincount(at, n), np.bincount(at, n * fine), np.bincount(at), np.bincount(at, fine)]).astype(np.uint64)
+            while len(bucket):  # more than once only where a count is over 16 bits
+                now = np.minimum(left, PACKED)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array((now << SHIFTS[:, None]).sum(0, dtype=np.uint64).view(np.int64))], ["bucket", "packed"])
+                left -= now
+                more = left.any(0)
+                bucket, left = bucket[more], left[:, more]
 
         for batch in batches:
             for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -119,13 +126,15 @@ def count_features(rows: DataFrame, growth: int = 0) -> DataFrame:
                 good.append(np.full(len(buckets), float(target)))
                 size += len(buckets)
                 if size > FLUSH:
-                    yield sums()
+                    yield from sums()
                     found, times, good, size = [], [], [], 0
         if found:
-            yield sums()
+            yield from sums()
 
-    counted = rows.mapInArrow(settled(count), "bucket int, " + ", ".join(f"{n} long" for n in COUNTS))
-    return counted.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in COUNTS])
+    # the four counts of a batch are one long while they are shuffled
+    dealt = rows.mapInArrow(settled(count), "bucket int, packed long").repartition(shuffle_width(rows.sparkSession), "bucket")
+    unpack = lambda shift: F.shiftrightunsigned("packed", int(shift)).bitwiseAND(F.lit(int(PACKED)).cast("long"))
+    return dealt.groupBy("bucket").agg(*[F.sum(unpack(shift)).alias(n) for n, shift in zip(COUNTS, SHIFTS, strict=True)])
 
 
 def log_ratio(raw: Column, target: Column, share: float, pseudo: float) -> Column:

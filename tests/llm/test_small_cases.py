@@ -131,6 +131,14 @@ def test_quality_model_against_brute_force(spark):
     assert sorted(chosen, reverse=True) == keys[: len(chosen)] and len(chosen) == model.k
 
 
+def test_counts_of_a_very_long_text(spark):
+    """A count of a batch beyond 16 bits, and two documents that share the feature."""
+    rows = spark.createDataFrame([(bytearray(b"again " * 200_000), True), (bytearray(b"again"), False), (None, True)], "text binary, target boolean")
+    one, two = sorted(set(quality.feature_buckets(b"again again").tolist()))
+    got = {r["bucket"]: tuple(r)[1:] for r in quality.count_features(rows).collect()}
+    assert got == {one: (200_001, 200_000, 2, 1), two: (199_999, 199_999, 1, 1)}
+
+
 def test_the_sample_is_nearer_to_the_target(spark):
     """Documents of two mixed styles: the sampled set's words must be distributed more like the target's than the raw corpus's."""
     rng = np.random.default_rng(7)
