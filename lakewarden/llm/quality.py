@@ -53,8 +53,8 @@ from .words import give_back_memory, gram_hashes, hashes_of, settled
 UNIGRAM_BITS, BIGRAM_BITS = 20, 18
 #: Bytes of text up to which the models have the bits above, and how often their sizes may double beyond it.
 BASE_BYTES, MOST_GROWTH = 1 << 28, 4
-#: Feature occurrences that a counting task holds before it sends them on.
-FLUSH = 2_000_000
+#: What a counting task holds: features of documents that it has not added up yet, and different buckets before it sends them on.
+PENDING, MOST_HELD = 1_000_000, 4_000_000
 KEY_RANGE = 1 << 52
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 SYMBOLS = re.compile(rb"[^a-z0-9\x80-\xff\s]+")
@@ -102,19 +102,25 @@ def count_features(rows: DataFrame, growth: int = 0) -> DataFrame:
     """rows(text binary, target boolean) -> (bucket, raw, target, raw_docs, target_docs) sums over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums = np.zeros(0, np.int32), np.zeros((len(COUNTS), 0))
         found: list[np.ndarray] = []
         times: list[np.ndarray] = []
         good: list[np.ndarray] = []
         size = 0
 
-        def sums() -> Iterator[pa.RecordBatch]:
-            bucket, at = np.unique(np.concatenate(found), return_inverse=True)
-            n, fine = np.concatenate(times).astype(float), np.concatenate(good)
-            left = np.stack([np.bincount(at, n), np.bincount(at, n * fine), np.bincount(at), np.bincount(at, fine)]).astype(np.uint64)
+        def add() -> None:
+            nonlocal held, sums
+            held, at = np.unique(np.concatenate((held, *found)), return_inverse=True)
+            n, fine = np.concatenate(times).astype(float), np.concatenate(good).astype(float)
+            one = np.ones(len(n))
+            sums = np.stack([np.bincount(at, np.concatenate((before, more)), len(held)) for before, more in zip(sums, (n, n * fine, one, fine), strict=True)])
+
+        def rows_of() -> Iterator[pa.RecordBatch]:
+            bucket, left = held, sums.astype(np.uint64)
             while len(bucket):  # more than once only where a count is over 16 bits
                 now = np.minimum(left, PACKED)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array((now << SHIFTS[:, None]).sum(0, dtype=np.uint64).view(np.int64))], ["bucket", "packed"])
-                left -= now
+                left = left - now
                 more = left.any(0)
                 bucket, left = bucket[more], left[:, more]
 
@@ -122,14 +128,18 @@ def count_features(rows: DataFrame, growth: int = 0) -> DataFrame:
             for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 buckets, n = np.unique(feature_buckets(text.as_py(), growth), return_counts=True)
                 found.append(buckets)
-                times.append(n)
-                good.append(np.full(len(buckets), float(target)))
+                times.append(n.astype(np.int32))
+                good.append(np.full(len(buckets), target))
                 size += len(buckets)
-                if size > FLUSH:
-                    yield from sums()
+                if size > PENDING:
+                    add()
                     found, times, good, size = [], [], [], 0
+                    if len(held) > MOST_HELD:
+                        yield from rows_of()
+                        held, sums = held[:0], sums[:, :0]
         if found:
-            yield from sums()
+            add()
+        yield from rows_of()
 
     # the four counts of a batch are one long while they are shuffled
     dealt = rows.mapInArrow(settled(count), "bucket int, packed long").repartition(shuffle_width(rows.sparkSession), "bucket")
