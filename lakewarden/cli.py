@@ -102,7 +102,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             body = report.scan_report(index, found, rules, "selected" if wanted else "all", started, _now())
             text = report.scan_summary(body, output)
         else:
-            index = Index.build(spark or session(), args.path, config, keep=lambda a: bool(set(a.roles) & set(aliases.DATASETS)) and "configuration" not in a.roles)
+            index = Index.build(spark or session(), args.path, config, keep=lambda a: bool(set(a.roles) & set(aliases.DATASETS)) and "configuration" not in a.roles, fields=measure.asked_fields(config))
             body, found = report.profile_report(index, measure.measurements(index), started, _now()), []
             text = report.profile_summary(body, output)
     except Exception as e:  # noqa: BLE001  the exit code tells callers

@@ -102,20 +102,29 @@ def focus_text(record: Any, roles: tuple[str, ...], fields: tuple[str, ...]) ->
     return "\n".join(parts) if parts else json.dumps(record, sort_keys=True)
 
 
-def record_view(record: Any) -> dict[str, Any]:
-    """The columns of the row relation that come from one record."""
+def context_of(record: dict[str, Any]) -> str:
+    """The record's context fields as canonical JSON, trimmed."""
+    return canonical_json({k: trimmed(v) for k, v in record.items() if k in CONTEXT_FIELDS})
+
+
+def record_view(record: Any, fields: frozenset[str] | None = None) -> dict[str, Any]:
+    """The columns of the row relation that come from one record; of the named top-level fields only, without
+    what no measurement asks for, where fields are given."""
     top = record if isinstance(record, dict) else {}
-    named = {k: v for k, v in top.items() if isinstance(k, str)}
-    return {
+    named = {k: v for k, v in top.items() if isinstance(k, str) and (fields is None or k in fields)}
+    canon = canonical_json(trimmed(record))
+    view = {
         "kind": type_name(record),
-        "canon": canonical_json(trimmed(record)),
-        "row_hash": row_hash(record),
+        "canon": canon,
+        "row_hash": "sha256:" + sha256_text(canon),
         "top": {k: canonical_json(v) for k, v in named.items()},
         "types": {k: type_name(v) for k, v in named.items()},
         "texts": {k: str(v) for k, v in named.items() if v is not None},
-        "lists": {k: [i for i in map(identifier, v) if i is not None] for k, v in named.items() if isinstance(v, list)},
-        "discriminator": discriminator(record),
     }
+    if fields is None:
+        view |= {"lists": {k: [i for i in map(identifier, v) if i is not None] for k, v in named.items() if isinstance(v, list)}, "context": context_of(named), "discriminator": discriminator(record)}
+    return view
 
 
-ROW_FIELDS = "kind string, canon string, row_hash string, top map<string,string>, types map<string,string>, texts map<string,string>, lists map<string,array<string>>, discriminator string"
+CONTEXT_FIELDS = frozenset(aliases.CONTEXT)
+ROW_FIELDS = "kind string, canon string, row_hash string, top map<string,string>, types map<string,string>, texts map<string,string>, lists map<string,array<string>>, context string, discriminator string"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import aliases
 
+# fixed values: patterns of sensitive values and of template placeholders
 EMAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 PHONE = r"\b(?:\+\d{1,3}[-.\s])?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b"
 API_KEY = r"(?i)\b(?:api_key|apikey|secret|token|password)\s*[:=]\s*([^\s]{12,})"
@@ -101,5 +103,26 @@ def content_fields() -> Column:
     return F.array_compact(F.array(*[F.when(F.col("types")[n].isNotNull(), F.lit(n)) for n in aliases.RAG_CONTENT]))
 
 
-def capped(items: Column, limit: int = aliases.EVIDENCE_LIMIT) -> Column:
-    return F.slice(items, 1, limit)
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column | str], items: dict[str, Column | str], limit: int = aliases.EVIDENCE_LIMIT) -> DataFrame:
+    """Per key the first rows by an order, as arrays of the given columns in that order.
+
+    Ranked before they are gathered: the planner keeps `limit` rows of a key in each
+    task before the shuffle, so no group is held whole however large it is.
+    """
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    first = rows.select(*keys, place.alias("_place"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in items.items()]).where(F.col("_place") <= limit)
+    gathered = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_place", *items))).alias("_all"))
+    return gathered.select(*keys, *[F.col(f"_all.{n}").alias(n) for n in items])
+
+
+ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def json_string(text: Column) -> Column:
+    """Text as a JSON string, in the canonical form: other control characters as \\u and four lower-case digits."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    out = F.replace(out, F.lit('"'), F.lit('\\"'))
+    rare = out
+    for code in range(32):
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(ESCAPES.get(chr(code), f"\\u{code:04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), rare).otherwise(out), F.lit('"'))

@@ -10,11 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import aliases
-from ..functions.text import API_KEY, EMAIL, INTERPOLATION, PHONE, PLACEHOLDER, PRIVATE_KEY, capped, first_filled_string, has_role, is_trivial, plain_text, prefixed_sha, redacted
+from ..functions.text import API_KEY, EMAIL, INTERPOLATION, PHONE, PLACEHOLDER, PRIVATE_KEY, first_filled_string, first_rows, has_role, is_trivial, plain_text, prefixed_sha, redacted, stripped
 
 LIMIT = aliases.EVIDENCE_LIMIT
 SCANNED_ROLES = (*aliases.EVALUATION, "evaluation_result", "prompt_template", "rag_document")
-PROBE_WORDS = 3
+#: Characters of an answer by which texts are found where it has no inner word; no answer is shorter.
+PROBE = aliases.SHORTEST_ANSWER
+MAX_BROADCAST_ANSWERS = 50_000
 
 
 def answers(rows: DataFrame) -> DataFrame:
@@ -26,19 +28,32 @@ def answers(rows: DataFrame) -> DataFrame:
 def answer_leakage(found: DataFrame, corpus: DataFrame) -> DataFrame:
     """answers x corpus(rag_artifact, rag_row, rag_text): texts that contain an answer, the first one per answer and artifact.
 
-    An inner word of the answer that is whole there must be a word of the text,
-    so the two are joined on such a word and then compared; answers without
-    white space inside have no such word and are compared with every text.
+    An inner word of the answer that is whole there must be a word of the text; an
+    answer without one has its first PROBE characters somewhere in the text.  Hashes of
+    these meet first, without the texts, which are fetched for the pairs that met.
     """
+    texts = corpus.withColumn("text_key", F.xxhash64("rag_artifact", "rag_row", "rag_text"))
     words = F.split("answer", " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = found.withColumn("probe", longest)
-    texts = corpus.withColumn("probe", F.explode(F.array_distinct(F.split("rag_text", " "))))
-    by_word = keyed.where("probe IS NOT NULL").join(texts, "probe").where(F.contains("rag_text", "answer"))
-    short = keyed.where("probe IS NULL").drop("probe").join(corpus, F.contains("rag_text", "answer"))
-    met = by_word.drop("probe").unionByName(short)
-    return met.groupBy(F.col("path").alias("evaluation_artifact"), F.col("row_num").alias("evaluation_row"), F.col("field").alias("answer_field"), "rag_artifact", prefixed_sha(F.col("answer")).alias("matched_normalized_text")).agg(F.min("rag_row").alias("rag_row"))
+    keyed = found.withColumn("probe", F.when(longest.isNotNull(), F.xxhash64(longest)))
+    whole = F.array_distinct(F.transform(F.split("rag_text", " "), lambda w: F.xxhash64(w)))
+    met = _probed(texts.select("text_key", F.explode(whole).alias("probe")), keyed.where("probe IS NOT NULL"))
+    rest = keyed.where("probe IS NULL").withColumn("probe", F.xxhash64(F.substring("answer", 1, PROBE)))
+    if rest.limit(1).count():
+        letters = F.split("rag_text", "")
+        starts = F.when(F.length("rag_text") >= PROBE, F.sequence(F.lit(1), F.length("rag_text") - PROBE + 1)).otherwise(F.array().cast("array<int>"))
+        runs = F.array_distinct(F.transform("starts", lambda i: F.xxhash64(F.array_join(F.slice("letters", i, PROBE), ""))))
+        cut = texts.select("text_key", letters.alias("letters"), starts.alias("starts")).select("text_key", F.explode(runs).alias("probe"))
+        met = met.unionByName(_probed(cut, rest))
+    held = met.join(texts, "text_key").where(F.contains("rag_text", "answer"))
+    return held.groupBy(F.col("path").alias("evaluation_artifact"), F.col("row_num").alias("evaluation_row"), F.col("field").alias("answer_field"), "rag_artifact", prefixed_sha(F.col("answer")).alias("matched_normalized_text")).agg(F.min("rag_row").alias("rag_row"))
+
+
+def _probed(keys: DataFrame, answered: DataFrame) -> DataFrame:
+    """Pairs of a text's key and an answer that share a probe; the answers are broadcast where they are few."""
+    few = answered.limit(MAX_BROADCAST_ANSWERS + 1).count() <= MAX_BROADCAST_ANSWERS
+    return keys.join(F.broadcast(answered) if few else answered, "probe").drop("probe")
 
 
 def exposures(lines: DataFrame) -> DataFrame:
@@ -53,9 +68,13 @@ def exposures(lines: DataFrame) -> DataFrame:
     }
     one = F.concat(*[F.transform(values, _tagged(kind)) for kind, values in found.items()])
     hits = held.select("path", "line_num", F.explode(one).alias("x")).select("path", "line_num", "x.kind", redacted(F.col("x.kind"), F.col("x.value")).alias("redacted"))
-    return hits.groupBy(F.col("path").alias("artifact_path"), F.col("kind").alias("detector_type")).agg(F.count("*").alias("exposure_count"), F.countDistinct("redacted").alias("distinct_value_count"), F.sort_array(F.collect_set("line_num")).alias("all_lines"), F.sort_array(F.collect_set("redacted")).alias("all_values")).select(
-        "artifact_path", "detector_type", "exposure_count", "distinct_value_count", capped(F.col("all_lines")).alias("sample_locations"), capped(F.col("all_values")).alias("redacted_values"), ((F.size("all_lines") > LIMIT) | (F.size("all_values") > LIMIT)).alias("evidence_truncated")
-    )
+    key = ["artifact_path", "detector_type"]
+    hits = hits.select(F.col("path").alias("artifact_path"), F.col("kind").alias("detector_type"), "line_num", "redacted")
+    lines_of = hits.groupBy(*key, "line_num").agg(F.count("*").alias("n"))
+    values_of = hits.groupBy(*key, "redacted").agg(F.count("*").alias("n"))
+    counts = lines_of.groupBy(*key).agg(F.sum("n").alias("exposure_count"), F.count("*").alias("lines")).join(values_of.groupBy(*key).agg(F.count("*").alias("distinct_value_count")), key)
+    samples = first_rows(lines_of, key, ["line_num"], {"sample_locations": "line_num"}).join(first_rows(values_of, key, ["redacted"], {"redacted_values": "redacted"}), key)
+    return counts.join(samples, key).select(*key, "exposure_count", "distinct_value_count", "sample_locations", "redacted_values", ((F.col("lines") > LIMIT) | (F.col("distinct_value_count") > LIMIT)).alias("evidence_truncated"))
 
 
 def _tagged(kind: str):
@@ -79,5 +98,5 @@ def unfenced_interpolations(lines: DataFrame, reach: int = 3) -> DataFrame:
     for marker in aliases.DELIMITERS:
         fenced = fenced | F.contains("near", F.lit(marker))
     name = lambda p: F.regexp_replace(p, r"[^A-Za-z0-9_]", "")
-    found = held.withColumn("near", near).where(~fenced).select("path", "line_num", "near", F.explode(F.regexp_extract_all("line", F.lit(INTERPOLATION), F.lit(0))).alias("p")).withColumn("variable_name", name(F.col("p")))
-    return found.where(F.lower("variable_name").isin(*aliases.INTERPOLATED_NAMES)).select(F.col("path").alias("prompt_artifact"), "variable_name", F.col("line_num").alias("line_number"), prefixed_sha(F.col("near")).alias("snippet_hash"))
+    found = held.withColumn("near", near).where(~fenced).select("path", "line_num", "line", F.explode(F.regexp_extract_all("line", F.lit(INTERPOLATION), F.lit(0))).alias("p")).withColumn("variable_name", name(F.col("p")))
+    return found.where(F.lower("variable_name").isin(*aliases.INTERPOLATED_NAMES)).select(F.col("path").alias("prompt_artifact"), "variable_name", F.col("line_num").alias("line_number"), prefixed_sha(stripped(F.col("line"))).alias("snippet"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aliases
-from ..functions.text import capped
+from ..functions.text import first_rows
 
 CONTRACT = "path string, field string, type string, required boolean, nullable boolean, allow_extra boolean"
 
@@ -37,6 +37,8 @@ def contract_violations(rows: DataFrame, contracts: DataFrame) -> DataFrame:
 def violation_summary(violations: DataFrame) -> DataFrame:
     """One row per artifact: totals, counts by kind, the first violations in row order."""
     by_kind = violations.groupBy("path", "violation").agg(F.count("*").alias("n")).groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("violation", "n")))).alias("violation_counts"))
-    item = F.struct(F.col("row_num").alias("row"), "field", "violation", "expected", "observed")
-    totals = violations.groupBy("path").agg(F.count("*").alias("total_violation_count"), F.countDistinct("row_num").alias("affected_row_count"), F.array_sort(F.collect_list(item)).alias("all"))
-    return totals.join(by_kind, "path").select(F.col("path").alias("artifact_path"), "total_violation_count", "affected_row_count", "violation_counts", capped(F.col("all")).alias("sample_violations"), (F.col("total_violation_count") > aliases.EVIDENCE_LIMIT).alias("evidence_truncated"))
+    order = ["row_num", "field", "violation", "expected", "observed"]
+    item = F.struct(F.col("row_num").alias("row"), *order[1:])
+    totals = violations.groupBy("path").agg(F.count("*").alias("total_violation_count"), F.countDistinct("row_num").alias("affected_row_count"))
+    first = first_rows(violations, ["path"], order, {"sample_violations": item})
+    return totals.join(by_kind, "path").join(first, "path").select(F.col("path").alias("artifact_path"), "total_violation_count", "affected_row_count", "violation_counts", "sample_violations", (F.col("total_violation_count") > aliases.EVIDENCE_LIMIT).alias("evidence_truncated"))

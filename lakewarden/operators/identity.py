@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import aliases
-from ..functions.text import capped, content_fields, content_state, context_references, first_filled_string, first_scalar, has_role, identifier, plain_text, prefixed_sha, stripped
+from ..functions.text import content_fields, content_state, context_references, first_filled_string, first_rows, first_scalar, has_role, identifier, json_string, plain_text, prefixed_sha, stripped
 
 LIMIT = aliases.EVIDENCE_LIMIT
 
@@ -29,12 +29,12 @@ def sample_id_collisions(rows: DataFrame) -> DataFrame:
 def partial_sample_ids(rows: DataFrame) -> DataFrame:
     """One row per artifact where some rows, but not all, have a sample id."""
     held = with_sample_id(rows.where(has_role(F.col("roles"), *aliases.EVALUATION)))
-    missing = F.when(F.col("sample").isNull(), F.struct("row_num", "row_hash"))
-    grouped = held.groupBy(F.col("path").alias("artifact_path")).agg(F.count("*").alias("row_count"), F.count("sample").alias("identified_count"), F.sort_array(F.collect_set("sample.field")).alias("sample_id_fields"), F.array_sort(F.collect_list(missing)).alias("missing"))
+    grouped = held.groupBy(F.col("path").alias("artifact_path")).agg(F.count("*").alias("row_count"), F.count("sample").alias("identified_count"), F.sort_array(F.collect_set("sample.field")).alias("sample_id_fields"))
     counted = grouped.where("identified_count > 0 AND identified_count < row_count").withColumn("missing_id_count", F.col("row_count") - F.col("identified_count"))
-    return counted.select(
-        "artifact_path", "row_count", "identified_count", "missing_id_count", F.round(F.col("identified_count") / F.col("row_count"), 4).alias("coverage_ratio"), "sample_id_fields",
-        capped(F.col("missing.row_num")).alias("missing_row_locations"), capped(F.col("missing.row_hash")).alias("missing_row_hashes"), (F.col("missing_id_count") > LIMIT).alias("evidence_truncated"),
+    missing = first_rows(held.where("sample IS NULL").withColumnRenamed("path", "artifact_path"), ["artifact_path"], ["row_num", "row_hash"], {"missing_row_locations": "row_num", "missing_row_hashes": "row_hash"})
+    return counted.join(missing, "artifact_path").select(
+        "artifact_path", "row_count", "identified_count", "missing_id_count", F.bround(F.col("identified_count") / F.col("row_count"), 4).alias("coverage_ratio"), "sample_id_fields",
+        "missing_row_locations", "missing_row_hashes", (F.col("missing_id_count") > LIMIT).alias("evidence_truncated"),
     )
 
 
@@ -50,16 +50,23 @@ def _targets() -> Column:
 
 
 def label_conflicts(rows: DataFrame) -> DataFrame:
-    """One row per equal input and context that has two or more different targets."""
-    context = F.map_filter("top", lambda k, v: k.isin(*aliases.CONTEXT))
+    """One row per equal input and context that has two or more different targets.
+
+    Inputs in plain form and contexts without outer white space are one case; its hash
+    is that of both as canonical JSON.  A target's hash is that of its text, or of the
+    JSON list where it has several values.
+    """
     held = rows.where(has_role(F.col("roles"), *aliases.EVALUATION)).withColumn("input", first_scalar(aliases.INPUT)).withColumn("target", _targets()).where("input IS NOT NULL AND target IS NOT NULL")
-    keyed = held.withColumn("identity", F.sha2(F.concat_ws("\x00", plain_text(F.col("input.value")), F.to_json(F.array_sort(F.map_entries(context)))), 256))
-    place = F.struct("path", "row_num")
+    case = F.concat(F.lit('{"context":'), F.col("context"), F.lit(',"input":'), json_string(plain_text(F.col("input.value"))), F.lit("}"))
+    values = F.col("target.values")
+    signature = F.when(F.size(values) == 1, values[0]).otherwise(F.concat(F.lit("["), F.array_join(F.transform(values, json_string), ","), F.lit("]")))
+    keyed = held.select(F.sha2(case, 256).alias("identity"), F.sha2(signature, 256).alias("target_hash"), F.struct("path", "row_num", F.col("input.field").alias("input_field"), F.col("target.field").alias("target_field")).alias("place"))
+    several = keyed.groupBy("identity").agg(F.countDistinct("target_hash").alias("distinct_target_count")).where("distinct_target_count > 1")
     return (
-        keyed.groupBy("identity").agg(
-            F.sort_array(F.collect_set("path")).alias("artifact_paths"), prefixed_sha(plain_text(F.min("input.value"))).alias("normalized_input_hash"), F.min("input.field").alias("input_field"), F.sort_array(F.collect_set("target.field")).alias("target_fields"),
-            F.countDistinct("target.values").alias("distinct_target_count"), F.sort_array(F.collect_set(F.sha2(F.to_json("target.values"), 256))).alias("target_hashes"), F.count("*").alias("record_count"), F.array_sort(F.collect_list(place)).alias("row_locations"),
-        ).where("distinct_target_count > 1").drop("identity")
+        keyed.join(several, "identity").groupBy(F.concat(F.lit("sha256:"), "identity").alias("normalized_input_hash"), "distinct_target_count").agg(
+            F.sort_array(F.collect_set("place.path")).alias("artifact_paths"), F.min("place")["input_field"].alias("input_field"), F.sort_array(F.collect_set("place.target_field")).alias("target_fields"),
+            F.sort_array(F.collect_set("target_hash")).alias("target_hashes"), F.count("*").alias("record_count"), F.transform(F.array_sort(F.collect_list("place")), lambda p: F.struct(p["path"].alias("path"), p["row_num"].alias("row_num"))).alias("row_locations"),
+        )
     )
 
 
@@ -71,8 +78,10 @@ def empty_inputs(rows: DataFrame) -> DataFrame:
         kind = F.col("types")[n]
         blank = blank & (kind.isNull() | (kind == "null") | ((kind == "string") & (stripped(F.col("texts")[n]) == "")))
     held = rows.where(has_role(F.col("roles"), *aliases.EVALUATION)).withColumn("present", present).where((F.size("present") > 0) & blank & F.col("types")["messages"].isNull())
-    grouped = held.groupBy(F.col("path").alias("artifact_path")).agg(F.count("*").alias("affected_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("present")))).alias("input_fields"), F.array_sort(F.collect_list(F.struct("row_num", "row_hash"))).alias("all"))
-    return grouped.select("artifact_path", "affected_count", "input_fields", capped(F.col("all.row_num")).alias("row_locations"), capped(F.col("all.row_hash")).alias("row_hashes"), (F.col("affected_count") > LIMIT).alias("evidence_truncated"))
+    fields = held.select(F.col("path").alias("artifact_path"), F.explode("present").alias("name")).groupBy("artifact_path").agg(F.sort_array(F.collect_set("name")).alias("input_fields"))
+    counted = held.groupBy(F.col("path").alias("artifact_path")).agg(F.count("*").alias("affected_count")).join(fields, "artifact_path")
+    first = first_rows(held.withColumnRenamed("path", "artifact_path"), ["artifact_path"], ["row_num", "row_hash"], {"row_locations": "row_num", "row_hashes": "row_hash"})
+    return counted.join(first, "artifact_path").select("artifact_path", "affected_count", "input_fields", "row_locations", "row_hashes", (F.col("affected_count") > LIMIT).alias("evidence_truncated"))
 
 
 def retrieval_records(rows: DataFrame) -> DataFrame:
@@ -83,10 +92,11 @@ def retrieval_records(rows: DataFrame) -> DataFrame:
 def duplicate_chunks(rows: DataFrame) -> DataFrame:
     """One row per normalised content that occurs in two or more retrieval records, of one artifact or several."""
     held = retrieval_records(rows).where("plain IS NOT NULL AND plain <> ''")
-    grouped = held.groupBy(F.sha2("plain", 256).alias("h")).agg(F.count("*").alias("duplicate_count"), F.sort_array(F.collect_set("path")).alias("artifact_paths"), F.sort_array(F.collect_set("content.field")).alias("content_fields"), F.array_sort(F.collect_list(F.struct(F.col("path"), F.col("row_num").alias("row"), F.col("row_hash")))).alias("all")).where("duplicate_count > 1")
-    return grouped.select(
-        "artifact_paths", "content_fields", F.concat(F.lit("sha256:"), "h").alias("normalized_chunk_hash"), "duplicate_count", F.size("artifact_paths").cast("long").alias("duplicate_artifact_count"),
-        F.transform(capped(F.col("all")), lambda x: F.struct(x["path"].alias("path"), x["row"].alias("row"))).alias("row_locations"), capped(F.col("all.row_hash")).alias("row_hashes"), (F.col("duplicate_count") > LIMIT).alias("evidence_truncated"),
+    keyed = held.select(prefixed_sha(F.col("plain")).alias("normalized_chunk_hash"), "path", "row_num", "row_hash", F.col("content.field").alias("field"))
+    grouped = keyed.groupBy("normalized_chunk_hash").agg(F.count("*").alias("duplicate_count"), F.sort_array(F.collect_set("path")).alias("artifact_paths"), F.sort_array(F.collect_set("field")).alias("content_fields")).where("duplicate_count > 1")
+    first = first_rows(keyed, ["normalized_chunk_hash"], ["path", "row_num", "row_hash"], {"row_locations": F.struct(F.col("path"), F.col("row_num").alias("row")), "row_hashes": "row_hash"})
+    return grouped.join(first, "normalized_chunk_hash").select(
+        "artifact_paths", "content_fields", "normalized_chunk_hash", "duplicate_count", F.size("artifact_paths").cast("long").alias("duplicate_artifact_count"), "row_locations", "row_hashes", (F.col("duplicate_count") > LIMIT).alias("evidence_truncated"),
     )
 
 

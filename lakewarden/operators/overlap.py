@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aliases, similarity
-from ..functions.text import capped, has_role
+from ..functions.text import first_rows, has_role
 
 BUCKET_LIMIT = 100  # a similarity bucket with more members gives no candidates
 
@@ -91,10 +91,13 @@ def near_overlap(pairs: DataFrame, threshold: float) -> DataFrame:
     """One row per evaluation row with near copies in training artifacts."""
     met = _near(oriented(pairs, aliases.TRAINING, aliases.EVALUATION), threshold).where("left.row_hash <> right.row_hash AND left.path <> right.path")
     match = F.struct(F.col("left.path").alias("path"), F.col("left.row_num").alias("row"), F.col("score").alias("similarity_score"), F.lit(threshold).alias("configured_threshold"))
-    grouped = met.groupBy(F.col("right.path").alias("evaluation_artifact"), F.col("right.row_num").alias("evaluation_row")).agg(F.max("score").alias("similarity_score"), F.array_sort(F.collect_set(match)).alias("all"))
-    return grouped.select(
-        "evaluation_artifact", "evaluation_row", F.col("all")[0]["path"].alias("training_artifact"), F.col("all")[0]["row"].alias("training_row"), "similarity_score", F.lit(threshold).alias("configured_threshold"),
-        F.size("all").cast("long").alias("overlap_count"), capped(F.col("all")).alias("matched_training_records"), (F.size("all") > aliases.EVIDENCE_LIMIT).alias("evidence_truncated"),
+    key = ["evaluation_artifact", "evaluation_row"]
+    matches = met.select(F.col("right.path").alias("evaluation_artifact"), F.col("right.row_num").alias("evaluation_row"), match.alias("match")).distinct()
+    grouped = matches.groupBy(*key).agg(F.max("match.similarity_score").alias("similarity_score"), F.count("*").alias("overlap_count"), F.min("match").alias("first"))
+    sampled = first_rows(matches, key, ["match"], {"matched_training_records": "match"})
+    return grouped.join(sampled, key).select(
+        *key, F.col("first.path").alias("training_artifact"), F.col("first.row").alias("training_row"), "similarity_score", F.lit(threshold).alias("configured_threshold"),
+        "overlap_count", "matched_training_records", (F.col("overlap_count") > aliases.EVIDENCE_LIMIT).alias("evidence_truncated"),
     )
 
 
@@ -106,12 +109,11 @@ def near_duplicates(pairs: DataFrame, roles: tuple[str, ...], threshold: float,
         met = met.where(F.col("source.discriminator").eqNullSafe(F.col("target.discriminator")))
     place = lambda side: F.struct(F.col(f"{side}.path").alias("path"), F.col(f"{side}.row_num").alias("row"))
     pair = F.sort_array(F.array(place("source"), place("target")))
-    ordered = met.select(pair.alias("pair"), "score").distinct()
-    sample = F.struct((-F.col("score")).alias("order"), F.col("pair").alias("rows"), F.col("score").alias("similarity_score"))
-    grouped = ordered.groupBy(F.array(F.col("pair")[0]["path"], F.col("pair")[1]["path"]).alias("artifact_paths")).agg(
-        F.count("*").alias("near_duplicate_pair_count"), F.size(F.array_distinct(F.flatten(F.collect_list("pair")))).cast("long").alias("affected_row_count"), F.max("score").alias("max_similarity_score"), F.array_sort(F.collect_list(sample)).alias("all"),
-    )
-    return grouped.select(
-        "artifact_paths", "near_duplicate_pair_count", "affected_row_count", "max_similarity_score", F.lit(threshold).alias("configured_threshold"),
-        F.transform(capped(F.col("all")), lambda s: F.struct(s["rows"].alias("rows"), s["similarity_score"].alias("similarity_score"))).alias("sample_pairs"), (F.col("near_duplicate_pair_count") > aliases.EVIDENCE_LIMIT).alias("evidence_truncated"),
+    paths = F.array(F.col("pair")[0]["path"], F.col("pair")[1]["path"])
+    ordered = met.select(pair.alias("pair"), "score").distinct().select(paths.alias("artifact_paths"), "pair", "score")
+    counted = ordered.groupBy("artifact_paths").agg(F.count("*").alias("near_duplicate_pair_count"), F.max("score").alias("max_similarity_score"))
+    affected = ordered.select("artifact_paths", F.explode("pair").alias("x")).distinct().groupBy("artifact_paths").agg(F.count("*").alias("affected_row_count"))
+    sampled = first_rows(ordered, ["artifact_paths"], [F.desc("score"), "pair"], {"sample_pairs": F.struct(F.col("pair").alias("rows"), F.col("score").alias("similarity_score"))})
+    return counted.join(affected, "artifact_paths").join(sampled, "artifact_paths").select(
+        "artifact_paths", "near_duplicate_pair_count", "affected_row_count", "max_similarity_score", F.lit(threshold).alias("configured_threshold"), "sample_pairs", (F.col("near_duplicate_pair_count") > aliases.EVIDENCE_LIMIT).alias("evidence_truncated"),
     )

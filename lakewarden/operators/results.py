@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aliases
-from ..functions.text import bare_fingerprint, is_fingerprint, prefixed_sha
+from ..functions.text import bare_fingerprint, first_rows, is_fingerprint, prefixed_sha
 
 LIMIT = aliases.EVIDENCE_LIMIT
 UNIT_BOUNDS = {"fraction": (0.0, 1.0), "percent": (0.0, 100.0), "nonnegative": (0.0, float("inf"))}
@@ -52,16 +52,18 @@ def alignment(dataset: DataFrame, result: DataFrame) -> DataFrame:
 
     both = facts(dataset, "d").join(facts(result, "r"), "sample_id", "full_outer")  # a null id meets nothing and shows on its own side
     named = F.col("sample_id").isNotNull()
-    only = lambda there, other: F.sort_array(F.collect_list(F.when(named & F.col(there).isNotNull() & F.col(other).isNull(), F.col("sample_id"))))
-    again = lambda side: F.sort_array(F.collect_list(F.when(named & (F.col(side) > 1), F.col("sample_id"))))
-    agg = both.agg(
-        F.coalesce(F.sum("d_n"), F.lit(0)).alias("dataset_count"), F.coalesce(F.sum("r_n"), F.lit(0)).alias("result_count"), F.coalesce(F.sum(F.when(~named, F.coalesce("d_n", F.lit(0)) + F.coalesce("r_n", F.lit(0)))), F.lit(0)).alias("unnamed"),
-        only("d_n", "r_n").alias("missing"), only("r_n", "d_n").alias("unexpected"), again("d_n").alias("twice_d"), again("r_n").alias("twice_r"),
-    )
-    complete = F.col("unnamed") == 0
-    count = lambda c: F.when(complete, F.size(c)).otherwise(0).cast("long")
-    hashes = lambda c: F.transform(F.slice(F.when(complete, F.col(c)).otherwise(F.array().cast("array<string>")), 1, LIMIT), lambda v: prefixed_sha(v))
-    return agg.select("dataset_count", "result_count", count("missing").alias("missing_ids"), count("unexpected").alias("unexpected_ids"), count("twice_d").alias("duplicate_dataset_ids"), count("twice_r").alias("duplicate_result_ids"), hashes("missing").alias("missing_id_hashes"), hashes("unexpected").alias("unexpected_id_hashes"))
+    kinds = {"missing": F.col("d_n").isNotNull() & F.col("r_n").isNull(), "unexpected": F.col("r_n").isNotNull() & F.col("d_n").isNull(), "duplicate_dataset": F.col("d_n") > 1, "duplicate_result": F.col("r_n") > 1}
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = both.agg(count("d_n").alias("dataset_count"), count("r_n").alias("result_count"), count(F.when(~named, F.coalesce("d_n", F.lit(0)) + F.coalesce("r_n", F.lit(0)))).alias("unnamed"), *[F.count_if(named & there).alias(kind) for kind, there in kinds.items()])
+    differing = both.select("sample_id", F.explode(F.array_compact(F.array(*[F.when(named & kinds[k], F.lit(k)) for k in ("missing", "unexpected")]))).alias("kind"))
+    first = first_rows(differing, ["kind"], ["sample_id"], {"hashes": prefixed_sha(F.col("sample_id"))}, LIMIT)
+    # at most two rows, beside the one of totals
+    samples = first.agg(*[F.max(F.when(F.col("kind") == k, F.col("hashes"))).alias(f"{k}_hashes") for k in ("missing", "unexpected")])
+    one = totals.withColumn("_one", F.lit(1)).join(samples.withColumn("_one", F.lit(1)), "_one")
+    complete, none = F.col("unnamed") == 0, F.array().cast("array<string>")
+    whole = lambda c: F.when(complete, F.col(c)).otherwise(0).cast("long")
+    shown = lambda c: F.coalesce(F.when(complete, F.col(c)), none)
+    return one.select("dataset_count", "result_count", whole("missing").alias("missing_ids"), whole("unexpected").alias("unexpected_ids"), whole("duplicate_dataset").alias("duplicate_dataset_ids"), whole("duplicate_result").alias("duplicate_result_ids"), shown("missing_hashes").alias("missing_id_hashes"), shown("unexpected_hashes").alias("unexpected_id_hashes"))
 
 
 def unseeded_generation(parameters: DataFrame) -> DataFrame:

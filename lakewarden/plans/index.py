@@ -29,11 +29,12 @@ class Index:
     config: ScanConfig
     artifacts: dict[str, Artifact]
     rows: DataFrame  # the row relation with roles and sim_text
+    texts: DataFrame  # (path, roles, text) of text artifacts, one kind of line end; never on the driver
     facts: dict[str, dict] = field(default_factory=dict)
     diagnostics: list[dict] = field(default_factory=list)
 
     @classmethod
-    def build(cls, spark: SparkSession, root: str, config: ScanConfig, keep=lambda artifact: True) -> Index:
+    def build(cls, spark: SparkSession, root: str, config: ScanConfig, keep=lambda artifact: True, fields: frozenset[str] | None = None) -> Index:
         artifacts = {p: a for p in discover(root, config) if (a := artifact_at(p, config)) is not None and keep(a)}
         diagnostics = [n for a in artifacts.values() for n in a.notes]
         small = []
@@ -44,7 +45,7 @@ class Index:
             else:
                 small.append((path, artifact.format, list(artifact.roles), os.path.abspath(full)))
         s = config.similarity
-        limits = ReadLimits(config.max_rows, s.focus_roles, s.focus_fields)
+        limits = ReadLimits(config.max_rows, s.focus_roles, s.focus_fields, fields)
         if small:
             listed = spark.createDataFrame([(p, k, r, "file:" + f) for p, k, r, f in small], "path string, kind string, roles array<string>, uri string")
             files = spark.read.format("binaryFile").load([f for *_, f in small]).select(F.col("path").alias("found"), "content")
@@ -55,7 +56,7 @@ class Index:
             events = spark.createDataFrame([], EVENTS)
         events = events.persist(StorageLevel.MEMORY_AND_DISK)
         facts = {}
-        for r in events.where("event <> 'row'").select("event", "payload").collect():  # a document's facts and its rejected rows
+        for r in events.where("event NOT IN ('row', 'text')").select("event", "payload").collect():  # a document's facts and its rejected rows
             value = json.loads(r["payload"])
             if r["event"] == "document":
                 facts[value["path"]] = value
@@ -63,7 +64,8 @@ class Index:
                 diagnostics.append({k: v for k, v in value.items() if v is not None})
         roles = spark.createDataFrame([(p, list(a.roles)) for p, a in artifacts.items()], "path string, roles array<string>")
         rows = events.where("event = 'row'").drop("event", "payload").join(F.broadcast(roles), "path")
-        return cls(spark, root, config, artifacts, rows, facts, diagnostics)
+        texts = events.where("event = 'text'").select("path", F.col("payload").alias("text")).join(F.broadcast(roles), "path")
+        return cls(spark, root, config, artifacts, rows, texts, facts, diagnostics)
 
     def paths(self, *roles: str, but_configuration: bool = False) -> list[str]:
         return sorted(p for p, a in self.artifacts.items() if set(roles) & set(a.roles) and not (but_configuration and "configuration" in a.roles))
@@ -109,9 +111,7 @@ class Index:
     @cached_property
     def lines(self) -> DataFrame:
         """Lines of text artifacts, and of the strings in Parquet rows (numbered by row)."""
-        texts = [(p, list(self.artifacts[p].roles), f["plain"]) for p, f in self.facts.items() if f.get("plain")]
-        listed = self.spark.createDataFrame(texts, "path string, roles array<string>, text string")
-        physical = listed.select("path", "roles", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).cast("long").alias("line_num"), "roles", "line")
+        physical = self.texts.select("path", "roles", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("path", (F.col("pos") + 1).cast("long").alias("line_num"), "roles", "line")
         binary = [p for p, a in self.artifacts.items() if a.format == "parquet"]
         leaves = self.rows.where(F.col("path").isin(binary)).select("path", F.col("row_num").alias("line_num"), "roles", F.explode("leaves").alias("leaf"))
         return physical.unionByName(leaves.select("path", "line_num", "roles", F.explode(F.split("leaf", "\r\n|[\r\n\x0b\x0c\x1c-\x1e\u0085  ]")).alias("line")))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import aliases
 from ..functions.canon import canonical_json
+from ..functions.text import first_rows
 from ..operators import profile
 from ..operators.identity import with_sample_id
-from ..sources.config import ProfileSettings
+from ..sources.config import ProfileSettings, ScanConfig
 from .index import Index
 
 LIMIT = aliases.EVIDENCE_LIMIT
@@ -23,17 +24,22 @@ def _ratio(a: int, b: int) -> float | None:
     return a / b if b else None
 
 
+def asked_fields(config: ScanConfig) -> frozenset[str]:
+    """Top-level fields that any measurement looks at."""
+    declared = [d.profile for d in config.artifacts if d.profile is not None]
+    return frozenset((*profile.CANONICAL_FIELDS, *aliases.SAMPLE_ID, *[n for p in declared for n in p.text_fields or ()], *[n for p in declared for n, _ in p.categories]))
+
+
 def measurements(index: Index) -> list[dict]:
     rows = index.rows
-    by_path = {r["path"]: r for r in profile.row_measures(rows).collect()}  # a row per artifact, as all below
-    ranked = profile.duplicate_groups(rows).groupBy("path").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("row_hash", "group_size"))).alias("all")).select("path", "n", F.slice("all", 1, LIMIT).alias("some"))
-    groups = {r["path"]: r for r in ranked.collect()}
-    named = with_sample_id(rows)
-    id_fields: dict[str, dict] = {}
-    for r in named.where("sample IS NOT NULL").groupBy("path", "sample.field").count().collect():
-        id_fields.setdefault(r["path"], {})[r["field"]] = r["count"]
-    missing = {r["path"]: r["m"] for r in named.where("sample IS NULL").groupBy("path").agg(F.slice(F.array_sort(F.collect_list("row_num")), 1, LIMIT).alias("m")).collect()}
-    lengths = {r["path"]: r for r in profile.length_measures(profile.input_texts(rows)).collect()}
+    by_path = {r["path"]: r for r in profile.counted_rows(rows).collect()}  # a row per artifact, as all below
+    index.row_counts = {p: r["row_count"] for p, r in by_path.items()}
+    distinct = {r["path"]: r for r in profile.distinct_rows(rows).collect()}
+    repeated = [p for p, r in distinct.items() if r["duplicate_groups"]]
+    groups = {r["path"]: r for r in first_rows(profile.duplicate_groups(rows.where(F.col("path").isin(repeated))), ["path"], ["row_hash"], {"row_hash": "row_hash", "group_size": "group_size"}).collect()} if repeated else {}
+    lacking = [p for p, r in by_path.items() if r["identified"] < r["row_count"]]
+    nameless = with_sample_id(rows.where(F.col("path").isin(lacking))).where("sample IS NULL")
+    missing = {r["path"]: r["row_num"] for r in first_rows(nameless, ["path"], ["row_num"], {"row_num": "row_num"}).collect()} if lacking else {}
     out: list[dict] = []
     for path, facts in index.coverage.items():
         artifact = index.artifacts[path]
@@ -52,13 +58,14 @@ def measurements(index: Index) -> list[dict]:
         rejected = facts["rows_rejected"]
         emit("row_count", n, "rows", n, "indexed_rows/v1", {"rows_rejected": rejected, "truncated": facts["truncated"]})
         emit("rejected_record_rate", _ratio(rejected, n + rejected), "fraction", n + rejected, "observed_rejections/v1", {"accepted_count": n, "rejected_count": rejected, "observed_count": n + rejected})
-        g = groups.get(path)
-        emit("exact_duplicate_rate", _ratio(n - get("distinct_rows"), n), "fraction", n, "normalized_row_duplicates/v1", {"duplicate_extra_count": n - get("distinct_rows"), "distinct_record_count": get("distinct_rows"), "duplicate_group_count": g["n"] if g else 0, "sample_groups": [{"row_hash": x["row_hash"], "count": x["group_size"]} for x in g["some"]] if g else [], "evidence_truncated": bool(g and g["n"] > LIMIT)}, {"normalization": "normalized_row_hash"})
+        g, d = groups.get(path), distinct.get(path)
+        kinds, again = (d["distinct_rows"], d["duplicate_groups"]) if d else (0, 0)
+        emit("exact_duplicate_rate", _ratio(n - kinds, n), "fraction", n, "normalized_row_duplicates/v1", {"duplicate_extra_count": n - kinds, "distinct_record_count": kinds, "duplicate_group_count": again, "sample_groups": [{"row_hash": h, "count": m} for h, m in zip(g["row_hash"], g["group_size"], strict=True)] if g else [], "evidence_truncated": again > LIMIT}, {"normalization": "normalized_row_hash"})
         identified = get("identified")
-        emit("sample_id_coverage", _ratio(identified, n), "fraction", n, "explicit_sample_ids/v1", {"identified_count": identified, "missing_count": n - identified, "selected_field_counts": dict(sorted(id_fields.get(path, {}).items())), "sample_missing_rows": missing.get(path, []), "evidence_truncated": n - identified > LIMIT}, {"aliases": list(aliases.SAMPLE_ID)})
+        emit("sample_id_coverage", _ratio(identified, n), "fraction", n, "explicit_sample_ids/v1", {"identified_count": identified, "missing_count": n - identified, "selected_field_counts": {f: get(f"by_{f}") for f in sorted(aliases.SAMPLE_ID) if get(f"by_{f}")}, "sample_missing_rows": missing.get(path, []), "evidence_truncated": n - identified > LIMIT}, {"aliases": list(aliases.SAMPLE_ID)})
         counts = {f: {"present_count": get(f"has_{f}"), "null_count": get(f"null_{f}"), "blank_string_count": get(f"blank_{f}")} for f in profile.CANONICAL_FIELDS}
         emit("canonical_field_coverage", {f: _ratio(c["present_count"], n) for f, c in counts.items()}, "fraction", n, "top_level_field_presence/v1", {"fields": counts}, {"fields": list(profile.CANONICAL_FIELDS)})
-        measured = {None: lengths.get(path)} if settings.text_fields is None else dict.fromkeys(settings.text_fields)
+        measured = {None: r if r is not None and r["population"] else None} if settings.text_fields is None else dict.fromkeys(settings.text_fields)
         if settings.text_fields:
             measured |= {x["field"]: x for x in profile.length_measures(profile.input_texts(rows.where(F.col("path") == path), settings.text_fields)).collect()}
         for name, x in measured.items():
@@ -70,13 +77,9 @@ def measurements(index: Index) -> list[dict]:
             scalar = F.when(F.col("types")[name].isin("string", "integer", "number", "boolean", "null"), F.col("top")[name])
             values = rows.where(F.col("path") == path).select("path", F.lit(name).alias("field"), scalar.alias("value"))
             found = profile.category_distribution(values, LIMIT).collect()
-            raw = {canonical_sha(v["value"]): json.loads(v["value"]) for v in values.where("value IS NOT NULL").distinct().collect()} if expose else {}
             top = sorted((x for x in found if x["place"] is not None), key=lambda x: x["place"])
-            items = [{"value_hash": "sha256:" + x["value_hash"], "count": x["n"], **({"value": raw[x["value_hash"]]} if expose else {})} for x in top]
+            items = [{"value_hash": "sha256:" + x["value_hash"], "count": x["n"], **({"value": json.loads(x["value"])} if expose else {})} for x in top]
             population = sum(x["n"] for x in found)
             emit("categorical_distribution", {"categories": items, "other_count": population - sum(x["n"] for x in top)}, "distribution", population, "typed_scalar_distribution/v1", {"population": population}, {"field": name, "expose_values": expose, "normalization": "none", "category_limit": LIMIT, "ordering": "count_desc_hash_asc"}, {"type": "field", "field": name})
     return sorted(out, key=lambda m: (m["artifact_path"], m["measurement_id"], canonical_json(m["scope"]), m["fingerprint"]))
 
-
-def canonical_sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

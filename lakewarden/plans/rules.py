@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aliases
 from ..functions.canon import canonical_json, type_name
-from ..functions.text import content_fields, content_state, first_scalar, plain_text
+from ..functions.text import content_fields, content_state, first_rows, first_scalar, plain_text
 from ..operators import content, contracts, identity, overlap, results
 from .index import INCOMPLETE, Index
 
@@ -123,8 +123,8 @@ def duplicate_train_near_duplicate(index: Index) -> Found:
 
 @rule("contamination.rag_answer_leakage", "high", "likely", "A retrieval text holds an expected answer", "Take the answer out of the corpus, or mark the case as grounded.", *aliases.EVALUATION, "rag_document")
 def rag_answer_leakage(index: Index) -> Found:
-    texts = [(p, None, index.facts[p]["plain"]) for p in index.paths("rag_document") if index.artifacts[p].format != "parquet" and index.facts.get(p, {}).get("plain")]
-    whole = index.spark.createDataFrame(texts, "rag_artifact string, rag_row long, rag_text string").withColumn("rag_text", plain_text(F.col("rag_text")))
+    textual = [p for p in index.paths("rag_document") if index.artifacts[p].format != "parquet"]
+    whole = index.texts.where(F.col("path").isin(textual)).select(F.col("path").alias("rag_artifact"), F.lit(None).cast("long").alias("rag_row"), plain_text(F.col("text")).alias("rag_text"))
     binary = [p for p in index.paths("rag_document") if index.artifacts[p].format == "parquet"]
     records = identity.retrieval_records(index.rows.where(F.col("path").isin(binary))).where("plain IS NOT NULL").select(F.col("path").alias("rag_artifact"), F.col("row_num").alias("rag_row"), F.col("plain").alias("rag_text"))
     for e in collected(content.answer_leakage(content.answers(index.rows), whole.unionByName(records))):
@@ -311,8 +311,9 @@ def empty_or_corrupted_document(index: Index) -> Found:
         return
     paths = index.paths("rag_document")
     state = index.rows.where(F.col("path").isin(paths)).withColumn("state", content_state())
-    empty = state.where("state = 'empty'").groupBy("path").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("row_num", "row_hash"))).alias("all"))
-    empties = {r["path"]: r for r in empty.collect()}  # a row per artifact
+    empty = state.where("state = 'empty'")
+    counted = empty.groupBy("path").agg(F.count("*").alias("n")).join(first_rows(empty, ["path"], ["row_num", "row_hash"], {"rows": "row_num", "hashes": "row_hash"}), "path")
+    empties = {r["path"]: r for r in counted.collect()}  # a row per artifact
     fields = {r["path"]: r["f"] for r in state.groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(content_fields())))).alias("f")).collect()}
     for path in paths:
         codes, facts, rows = index.codes(path), index.facts.get(path, {}), index.row_counts.get(path, 0)
@@ -328,7 +329,7 @@ def empty_or_corrupted_document(index: Index) -> Found:
             state_name = "empty"
         else:
             continue
-        samples = [(r["row_num"], r["row_hash"]) for r in held["all"][:20]] if held is not None else []
+        samples = list(zip(held["rows"], held["hashes"], strict=True)) if held is not None else []
         n = held["n"] if held is not None else 0
         evidence = {"artifact_path": path, "state": state_name, "empty_record_count": n, "row_count": rows, "observed_text_length": facts.get("text_length", 0), "content_fields": fields.get(path, []), "row_locations": [{"path": path, "row": a} for a, _ in samples], "row_hashes": [b for _, b in samples], "diagnostic_codes": broken, "evidence_truncated": n > 20}
         yield f"'{path}' holds {state_name} content.", [at("primary", path, row=a) for a, _ in samples] or [at("primary", path)], evidence

@@ -1,7 +1,7 @@
 """Reading artifacts on the executors: one task reads one file and gives events.
 
-An event is a row, a diagnostic, or the document's facts.  Files are read whole,
-which the size limit bounds; everything after this is relational.
+An event is a row, a diagnostic, a document's text, or its facts.  Files are read
+whole, which the size limit bounds; everything after this is relational.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame
 
@@ -24,8 +24,11 @@ from ..functions import aliases
 from ..functions.canon import ROW_FIELDS, canonical_json, focus_text, record_view, string_leaves
 
 EVENTS = f"event string, path string, row_num long, payload string, sim_text string, leaves array<string>, {ROW_FIELDS}"
-NAMES = [part.split()[0] for part in re.split(r", (?=\w+ \w)", EVENTS)]
+ARROW = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string()), "map<string,array<string>>": pa.map_(pa.string(), pa.list_(pa.string()))}
+SCHEMA = pa.schema([(name, ARROW[kind]) for name, kind in (part.split(" ") for part in EVENTS.split(", "))])
 DATASETS = set(aliases.DATASETS)
+TEXT_ROLES = {"rag_document", "prompt_template", *aliases.EVALUATION, "evaluation_result"}
+BATCH_EVENTS = 5000
 
 
 @dataclass(frozen=True)
@@ -33,6 +36,7 @@ class ReadLimits:
     max_rows: int
     focus_roles: tuple[str, ...]
     focus_fields: tuple[str, ...]
+    fields: frozenset[str] | None = None  # the top-level fields that are asked for, in a profile; all of them in a scan
 
 
 class _Reader:
@@ -41,8 +45,8 @@ class _Reader:
     def __init__(self, path: str, kind: str, roles: set[str], limits: ReadLimits):
         self.path, self.kind, self.roles, self.limits = path, kind, roles, limits
         self.events: list[dict] = []
-        self.accepted: list[str] = []
-        self.facts: dict[str, Any] = {"path": path, "fingerprint": None, "has_rows": False, "blank": True, "text_length": 0, "encoding": None, "root": None, "plain": None}
+        self.accepted, self.digest = 0, hashlib.sha256()
+        self.facts: dict[str, Any] = {"path": path, "fingerprint": None, "has_rows": False, "blank": True, "text_length": 0, "encoding": None, "root": None}
 
     def diagnostic(self, code: str, message: str, row: int | None = None) -> None:
         self.events.append({"event": "diagnostic", "path": self.path, "row_num": row, "payload": canonical_json({"severity": "warning", "code": code, "message": message, "path": self.path, "row": row})})
@@ -50,23 +54,28 @@ class _Reader:
     def row(self, number: int, record: Any) -> bool:
         """Whether the row was within the limit."""
         self.facts["has_rows"] = True
-        if len(self.accepted) >= self.limits.max_rows:
+        if self.accepted >= self.limits.max_rows:
             self.diagnostic("artifact.row_limit_reached", f"Only the first {self.limits.max_rows} rows of '{self.path}' were read.")
             return False
-        view = record_view(record)
-        self.accepted.append(view["canon"])
-        text = focus_text(record, self.limits.focus_roles, self.limits.focus_fields)
-        self.events.append({"event": "row", "path": self.path, "row_num": number, "sim_text": text, "leaves": list(string_leaves(record)), **view})
+        view = record_view(record, self.limits.fields)
+        self.digest.update(b"\n" * (self.accepted > 0) + view["canon"].encode())
+        self.accepted += 1
+        event = {"event": "row", "path": self.path, "row_num": number, **view}
+        if self.limits.fields is None:
+            event |= {"sim_text": focus_text(record, self.limits.focus_roles, self.limits.focus_fields), "leaves": list(string_leaves(record))}
+        else:
+            event["canon"] = None
+        self.events.append(event)
         return True
 
     def of_rows(self) -> None:
         """The fingerprint of what was accepted, one canonical row a line."""
         if self.accepted:
-            self.facts["fingerprint"] = "sha256:" + hashlib.sha256("\n".join(self.accepted).encode()).hexdigest()
+            self.facts["fingerprint"] = "sha256:" + self.digest.hexdigest()
 
     def of_document(self, document: Any) -> None:
         self.facts["fingerprint"] = "sha256:" + hashlib.sha256(canonical_json(document).encode()).hexdigest()
-        self.facts["root"] = document if isinstance(document, dict) else None
+        self.facts["root"] = document if isinstance(document, dict) and "evaluation_result" in self.roles else None
         rows = document if isinstance(document, list) else next((document[k] for k in aliases.ROW_COLLECTION if isinstance(document, dict) and isinstance(document.get(k), list)), None)
         if rows is not None:
             self.facts["has_rows"] = True
@@ -169,7 +178,8 @@ def read_file(path: str, kind: str, roles: set[str], data: bytes, limits: ReadLi
         return r.finish()
     text = data.decode("utf-8-sig", errors="replace").replace("\r\n", "\n").replace("\r", "\n")
     r.facts |= {"blank": not text.strip(), "text_length": len(text.strip())}
-    r.facts["plain"] = text if roles & {"rag_document", "prompt_template", *aliases.EVALUATION, "evaluation_result"} else None
+    if text and limits.fields is None and roles & TEXT_ROLES:
+        r.events.append({"event": "text", "path": path, "payload": text})
     if roles & DATASETS and (trouble := audit(data)) is not None:
         r.facts["encoding"] = trouble
         r.diagnostic("artifact.invalid_text_encoding", f"'{path}' is no clean UTF-8 text.")
@@ -195,15 +205,24 @@ def read_file(path: str, kind: str, roles: set[str], data: bytes, limits: ReadLi
     return r.finish()
 
 
+def _batch(events: list[dict]) -> pa.RecordBatch:
+    def column(field: pa.Field) -> pa.Array:
+        values = [e.get(field.name) for e in events]
+        if pa.types.is_map(field.type):
+            values = [list(v.items()) if v is not None else None for v in values]
+        return pa.array(values, field.type)
+
+    return pa.RecordBatch.from_arrays([column(f) for f in SCHEMA], schema=SCHEMA)
+
+
 def read_artifacts(files: DataFrame, limits: ReadLimits) -> DataFrame:
     """files(path, kind, roles, content) -> events (EVENTS)."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, kind, roles, content in zip(pdf["path"], pdf["kind"], pdf["roles"], pdf["content"], strict=True):
-                events = read_file(path, kind, set(roles), bytes(content), limits)
-                for at in range(0, len(events), 5000):
-                    frame = pd.DataFrame(events[at : at + 5000]).reindex(columns=NAMES).astype(object)
-                    yield frame.where(frame.notna(), None)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, kind, roles, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                events = read_file(path, kind, set(roles), content.as_py(), limits)
+                for at in range(0, len(events), BATCH_EVENTS):
+                    yield _batch(events[at : at + BATCH_EVENTS])
 
-    return files.mapInPandas(read, EVENTS)
+    return files.mapInArrow(read, EVENTS)

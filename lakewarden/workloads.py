@@ -161,11 +161,15 @@ def sample_alignment_mismatch(spark, sf_dir):
     return results.alignment(dataset, result).select("dataset_count", "result_count", "missing_ids", "unexpected_ids", "duplicate_dataset_ids", "duplicate_result_ids", F.col("missing_id_hashes")[0].alias("first_missing"))
 
 
-@_query(f"""WITH d AS (SELECT {PLAIN.format('text')} AS p, source FROM documents)
-SELECT 'sha256:' || sha256(p) AS normalized_input_hash, count(DISTINCT source)::BIGINT AS distinct_target_count, count(*)::BIGINT AS record_count FROM d WHERE p <> '' GROUP BY p HAVING count(DISTINCT source) > 1""")
+@_query(f"""WITH d AS (SELECT doc_id, {PLAIN.format('text')} AS p, source, {PLAIN.format('lang')} AS c FROM documents), k AS (
+  SELECT 'sha256:' || sha256('{{"context":{{"context":' || to_json(c)::VARCHAR || '}},"input":' || to_json(p)::VARCHAR || '}}') AS h, sha256({PLAIN.format('source')}) AS t, doc_id FROM d WHERE p <> '')
+SELECT h AS normalized_input_hash, count(DISTINCT t)::BIGINT AS distinct_target_count, count(*)::BIGINT AS record_count, string_agg(DISTINCT t, ',' ORDER BY t) AS target_hashes, min(doc_id) AS first_row FROM k GROUP BY h HAVING count(DISTINCT t) > 1""")
 def label_inconsistency(spark, sf_dir):
-    rows = table_rows(_read(spark, sf_dir, "documents"), F.lit("eval"), F.col("doc_id"), _roles("evaluation_dataset"), {"input": F.col("text"), "label": F.col("source")})
-    return identity.label_conflicts(rows).select("normalized_input_hash", "distinct_target_count", "record_count")
+    """Documents' languages stand for context, with white space around some of them; their sources for labels."""
+    docs = _read(spark, sf_dir, "documents")
+    context = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), "lang", F.lit("\n"))).otherwise(F.col("lang"))
+    rows = table_rows(docs, F.lit("eval"), F.col("doc_id"), _roles("evaluation_dataset"), {"input": F.col("text"), "label": F.col("source"), "context": context})
+    return identity.label_conflicts(rows).select("normalized_input_hash", "distinct_target_count", "record_count", F.array_join("target_hashes", ",").alias("target_hashes"), F.col("row_locations")[0]["row_num"].alias("first_row"))
 
 
 @_query("""SELECT 'events' AS result_artifact, event_type AS metric_name, event_id AS event_id, value AS observed_value FROM events WHERE value < 0 OR value > 100""")
@@ -201,11 +205,11 @@ def unresolved_placeholder(spark, sf_dir):
 
 @_query(r"""WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, line FROM (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM (SELECT doc_id, regexp_split_to_array(replace(text, ' the ', ' {context} '), '\r\n|\r|\n') AS a FROM documents))),
 w AS (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM l)
-SELECT doc_id::VARCHAR AS prompt_artifact, n AS line_number, len(regexp_extract_all(line, '\{context\}'))::BIGINT AS found, 'sha256:' || sha256(near) AS snippet_hash FROM w WHERE contains(line, '{context}') AND NOT contains(near, '```')""")
+SELECT doc_id::VARCHAR AS prompt_artifact, n AS line_number, len(regexp_extract_all(line, '\{context\}'))::BIGINT AS found, 'sha256:' || sha256(regexp_replace(line, '^\s+|\s+$', '', 'g')) AS snippet FROM w WHERE contains(line, '{context}') AND NOT contains(near, '```')""")
 def untrusted_context_interpolation(spark, sf_dir):
     """Documents with a common word made a placeholder stand for prompt templates."""
     lines = text_lines(_read(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), _roles("prompt_template"), F.replace("text", F.lit(" the "), F.lit(" {context} ")))
-    return content.unfenced_interpolations(lines).groupBy("prompt_artifact", "line_number", "snippet_hash").agg(F.count("*").alias("found"))
+    return content.unfenced_interpolations(lines).groupBy("prompt_artifact", "line_number", "snippet").agg(F.count("*").alias("found"))
 
 
 @_query("""SELECT 'nation' AS artifact_path, 'sha256:' || sha256(n_regionkey::VARCHAR) AS chunk_id_hash, count(*)::BIGINT AS record_count, count(DISTINCT n_name)::BIGINT AS distinct_content_count, count(*) > 20 AS evidence_truncated FROM nation GROUP BY n_regionkey HAVING count(DISTINCT n_name) > 1""")
@@ -290,7 +294,7 @@ SELECT path, field, CASE WHEN place <= {k} THEN value_hash END AS value_hash, su
 
 def _categories(df: DataFrame, table: str, column: str, top: int) -> DataFrame:
     value = F.concat(F.lit('"'), F.col(column), F.lit('"'))
-    return profile.category_distribution(df.select(F.lit(table).alias("path"), F.lit(column).alias("field"), value.alias("value")), top)
+    return profile.category_distribution(df.select(F.lit(table).alias("path"), F.lit(column).alias("field"), value.alias("value")), top).drop("value")
 
 
 @_query(CATEGORIES.format(t="documents", c="source", k=20))
