@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -16,7 +17,7 @@ from ..functions.canon import type_name
 from ..operators import overlap
 from ..sources.card import read_card
 from ..sources.config import ScanConfig, resolve_ref
-from ..sources.discovery import Artifact, artifact_at, discover
+from ..sources.discovery import Artifact, artifact_at, discover, fits_any
 from ..sources.formats import EVENTS, ReadLimits, read_artifacts
 
 INCOMPLETE = ("artifact.parse_failed", "artifact.row_parse_failed", "artifact.row_limit_reached", "artifact.file_size_limit_exceeded")
@@ -25,33 +26,53 @@ INCOMPLETE = ("artifact.parse_failed", "artifact.row_parse_failed", "artifact.ro
 @dataclass
 class Index:
     spark: SparkSession
-    root: str
+    root: str | None
     config: ScanConfig
     artifacts: dict[str, Artifact]
     rows: DataFrame  # the row relation with roles and sim_text
     texts: DataFrame  # (path, roles, text) of text artifacts, one kind of line end; never on the driver
+    listed: frozenset[str]  # all paths that were found
     facts: dict[str, dict] = field(default_factory=dict)
     diagnostics: list[dict] = field(default_factory=list)
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, config: ScanConfig, keep=lambda artifact: True, fields: frozenset[str] | None = None) -> Index:
-        artifacts = {p: a for p in discover(root, config) if (a := artifact_at(p, config)) is not None and keep(a)}
+        """The index of the folder root."""
+        found = [(path, os.path.getsize(os.path.join(root, path)), "file:" + os.path.abspath(os.path.join(root, path))) for path in discover(root, config)]
+
+        def contents(small: list[tuple[str, str]]) -> DataFrame:
+            listed = spark.createDataFrame(small, "path string, uri string")
+            files = spark.read.format("binaryFile").load([u.removeprefix("file:") for _, u in small]).select(F.col("path").alias("found"), "content")
+            # a row per discovered file: as many as the command's user has below the root
+            return files.join(F.broadcast(listed), F.regexp_replace(F.url_decode("found"), "^file:/+", "/") == F.regexp_replace("uri", "^file:", "")).select("path", "content")
+
+        return cls._of(spark, root, config, found, contents, keep, fields)
+
+    @classmethod
+    def of_files(cls, spark: SparkSession, files: DataFrame, config: ScanConfig, keep=lambda artifact: True, fields: frozenset[str] | None = None) -> Index:
+        """The index of files(path, content): the same scan where files are rows, as in a store that only Spark reads.
+
+        Paths and sizes are listed on the driver, contents are not.  Cards are not read.
+        """
+        found = sorted((r["path"], r["n"], r["path"]) for r in files.select("path", F.length("content").alias("n")).collect() if fits_any(r["path"], config.include) and not fits_any(r["path"], config.exclude))
+        return cls._of(spark, None, config, found, lambda small: files.join(F.broadcast(spark.createDataFrame(small, "path string, uri string")), "path").select("path", "content"), keep, fields)
+
+    @classmethod
+    def _of(cls, spark: SparkSession, root: str | None, config: ScanConfig, found: list[tuple[str, int, str]], contents: Callable[[list[tuple[str, str]]], DataFrame], keep, fields) -> Index:
+        artifacts = {p: a for p, *_ in found if (a := artifact_at(p, config)) is not None and keep(a)}
         diagnostics = [n for a in artifacts.values() for n in a.notes]
         small = []
-        for path, artifact in artifacts.items():
-            full = os.path.join(root, path)
-            if os.path.getsize(full) > config.max_file_mb << 20:
+        for path, size, uri in found:
+            if path in artifacts and size > config.max_file_mb << 20:
                 diagnostics.append({"severity": "warning", "code": "artifact.file_size_limit_exceeded", "message": f"'{path}' is larger than {config.max_file_mb} MB.", "path": path})
-            else:
-                small.append((path, artifact.format, list(artifact.roles), os.path.abspath(full)))
+            elif path in artifacts:
+                small.append((path, uri))
         s = config.similarity
         limits = ReadLimits(config.max_rows, s.focus_roles, s.focus_fields, fields)
+        roles = spark.createDataFrame([(p, a.format, list(a.roles)) for p, a in artifacts.items()], "path string, kind string, roles array<string>")
         if small:
-            listed = spark.createDataFrame([(p, k, r, "file:" + f) for p, k, r, f in small], "path string, kind string, roles array<string>, uri string")
-            files = spark.read.format("binaryFile").load([f for *_, f in small]).select(F.col("path").alias("found"), "content")
-            # a row per discovered file: as many as the command's user has below the root
-            met = files.join(F.broadcast(listed), F.regexp_replace(F.url_decode("found"), "^file:/+", "/") == F.regexp_replace("uri", "^file:", ""))
-            events = read_artifacts(met.select("path", "kind", "roles", "content"), limits)
+            met = contents(small).join(F.broadcast(roles), "path").select("path", "kind", "roles", "content")
+            events = read_artifacts(met, limits)
         else:
             events = spark.createDataFrame([], EVENTS)
         events = events.persist(StorageLevel.MEMORY_AND_DISK)
@@ -62,10 +83,10 @@ class Index:
                 facts[value["path"]] = value
             else:
                 diagnostics.append({k: v for k, v in value.items() if v is not None})
-        roles = spark.createDataFrame([(p, list(a.roles)) for p, a in artifacts.items()], "path string, roles array<string>")
-        rows = events.where("event = 'row'").drop("event", "payload").join(F.broadcast(roles), "path")
-        texts = events.where("event = 'text'").select("path", F.col("payload").alias("text")).join(F.broadcast(roles), "path")
-        return cls(spark, root, config, artifacts, rows, texts, facts, diagnostics)
+        with_roles = lambda rows: rows.join(F.broadcast(roles.drop("kind")), "path")
+        rows = with_roles(events.where("event = 'row'").drop("event", "payload"))
+        texts = with_roles(events.where("event = 'text'").select("path", F.col("payload").alias("text")))
+        return cls(spark, root, config, artifacts, rows, texts, frozenset(p for p, *_ in found), facts, diagnostics)
 
     def paths(self, *roles: str, but_configuration: bool = False) -> list[str]:
         return sorted(p for p, a in self.artifacts.items() if set(roles) & set(a.roles) and not (but_configuration and "configuration" in a.roles))
@@ -177,11 +198,16 @@ class Index:
                 continue
             status, ref = None, d.provenance.values.get("source.ref")
             if d.provenance.values.get("source.type") == "local" and ref:
-                try:
-                    target = resolve_ref(self.root, ref)
-                    status = "present" if target.is_file() else "not_file" if target.exists() else "missing"
-                except OSError:
-                    status = "unreadable"
-            card = read_card(self.root, d.provenance.card, self.config.max_file_mb << 20) if d.provenance.card else None
+                status = self._source_status(ref)
+            card = read_card(self.root, d.provenance.card, self.config.max_file_mb << 20) if d.provenance.card and self.root is not None else None
             out.append({"path": d.path, "contract": d.provenance, "source_status": status, "card": card})
         return out
+
+    def _source_status(self, ref: str) -> str:
+        if self.root is None:
+            return "present" if ref in self.listed else "not_file" if any(p.startswith(ref + "/") for p in self.listed) else "missing"
+        try:
+            target = resolve_ref(self.root, ref)
+            return "present" if target.is_file() else "not_file" if target.exists() else "missing"
+        except OSError:
+            return "unreadable"

@@ -20,6 +20,10 @@ STATUS = {"indexed": "complete", "partial": "partial", "skipped": "unavailable"}
 BASIS = {"jsonl": "accepted_rows", "csv": "accepted_rows", "parquet": "accepted_rows", "json": "parsed_object", "yaml": "parsed_object", "toml": "parsed_object"}
 
 
+def sha256_hex(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def _ratio(a: int, b: int) -> float | None:
     return a / b if b else None
 

@@ -9,6 +9,10 @@ from dataclasses import dataclass, field
 from functools import cache
 from pathlib import PurePosixPath
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .config import ScanConfig
 
 # fixed values: extensions, and the path parts and name parts that tell roles
@@ -96,3 +100,16 @@ def artifact_at(path: str, config: ScanConfig) -> Artifact | None:
     if "training_dataset" in roles and ({"evaluation_dataset", "benchmark_dataset"} & set(roles)):
         notes.append({"severity": "warning", "code": "artifact.role_conflict", "message": f"'{path}' looks like training and evaluation data at once.", "path": path})
     return Artifact(path, kind, roles, notes=notes)
+
+
+def classified(paths: DataFrame, config: ScanConfig) -> DataFrame:
+    """paths(path) -> (path, format, roles, included): for listings that are too long for the driver."""
+
+    @F.pandas_udf("format string, roles string, included boolean")
+    def classify(found: pd.Series) -> pd.DataFrame:
+        kinds = [format_of(p) for p in found]
+        roles = [",".join(roles_of(p, k)) if k else None for p, k in zip(found, kinds, strict=True)]
+        included = [fits_any(p, config.include) and not fits_any(p, config.exclude) for p in found]
+        return pd.DataFrame({"format": pd.Series(kinds, dtype=object), "roles": pd.Series(roles, dtype=object), "included": included})
+
+    return paths.select("path", classify("path").alias("x")).select("path", "x.*")

@@ -8,20 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scan_workloads
 from .functions import aliases
 from .functions.text import plain_text, prefixed_sha
 from .operators import content, contracts, identity, overlap, profile, results
 from .plans.relations import table_rows, text_lines
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(scan_workloads.QUERIES)
+ORACLES: dict[str, str] = dict(scan_workloads.ORACLES)
 
 
-def _query(sql: str | None = None):
+def _query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
         return f
 
     return add
@@ -323,36 +322,36 @@ def _pairs(spark, sf_dir, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     return overlap.candidate_pairs(overlap.similarity_items(docs), threshold)
 
 
-@_query()
+@_query(scan_workloads.NEAR_OVERLAP)
 def train_eval_near_duplicate(spark, sf_dir):
     found = overlap.near_overlap(_pairs(spark, sf_dir), SIMILARITY_THRESHOLD)
     return found.select("evaluation_artifact", "evaluation_row", "training_row", "similarity_score", "overlap_count")
 
 
-@_query()
+@_query(scan_workloads.near_duplicates_sql("eval", 1))
 def duplicate_eval_near_duplicate(spark, sf_dir):
     found = overlap.near_duplicates(_pairs(spark, sf_dir), aliases.EVALUATION, SIMILARITY_THRESHOLD, discriminate=True)
     return found.select(F.array_join("artifact_paths", ",").alias("artifact_paths"), "near_duplicate_pair_count", "affected_row_count", "max_similarity_score")
 
 
-@_query()
+@_query(scan_workloads.near_duplicates_sql("train", 0))
 def duplicate_train_near_duplicate(spark, sf_dir):
     found = overlap.near_duplicates(_pairs(spark, sf_dir), aliases.TRAINING, SIMILARITY_THRESHOLD, discriminate=False)
     return found.select(F.array_join("artifact_paths", ",").alias("artifact_paths"), "near_duplicate_pair_count", "affected_row_count", "max_similarity_score")
 
 
-@_query()
+@_query(scan_workloads.CROSS_ROLE)
 def cross_role_pairs(spark, sf_dir):
     found = overlap.oriented(_pairs(spark, sf_dir), aliases.TRAINING, aliases.EVALUATION)
-    return found.select(F.col("left.row_num").alias("training_row"), F.col("right.row_num").alias("evaluation_row"), "jaccard")
+    return found.select(F.col("left.row_num").alias("training_row"), F.col("right.row_num").alias("evaluation_row"), F.round("jaccard", 9).alias("jaccard"))
 
 
-@_query()
+@_query(scan_workloads.PROBE)
 def similarity_probe(spark, sf_dir):
     """Benchmark items looked up in the index of documents."""
     docs = _read(spark, sf_dir, "documents").select(F.lit("documents").alias("path"), F.col("doc_id").alias("row_num"), _roles("training_dataset").alias("roles"), F.lit("").alias("row_hash"), F.lit(None).cast("string").alias("discriminator"), F.col("text").alias("sim_text"))
     queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
-    return overlap.probe(overlap.similarity_items(docs), queries, 0.3)
+    return overlap.probe(overlap.similarity_items(docs), queries, 0.3).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @_query(f"""WITH d AS ({HASHED}), f AS (
