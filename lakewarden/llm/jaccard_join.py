@@ -47,8 +47,9 @@ from .words import gram_hashes, hashed_words, settled
 MAX_RANKED = 1_000_000
 HOT = 50_000
 SIEVE_BITS = 27
-#: Bytes of text whose shingles make up one hash range: a range's reducer holds their 32-bit or 96-bit codes.
-RANGE_BYTES = 16 << 20
+#: Bytes of text whose shingles make up one hash range, at least and, past MANY_RANGES of them, at most: a range's
+#: reducer holds their codes of 8 or 12 bytes.
+RANGE_BYTES, MOST_RANGE_BYTES, MANY_RANGES = 4 << 20, 64 << 20, 4096
 #: Shingles that a task holds before it sends them on: at least, for each range, and at most.
 FLUSH, FLUSH_A_RANGE, MOST_FLUSH = 1_000_000, 64, 8_000_000
 PREFIX_SCHEMA = "kind int, span int, tokens binary, groups binary, grp long, hot long, df long, cls binary, doc_id long, text_hash long, n long"
@@ -78,7 +79,8 @@ def prefix_size(n: int, percent: int) -> int:
 
 def _ranges(text_bytes: int) -> int:
     """Hash ranges by which packed arrays are reduced, by the size of the texts; a power of two."""
-    return 1 << max(6, (-(-text_bytes // RANGE_BYTES) - 1).bit_length())
+    fine, coarse = -(-text_bytes // RANGE_BYTES), -(-text_bytes // MOST_RANGE_BYTES)
+    return 1 << max(4, (max(min(fine, MANY_RANGES), coarse) - 1).bit_length())
 
 
 def _flush_at(bits: int) -> int:

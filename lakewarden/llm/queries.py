@@ -185,6 +185,23 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n))
+), b AS (
+  SELECT doc_id, source, len(x) // 2 AS n, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS x FROM documents)
+), d AS (
+  SELECT doc_id, coalesce('s' || source::VARCHAR, '~') AS stratum, (n + 1)::BIGINT AS size, ('0x' || substr(md5('10:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM b, tab
+), r AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY stratum)) AS fraction FROM d
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, stratum, h, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS n FROM r
+), s AS (SELECT *, place * 16 // n AS k FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, k::INTEGER AS shard, (place - (k * n + 15) // 16)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
 QUERIES = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_importance_resampling": op2_importance_resampling,
@@ -198,4 +215,4 @@ QUERIES = {
     "op10_shard_interleaved": op10_shard_interleaved,
 }
 
-ORACLES = {"op1_winnowing_decontamination": OP1_SQL, "op3_warc_segments": OP3_SQL, "op4_lattice_near_dup": OP4_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_grouped_prefix_join": OP9_SQL}
+ORACLES = {"op1_winnowing_decontamination": OP1_SQL, "op3_warc_segments": OP3_SQL, "op4_lattice_near_dup": OP4_SQL, "op6_url_cascade": OP6_SQL, "op8_mix_sources": OP8_SQL, "op9_grouped_prefix_join": OP9_SQL, "op10_shard_interleaved": OP10_SQL}
