@@ -215,16 +215,16 @@ def _split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records of a training file and an evaluation file for each remainder by eight of their ids."""
     docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL")
     side = F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval")
-    line = F.concat(F.lit('{"prompt": '), json_string(F.col("text")), F.lit(', "label": '), json_string(F.col("source")), F.when(F.col("doc_id") % 5 == 0, F.lit("}")).otherwise(F.concat(F.lit(', "id": '), F.col("doc_id").cast("string"), F.lit("}"))))
+    line = F.concat(F.lit('{"prompt": '), json_string(F.col("text")), F.lit(', "label": '), json_string(F.col("source")), F.when(F.col("doc_id") % 5 != 0, F.lit("}")).otherwise(F.concat(F.lit(', "id": '), F.col("doc_id").cast("string"), F.lit("}"))))
     return _joined_lines(docs, F.concat(side, F.lit("_"), (F.col("doc_id") % 8).cast("string"), F.lit(".jsonl")), F.col("doc_id"), line)
 
 
 TRIMMED = r"regexp_replace(text, '^[\s\x1c-\x1f\x0b\x85\p{Z}]+|[\s\x1c-\x1f\x0b\x85\p{Z}]+$', '', 'g')"
 SPLIT_ROWS = f"""WITH d AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'train_' ELSE 'eval_' END) || (doc_id % 8) || '.jsonl' AS path, text,
- sha256(to_json({TRIMMED})::VARCHAR || to_json(source)::VARCHAR || CASE WHEN doc_id % 5 = 0 THEN '' ELSE doc_id::VARCHAR END) AS h FROM documents WHERE text IS NOT NULL)"""
+ sha256(to_json({TRIMMED})::VARCHAR || to_json(source)::VARCHAR || CASE WHEN doc_id % 5 <> 0 THEN '' ELSE doc_id::VARCHAR END) AS h FROM documents WHERE text IS NOT NULL)"""
 
 
-@_query(SPLIT_ROWS + """, m AS (SELECT path, count(*)::BIGINT AS n, count(DISTINCT h)::BIGINT AS u, count(*) FILTER (doc_id % 5 <> 0)::BIGINT AS i, min(length(text))::BIGINT AS lo, max(length(text))::BIGINT AS hi, quantile_disc(length(text), 0.5)::BIGINT AS p50, quantile_disc(length(text), 0.95)::BIGINT AS p95 FROM d GROUP BY path)
+@_query(SPLIT_ROWS + """, m AS (SELECT path, count(*)::BIGINT AS n, count(DISTINCT h)::BIGINT AS u, count(*) FILTER (doc_id % 5 = 0)::BIGINT AS i, min(length(text))::BIGINT AS lo, max(length(text))::BIGINT AS hi, quantile_disc(length(text), 0.5)::BIGINT AS p50, quantile_disc(length(text), 0.95)::BIGINT AS p95 FROM d GROUP BY path)
 SELECT path AS artifact_path, 'dataset.row_count' AS measurement_id, n::DOUBLE AS value, n AS population FROM m
 UNION ALL SELECT path, 'dataset.rejected_record_rate', 0.0, n FROM m UNION ALL SELECT path, 'dataset.exact_duplicate_rate', round((n - u) / n, 9), n FROM m UNION ALL SELECT path, 'dataset.sample_id_coverage', round(i / n, 9), n FROM m
 UNION ALL SELECT path, 'dataset.input_character_lengths.' || k, v::DOUBLE, n FROM (SELECT path, n, unnest(['min', 'max', 'p50', 'p95']) AS k, unnest([lo, hi, p50, p95]) AS v FROM m)""")
@@ -242,7 +242,7 @@ def profile_measurements(spark, sf_dir):
 @_query(SPLIT_ROWS + """, x AS (
  SELECT 'contamination.duplicate_train_sample' AS rule_id, 'medium' AS severity, count(*)::BIGINT AS findings FROM (SELECT path, h FROM d WHERE doc_id % 2 = 0 GROUP BY path, h HAVING count(*) > 1)
  UNION ALL SELECT 'contamination.duplicate_eval_sample', 'high', count(*)::BIGINT FROM (SELECT path, h FROM d WHERE doc_id % 2 = 1 GROUP BY path, h HAVING count(*) > 1)
- UNION ALL SELECT 'dataset.partial_sample_id_coverage', 'medium', count(*)::BIGINT FROM (SELECT path FROM d WHERE doc_id % 2 = 1 GROUP BY path HAVING count(*) FILTER (doc_id % 5 = 0) BETWEEN 1 AND count(*) - 1)
+ UNION ALL SELECT 'dataset.partial_sample_id_coverage', 'medium', count(*)::BIGINT FROM (SELECT path FROM d WHERE doc_id % 2 = 1 GROUP BY path HAVING count(*) FILTER (doc_id % 5 <> 0) BETWEEN 1 AND count(*) - 1)
  UNION ALL SELECT 'contamination.train_eval_overlap', 'critical', count(*)::BIGINT FROM d t JOIN d e ON t.h = e.h AND t.doc_id % 2 = 0 AND e.doc_id % 2 = 1) SELECT * FROM x WHERE findings > 0""")
 def scan_findings(spark, sf_dir):
     """Findings of a scan with four rules, counted by rule."""
