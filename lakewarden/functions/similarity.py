@@ -8,7 +8,7 @@ import re
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,18 +116,43 @@ def code_signature(text: str, codes: np.ndarray, k: int, size: int) -> list[int]
 def sketch_udf(k: int, size: int):
     """Text -> (codes, sig) of its normal form, in one pass."""
 
-    @F.pandas_udf("codes array<long>, sig array<long>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<codes: array<bigint>, sig: array<bigint>>")
+    def sketch(texts: pa.Array) -> pa.Array:
         codes, sigs = [], []
         for text in texts:
-            norm = normal_form(text or "")
+            norm = normal_form(text.as_py() or "")
             codes.append(shingle_codes(norm, k))
             sigs.append(code_signature(norm, codes[-1], k, size))
-        return pd.DataFrame({"codes": codes, "sig": sigs})
+        ends = np.cumsum([0, *map(len, codes)], dtype=np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*codes, np.zeros(0, np.int64)])))
+        signed = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * size), pa.array(np.array(sigs, np.int64).ravel()))
+        return pa.StructArray.from_arrays([listed, signed], ["codes", "sig"])
 
     return sketch
 
 
+def scores(threshold: float):
+    """(pairs(src, tgt, ..), members(id, codes)) -> the pairs at the threshold with their Jaccard similarity; codes are sorted and distinct."""
+
+    def score(pairs: pa.Table, members: pa.Table) -> pa.Table:
+        ids, column = members.column("id").to_pylist(), members.column("codes").combine_chunks()
+        codes = {i: column[k].values.to_numpy() for k, i in enumerate(ids)}
+        found = []
+        for src, tgt in zip(pairs.column("src").to_pylist(), pairs.column("tgt").to_pylist(), strict=True):
+            few, many = sorted((codes[src], codes[tgt]), key=len)
+            if not len(few):
+                value = 1.0 if not len(many) else 0.0
+            else:
+                at = np.searchsorted(many, few)
+                both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
+                value = both / (len(few) + len(many) - both)
+            if value >= threshold:
+                found.append((src, tgt, value))
+        return pa.table({"src": pa.array([x[0] for x in found], pa.string()), "tgt": pa.array([x[1] for x in found], pa.string()), "jaccard": pa.array([x[2] for x in found], pa.float64())})
+
+    return score
+
+
 def jaccard_column(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct codes; two empty ones are equal."""
     both = F.size(F.array_intersect(a, b))

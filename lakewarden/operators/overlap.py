@@ -49,17 +49,25 @@ def candidate_pairs(items: DataFrame, threshold: float, hashes: int = 64, bands:
 
     Buckets are counted before members meet, so a bucket beyond the limit is
     never gathered; within it a self-join makes fewer than 5,000 pairs.  Sets
-    whose sizes differ by more than the threshold allows are not compared.
+    whose sizes differ by more than the threshold allows are not compared.  Pairs
+    are counted out under the least member of a bucket that they share: a family's
+    codes are sent there once, not with every pair.
     """
     items = items.persist(StorageLevel.MEMORY_AND_DISK)  # signatures are taken once
     rows = banded(items, hashes, bands)
-    small = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, BUCKET_LIMIT)).select("band", "key")
+    small = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where(F.col("n").between(2, BUCKET_LIMIT)).select("band", "key", "leader")
     members = rows.join(small, ["band", "key"])
     close = (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
-    pairs = members.alias("a").join(members.alias("b"), ["band", "key"]).where((F.col("a.id") < F.col("b.id")) & close).select(F.col("a.id").alias("src"), F.col("b.id").alias("tgt")).distinct()
-    facts = items.select("id", "codes", F.struct("path", "row_num", "roles", "row_hash", "discriminator").alias("meta"))
-    both = pairs.join(facts.select(F.col("id").alias("src"), F.col("codes").alias("src_codes"), F.col("meta").alias("source")), "src").join(facts.select(F.col("id").alias("tgt"), F.col("codes").alias("tgt_codes"), F.col("meta").alias("target")), "tgt")
-    return both.withColumn("jaccard", similarity.jaccard_column(F.col("src_codes"), F.col("tgt_codes"))).where(F.col("jaccard") >= threshold).select("src", "tgt", "source", "target", "jaccard")
+    pairs = members.alias("a").join(members.alias("b"), ["band", "key"]).where((F.col("a.id") < F.col("b.id")) & close).groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("tgt")).agg(F.min("a.leader").alias("leader"))
+    needed = pairs.select(F.col("leader").alias("owner"), F.explode(F.array("src", "tgt")).alias("id")).distinct()
+    scored = pairs.groupBy("leader").cogroup(needed.join(items.select("id", "codes"), "id").groupBy("owner")).applyInArrow(similarity.scores(threshold), "src string, tgt string, jaccard double")
+    facts = items.select("id", F.struct("path", "row_num", "roles", "row_hash", "discriminator").alias("meta"))
+    return scored.join(facts.select(F.col("id").alias("src"), F.col("meta").alias("source")), "src").join(facts.select(F.col("id").alias("tgt"), F.col("meta").alias("target")), "tgt").select("src", "tgt", "source", "target", "jaccard")
+
+
+def ranked_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs in the order of a listing: the most similar first, then by ids."""
+    return pairs.orderBy(F.desc("jaccard"), "src", "tgt")
 
 
 def probe(items: DataFrame, queries: DataFrame, threshold: float, hashes: int = 64, bands: int = 16, shingle_size: int = 3) -> DataFrame:
