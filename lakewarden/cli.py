@@ -1,4 +1,5 @@
-"""Commands: scan, profile, rules.
+"""Commands: scan, profile, rules.  A path is a local folder, or a URI of a folder in any
+store that Spark reads; its report then goes to --output or the working folder.
 
 Exit codes: 0 done, 1 findings at the failing level, 2 usage, 3 configuration,
 4 input, 5 output, 6 internal error.
@@ -13,11 +14,14 @@ import sys
 import textwrap
 from datetime import UTC, datetime
 
+import yaml
+from pyspark.sql import functions as F
+
 from .functions import aliases
 from .plans import measure, report
 from .plans.index import Index
 from .plans.rules import RULES, SEVERITY_RANKS, execute, selected
-from .sources.config import SEVERITIES, ConfigError, load_config
+from .sources.config import SEVERITIES, ConfigError, ScanConfig, load_config, parse_config
 
 
 def session():
@@ -59,6 +63,22 @@ def _write(path: str, body: dict) -> bool:
         return False
 
 
+def _stored_config(stored) -> ScanConfig:
+    """lakewarden.yaml or lakewarden.yml at the top of a store's folder, else the defaults."""
+    held = {r["path"]: bytes(r["content"]) for r in stored.where(F.col("path").isin("lakewarden.yaml", "lakewarden.yml")).select("path", "content").collect()}
+    if not held:
+        return ScanConfig()
+    path = min(held)
+    try:
+        return parse_config(yaml.safe_load(held[path].decode("utf-8")), path)
+    except (yaml.YAMLError, UnicodeDecodeError) as e:
+        raise ConfigError(f"The configuration cannot be read: {e.__class__.__name__}.") from e
+
+
+def _index(spark, root: str, stored, config: ScanConfig, **options) -> Index:
+    return Index.build(spark, root, config, **options) if stored is None else Index.of_files(spark, stored, config, **options)
+
+
 def run(argv: list[str] | None = None, spark=None) -> int:
     parser = argparse.ArgumentParser(prog="lakewarden")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -79,15 +99,23 @@ def run(argv: list[str] | None = None, spark=None) -> int:
     if args.command == "rules":
         print(rules_listing())
         return 0
-    if not os.path.isdir(args.path):
+    stored = None
+    if "://" in args.path:
+        try:
+            spark = spark or session()
+            stored = Index.stored_files(spark, args.path)
+        except Exception as e:  # noqa: BLE001  whatever the store says
+            print(f"'{args.path}' cannot be read: {type(e).__name__}.", file=sys.stderr)
+            return 4
+    elif not os.path.isdir(args.path):
         print(f"'{args.path}' is no folder.", file=sys.stderr)
         return 4
     try:
-        config = load_config(args.path, args.config)
+        config = load_config(args.path, args.config) if stored is None or args.config else _stored_config(stored)
     except ConfigError as e:
         print(str(e), file=sys.stderr)
         return 3
-    output = args.output or os.path.join(args.path, f"lakewarden_{'report' if args.command == 'scan' else 'profile'}.json")
+    output = args.output or os.path.join(args.path if stored is None else ".", f"lakewarden_{'report' if args.command == 'scan' else 'profile'}.json")
     started = _now()
     try:
         if args.command == "scan":
@@ -97,12 +125,12 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             except ValueError as e:
                 print(str(e), file=sys.stderr)
                 return 2
-            index = Index.build(spark or session(), args.path, config)
+            index = _index(spark or session(), args.path, stored, config)
             found = execute(index, rules)
             body = report.scan_report(index, found, rules, "selected" if wanted else "all", started, _now())
             text = report.scan_summary(body, output)
         else:
-            index = Index.build(spark or session(), args.path, config, keep=lambda a: bool(set(a.roles) & set(aliases.DATASETS)) and "configuration" not in a.roles, fields=measure.asked_fields(config))
+            index = _index(spark or session(), args.path, stored, config, keep=lambda a: bool(set(a.roles) & set(aliases.DATASETS)) and "configuration" not in a.roles, fields=measure.asked_fields(config))
             body, found = report.profile_report(index, measure.measurements(index), started, _now()), []
             text = report.profile_summary(body, output)
     except Exception as e:  # noqa: BLE001  the exit code tells callers

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -50,13 +51,23 @@ class Index:
 
     @classmethod
     def of_files(cls, spark: SparkSession, files: DataFrame, config: ScanConfig, keep=lambda artifact: True, fields: frozenset[str] | None = None) -> Index:
-        """The index of files(path, content): the same scan where files are rows, as in a store that only Spark reads.
+        """The index of files(path, content) or files(path, length, content): the same scan where files are rows.
 
         Paths and sizes are listed on the driver, contents are not.  Cards are not read.
         """
-        found = sorted((r["path"], r["n"], r["path"]) for r in files.select("path", F.length("content").alias("n")).collect() if fits_any(r["path"], config.include) and not fits_any(r["path"], config.exclude))
+        size = F.col("length") if "length" in files.columns else F.length("content")
+        found = sorted((r["path"], r["n"], r["path"]) for r in files.select("path", size.alias("n")).collect() if fits_any(r["path"], config.include) and not fits_any(r["path"], config.exclude))
         return cls._of(spark, None, config, found, lambda small: files.join(F.broadcast(spark.createDataFrame(small, "path string, uri string")), "path").select("path", "content"), keep, fields)
 
+    @staticmethod
+    def stored_files(spark: SparkSession, uri: str) -> DataFrame:
+        """(path, length, content) of a folder in any store that Spark reads; files whose names begin with a dot or an underscore are not seen."""
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
+        # Spark shows paths in full and may leave out an empty authority (file:/x for file:///x)
+        inner = F.regexp_replace(F.url_decode("path"), "^[a-z0-9]+:/*", "")
+        root = re.sub("^[a-z0-9]+:/*", "", uri.rstrip("/")) + "/"
+        return files.select(F.substring(inner, len(root) + 1, 1 << 30).alias("path"), "length", "content")
+
     @classmethod
     def _of(cls, spark: SparkSession, root: str | None, config: ScanConfig, found: list[tuple[str, int, str]], contents: Callable[[list[tuple[str, str]]], DataFrame], keep, fields) -> Index:
         artifacts = {p: a for p, *_ in found if (a := artifact_at(p, config)) is not None and keep(a)}

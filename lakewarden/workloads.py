@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from . import scan_workloads
 from .functions import aliases
-from .functions.text import plain_text, prefixed_sha
+from .functions.text import json_string, plain_text, prefixed_sha
 from .operators import content, contracts, identity, overlap, profile, results
 from .plans.relations import table_rows, text_lines
+from .sources.formats import ReadLimits, read_artifacts
 
 QUERIES: dict = dict(scan_workloads.QUERIES)
 ORACLES: dict[str, str] = dict(scan_workloads.ORACLES)
@@ -308,10 +309,24 @@ def categorical_distribution_top5(spark, sf_dir):
 
 @_query("""SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS focus_hash, count(*)::BIGINT AS turns FROM conversations WHERE role = 'user' GROUP BY conv_id""")
 def message_focus_text(spark, sf_dir):
-    """Similarity text of conversations: the user's turns in order, one line each."""
-    turns = _read(spark, sf_dir, "conversations").where("role = 'user'")
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("turns"))
-    return grouped.select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), 256).alias("focus_hash"), "turns")
+    """Similarity text of conversations, each a record with its messages: the user's turns in order, one line each."""
+    turns = _read(spark, sf_dir, "conversations")
+    message = F.concat(F.lit('{"role": '), json_string(F.col("role")), F.lit(', "content": '), json_string(F.col("text")), F.lit("}"))
+    grouped = turns.select("conv_id", F.struct("turn", message.alias("m")).alias("x"), (F.col("role") == "user").alias("user")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("all"), F.count_if("user").alias("turns")).where("turns > 0")
+    record = F.concat(F.lit('{"id": '), F.col("conv_id").cast("string"), F.lit(', "messages": ['), F.array_join(F.transform("all", lambda x: x["m"]), ", "), F.lit("]}\n"))
+    files = grouped.select(F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.lit("jsonl").alias("kind"), _roles("evaluation_dataset").alias("roles"), record.cast("binary").alias("content"))
+    found = read_artifacts(files, ReadLimits(250_000, ("user",), ("prompt",))).where("event = 'row'").select(F.col("texts")["id"].cast("long").alias("conv_id"), F.sha2("sim_text", 256).alias("focus_hash"))
+    return found.join(grouped.select("conv_id", "turns"), "conv_id")
+
+
+@_query("""SELECT doc_id AS "row", sha256('{"answer":' || to_json(source)::VARCHAR || ',"context":["' || lang || '"]}') AS discriminator FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+def record_discriminators(spark, sf_dir):
+    """Documents as cases with a context and an answer, by which near copies are told apart."""
+    docs = _read(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    record = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "Context": [" '), F.col("lang"), F.lit('\\n"], "label": null, "answer": '), json_string(F.concat("source", F.lit(" "))), F.lit(', "sources": []}\n'))
+    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".jsonl")).alias("path"), F.lit("jsonl").alias("kind"), _roles("evaluation_dataset").alias("roles"), record.cast("binary").alias("content"))
+    found = read_artifacts(files, ReadLimits(250_000, ("user",), ("prompt",))).where("event = 'row'")
+    return found.select(F.col("texts")["id"].cast("long").alias("row"), "discriminator")
 
 
 SIMILARITY_THRESHOLD = 0.85
