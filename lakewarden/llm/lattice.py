@@ -10,8 +10,10 @@ time), so a pair on both sides of a wall still meets.
 Vectors that share a cell meet under the cell's least member and are verified
 against each other by exact cosine in double precision, in blocks of bounded
 size; a block returns a spanning forest, whose components are the link
-components.  Links are then counted inside components, again block by block:
-each pair of a component is looked at once, and no list of pairs is made.
+components.  Links are then counted inside components, again block by block and
+without a list of pairs.  Blocks of a large component whose members must all link, or
+cannot link, by the distances of their centres and their radii are not compared
+vector by vector, so a tight family takes time in proportion to its size.
 
 Vectors equal in label and components are one class with a multiplicity, so
 copies are never compared with each other.
@@ -179,8 +181,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
             n[strip] = links @ copies
         return pa.table({"node": table.column("node"), "n": pa.array(n.astype(np.int64))})
 
-    inside = in_blocks(with_chunks(roots.select(F.col("component"), "node"), "component", COUNT_BLOCKS * block), "component", "node").join(carried, "node")
-    counted = inside.groupBy("component", "i", "j").applyInArrow(count, f"node {node_type}, n long").groupBy("node").agg(F.sum("n").alias("others"))
+    placed = with_chunks(roots.select(F.col("component"), "node"), "component", COUNT_BLOCKS * block).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    placed = written(placed, "lattice-chunks")
+    open_, sure = _bounded_pairs(placed, carried, threshold)
+    inside = placed.drop("chunks").join(open_, ["component", "chunk"]).join(carried, "node")
+    compared = inside.groupBy("component", "i", "j").applyInArrow(count, f"node {node_type}, n long")
+    known = placed.join(sure, ["component", "chunk"]).join(carried.select("node", "copies"), "node").select("node", (F.col("n") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("n"))
+    counted = compared.unionByName(known).groupBy("node").agg(F.sum("n").alias("others"))
     facts = classes.select(*keys, "node", "copies").join(counted, "node", "left").join(roots, "node", "left")
     facts = facts.select(*[F.col(k).alias(f"f_{k}") for k in keys], (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     matched = rows.join(facts, rows.fit & (F.col("label") == F.col("f_label")) & (F.col("k1") == F.col("f_k1")) & (F.col("k2") == F.col("f_k2")), "left")
@@ -188,6 +195,41 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.98, id_col:
     return matched.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def _bounded_pairs(placed: DataFrame, carried: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """placed(component, node, chunks, chunk) -> which pairs of chunks are to be compared vector by vector,
+    open(component, chunk, i, j, side), and what the others add for certain, sure(component, chunk, n, own).
+
+    A chunk of a large component is summed up as a centre, the greatest distance from
+    it, and its copies.  Unit vectors link within sqrt(2 - 2 threshold): two chunks whose
+    members all lie nearer than that link throughout, two that all lie farther not at all.
+    """
+    reach, slack = float(np.sqrt(2 - 2 * threshold)), 1e-9
+
+    def summarise(table: pa.Table) -> pa.Table:
+        unit = _unit(_vectors(table.column("vector").combine_chunks()))
+        centre = unit.mean(0)
+        radius = float(np.sqrt(((unit - centre) ** 2).sum(1).max()))
+        return pa.table({"component": table.column("component").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]), "copies": pa.array([sum(table.column("copies").to_pylist())], pa.int64())})
+
+    kind = placed.schema["component"].dataType.simpleString()
+    large = placed.where("chunks > 1").select("component", "chunk", "node").join(carried, "node")
+    parts = written(large.groupBy("component", "chunk").applyInArrow(summarise, f"component {kind}, chunk int, centre array<double>, radius double, copies long"), "lattice-centres")
+    a, b = parts.alias("a"), parts.alias("b")
+    apart = F.sqrt(F.aggregate(F.zip_with("a.centre", "b.centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    spread = F.col("a.radius") + F.col("b.radius")
+    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.chunk") <= F.col("b.chunk"))).select(
+        F.col("a.component").alias("component"), F.col("a.chunk").alias("i"), F.col("b.chunk").alias("j"), F.col("a.copies").alias("n_i"), F.col("b.copies").alias("n_j"),
+        F.when(apart + spread < reach - slack, "all").when(apart - spread > reach + slack, "none").otherwise("some").alias("links"),
+    )
+    pairs = written(pairs, "lattice-chunk-pairs")
+    some = pairs.where("links = 'some'").select("component", "i", "j").unionByName(placed.where("chunks = 1").select("component", F.lit(0).alias("i"), F.lit(0).alias("j")).distinct())
+    first = some.select("component", F.col("i").alias("chunk"), "i", "j", F.lit(0).alias("side"))
+    open_ = first.unionByName(some.where("i < j").select("component", F.col("j").alias("chunk"), "i", "j", F.lit(1).alias("side")))
+    whole = pairs.where("links = 'all'")
+    gains = whole.select("component", F.col("i").alias("chunk"), F.col("n_j").alias("n"), (F.col("i") == F.col("j")).alias("own")).unionByName(whole.where("i < j").select("component", F.col("j").alias("chunk"), F.col("n_i").alias("n"), F.lit(False).alias("own")))
+    return open_, gains.groupBy("component", "chunk").agg(F.sum("n").alias("n"), F.bool_or("own").alias("own"))
+
+
 def _links(found: list[np.ndarray], labels: list, side: np.ndarray, threshold: float) -> np.ndarray:
     """Which vectors of a block link: equal label and length, cosine at the threshold, and across sides if there are two."""
     lengths = np.array([len(v) for v in found])

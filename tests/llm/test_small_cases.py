@@ -259,6 +259,47 @@ def test_lattice_against_brute_force(spark):
     assert lattice.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dimension", "noise"), [(64, 0.004), (64, 0.03), (32, 0.012)])
+def test_lattice_recall_and_counts_of_families(spark, dimension, noise):
+    """3,000 vectors in families of up to 1,200, tight and loose ones, and a chain: every link and component as by brute force."""
+    rng = np.random.default_rng(int(noise * 1000))
+    centres = rng.normal(size=(30, dimension))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    sizes = [1200, 700] + [15] * 20 + [100] * 8
+    vectors = [centres[f] + rng.normal(size=dimension) * noise * (1 + f % 3) for f, size in enumerate(sizes) for _ in range(size)]
+    step = rng.normal(size=(2, dimension))
+    vectors += [np.cos(a) * step[0] + np.sin(a) * step[1] for a in np.linspace(0, 3, 60)]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_duplicate_vectors(df, block=64).collect()}
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.98
+    np.fill_diagonal(links, False)
+    assert {i: n for i, (n, _) in got.items()} == dict(enumerate(links.sum(1).tolist()))
+    least = list(range(len(rows)))
+    for i in range(len(rows)):  # ids ascend: a flood from each least id
+        if least[i] == i:
+            edge = [i]
+            while edge:
+                near = [j for j in np.flatnonzero(links[edge.pop()]).tolist() if least[j] == j and j > i]
+                for j in near:
+                    least[j] = i
+                edge += near
+    assert {i: c for i, (_, c) in got.items()} == dict(enumerate(least))
+
+
+def test_very_long_vectors_and_texts(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=30_000)
+    df = spark.createDataFrame([(i, (base + rng.normal(size=30_000) * 0.05 * (i < 3)).tolist() if i < 4 else rng.normal(size=30_000).tolist(), 1) for i in range(6)], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_duplicate_vectors(df).collect()} == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
+    docs = docs_of(spark, [(i, "word " * (400_000 if i == 3 else i), f"s{i % 2}") for i in range(8)])
+    mixed = {r["doc_id"]: (r["size"], r["taken"]) for r in mixing.mix_sources(docs).collect()}
+    assert mixed[3][0] == 400_000 and all(t <= 3 * n for n, t in mixed.values())
+    shards = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard_documents(docs, 3).collect()}
+    assert shards[3] == (2_000_001, zlib.crc32(b"word " * 400_000)) and len(shards) == 8
+
+
 def test_html_cases(spark):
     article = "<article><h1>T &amp; t</h1><p>First  long paragraph, with words.<p>Of.</p><aside>Related reading here</aside><ul><li>item one is fine.</li></ul></article>"
     page = f'<html><head><title>x</title><style>p{{}}</style></head><body class="has-sidebar"><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies.</div><script>var t="</p>";</script>{article}<section class="comments"><p>A reader wrote a long comment here, as readers do.</p></section><form><label>Mail</label></form><footer>&copy; 2024</footer></body></html>'
