@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_chunks(members: DataFrame, group: str, block: int) -> DataFrame:
-    """members(group, node) -> the same with the number of chunks that keeps a chunk near `block` nodes."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+def with_chunks(members: DataFrame, group: str, block: int, weight: str | None = None, most: int = 0) -> DataFrame:
+    """members(group, node) -> the same with the number of chunks that keeps a chunk near `block` nodes, and near `most` of a weight."""
+    chunks = F.ceil(F.count("*") / block)
+    if weight is not None:
+        chunks = F.greatest(chunks, F.ceil(F.sum(weight) / most))
+    sizes = members.groupBy(group).agg(chunks.cast("int").alias("chunks"))
     return members.join(sizes, group)
 
 

@@ -53,7 +53,8 @@ RANGE_BYTES, MOST_RANGE_BYTES, MANY_RANGES = 4 << 20, 64 << 20, 4096
 #: Shingles that a task holds before it sends them on: at least, for each range, and at most.
 FLUSH, FLUSH_A_RANGE, MOST_FLUSH = 1_000_000, 64, 8_000_000
 PREFIX_SCHEMA = "kind int, span int, tokens binary, groups binary, grp long, hot long, df long, cls binary, doc_id long, text_hash long, n long"
-BLOCK = 512
+#: Classes of a chunk, and shingles of its sets: a block of two chunks holds 32 MB of them at most, one very long text aside.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Documents whose ids are broadcast to pick the texts that need verifying, about 100 bytes each; beyond it they are joined.
 MAX_BROADCAST_IDS = 200_000
 
@@ -228,7 +229,7 @@ def _pack_prefixes(batches: Iterator[pa.RecordBatch], n: int, bits: int, percent
         for (key, shingles), (chosen, df) in zip(waiting, order.prefixes(sets, percent) if sets else [], strict=True):
             # the group: an identical prefix and size
             group = xxhash.xxh3_64_intdigest(np.sort(chosen).tobytes() + len(shingles).to_bytes(8, "little"))
-            members.append((group, key))
+            members.append((group, key, len(shingles)))
             busy = df > hot
             hots += [(int(t), group, int(d)) for t, d in zip(chosen[busy].view(np.int64), df[busy], strict=True)]
             tokens.append(chosen[~busy])
@@ -253,7 +254,7 @@ def _pack_prefixes(batches: Iterator[pa.RecordBatch], n: int, bits: int, percent
                 pa.array([None] * (m + h) + [x[1] for x in members] + [x[2] for x in facts], pa.binary()),
                 pa.array([None] * (m + h + g) + [x[0] for x in facts], pa.int64()),
                 pa.array([None] * (m + h + g) + [x[1] for x in facts], pa.int64()),
-                pa.array([None] * (m + h + g) + [x[3] for x in facts], pa.int64()),
+                pa.array([None] * (m + h) + [x[2] for x in members] + [x[3] for x in facts], pa.int64()),
             ],
             [c.split()[0] for c in PREFIX_SCHEMA.split(", ")],
         )
@@ -307,22 +308,22 @@ def forest(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tupl
     m = len(sets)
     n = np.array([len(s) for s in sets])
     joined = np.concatenate(sets)
-    own = np.repeat(np.arange(m), n)
-    _, code = np.unique(joined, return_inverse=True)
+    own = np.repeat(np.arange(m, dtype=np.int32), n)
     dense = np.zeros((m, m), np.int32)
-    order = np.argsort(code, kind="stable")
-    code, own = code[order], own[order]
-    held = np.bincount(code)
-    common = held[code] >= 2
-    code, own = code[common], own[common]
+    order = np.argsort(joined, kind="stable")
+    joined, own = joined[order], own[order]
+    same = joined[1:] == joined[:-1]
+    common = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(joined) else np.zeros(0, bool)
+    starts = np.concatenate(([True], ~same))[common] if len(joined) else common
+    code, own = np.cumsum(starts, dtype=np.int32) - 1, own[common]
+    del order, joined, same, common
     if len(code):
-        _, code = np.unique(code, return_inverse=True)
-        kinds = int(code.max()) + 1
+        kinds = int(code[-1]) + 1
         step = min(kinds, max(1, (1 << 24) // m))
-        for at in range(0, kinds, step):
-            part = (code >= at) & (code < at + step)
+        cuts = np.searchsorted(code, np.arange(0, kinds + step, step))
+        for at, lo, hi in zip(range(0, kinds, step), cuts[:-1], cuts[1:], strict=False):
             incidence = np.zeros((m, step), np.float32)
-            incidence[own[part], code[part] - at] = 1
+            incidence[own[lo:hi], code[lo:hi] - at] = 1
             dense += (incidence @ incidence.T).astype(np.int32)
     union = n[:, None] + n[None, :] - dense
     links = (100 * dense.astype(np.int64) >= percent * union) & (dense > 0)
@@ -350,16 +351,17 @@ def headed_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     prefixes = written(texts.mapInArrow(settled(lambda batches: _pack_prefixes(batches, n, bits, percent, order.value, hot)), PREFIX_SCHEMA), "shingle-prefixes")
     facts = prefixes.where("kind = 3").select("doc_id", "text_hash", "cls", "n")
     led = prefixes.where("kind = 0").select("span", "tokens", "groups").groupBy("span").applyInArrow(_lead, "leader long, grp long").distinct()
-    classes_of = prefixes.where("kind = 2").select("grp", "cls").distinct()
+    classes_of = prefixes.where("kind = 2").select("grp", "cls", "n").distinct()
     # a group of several classes is a candidate even if no other group shares its shingles
-    own = classes_of.join(classes_of.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1"), "grp").select(F.col("grp").alias("leader"), "cls")
-    under = led.join(classes_of, "grp").select("leader", "cls").unionByName(own).distinct()
+    own = classes_of.join(classes_of.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1"), "grp").select(F.col("grp").alias("leader"), "cls", "n")
+    under = led.join(classes_of, "grp").select("leader", "cls", "n").unionByName(own).distinct()
     under = written(under, "shingle-candidates")
 
     # blocks: a leader's classes in chunks, every chunk with itself and with each other one
-    chunked = with_chunks(under, "leader", block)
-    busy = prefixes.where("kind = 1").select("grp", "hot", F.col("df").alias("m")).distinct().join(classes_of, "grp").select(F.xxhash64(F.lit("hot"), F.col("hot")).alias("leader"), "cls", F.ceil(F.col("m") / block).cast("int").alias("chunks")).distinct() if order.value.df.max(initial=0) > hot else None
+    chunked = with_chunks(under, "leader", block, "n", BLOCK_SHINGLES)
+    busy = prefixes.where("kind = 1").select("grp", "hot").distinct().join(classes_of, "grp").select(F.xxhash64(F.lit("hot"), F.col("hot")).alias("leader"), "cls", "n").distinct() if order.value.df.max(initial=0) > hot else None
     if busy is not None:
+        busy = with_chunks(busy, "leader", block, "n", BLOCK_SHINGLES).select("leader", "cls", "chunks")
         chunked = chunked.select("leader", "cls", "chunks").unionByName(busy)
     members = in_blocks(chunked, "leader", "cls")
 
@@ -372,22 +374,35 @@ def headed_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        keys: list[bytes] = []
+        held: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(held, pa.binary())], ["cls", "shingles"])
+
         for batch in batches:
-            found = {set_key(s): s for s in (shingle_set(t.as_py(), n) for t in batch.column(0))}
-            new = {key: s.tobytes() for key, s in found.items() if key not in seen}
-            seen.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["cls", "shingles"])
+            for text in batch.column(0):
+                shingles = shingle_set(text.as_py(), n)
+                if (key := set_key(shingles)) in seen:
+                    continue
+                seen.add(key)
+                keys.append(key)
+                held.append(shingles.tobytes())
+                size += len(shingles)
+                if size > FLUSH:
+                    yield flush()
+                    keys, held, size = [], [], 0
+        yield flush()
 
     # rows that repeat an id and text give a class once in each task; the verifier drops repeats within a block
     sets = chosen.select("text").mapInArrow(settled(to_sets), "cls binary, shingles binary")
 
     def verify(table: pa.Table) -> pa.Table:
         once = list({key: at for at, key in enumerate(table.column("cls").to_pylist())}.values())
-        if len(once) < table.num_rows:
-            table = table.take(pa.array(once))
-        keys = table.column("cls").to_pylist()
-        side = np.array(table.column("side").to_pylist())
-        arrays = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
+        keys = [table.column("cls")[at].as_py() for at in once]
+        side = np.array(table.column("side").to_pylist())[once]
+        arrays = [np.frombuffer(table.column("shingles")[at].as_buffer(), np.uint64) for at in once]
         if table.column("i")[0].as_py() == table.column("j")[0].as_py():
             side[:] = 0
         found = forest(arrays, side, percent)

@@ -598,6 +598,21 @@ def test_jaccard_removal(spark):
     assert jaccard_join.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_long_texts_in_bounded_blocks(spark, monkeypatch):
+    """Families of long texts are cut by their shingles, not by their number; the components stay the same."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 3000)
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 1500)] for _ in range(3)]
+    rows = []
+    for i in range(45):
+        words = list(base[i % 3])
+        for at in rng.integers(0, 1500, i // 3):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(docs_of(spark, [(*r, "s") for r in rows])).collect())
+    assert got == sorted((i, c) for i, _, c in brute_components(rows)) and len({c for _, c in got}) >= 3
+
+
 def test_jaccard_links_through_null_ids(spark, monkeypatch):
     words = lambda start, letter="w": " ".join(f"{letter}{i}" for i in range(start, start + 100))
     # 10 and 11 are linked only through a text without id; 20 has a near copy without id; the last two have none
