@@ -9,7 +9,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PRIME = (1 << 31) - 1
@@ -114,46 +113,53 @@ def code_signature(text: str, codes: np.ndarray, k: int, size: int) -> list[int]
 
 
 def sketch_udf(k: int, size: int):
-    """Text -> (codes, sig) of its normal form, in one pass."""
+    """Text -> (n, sig) of its normal form: the number of its shingles and their signature."""
 
-    @F.arrow_udf("struct<codes: array<bigint>, sig: array<bigint>>")
+    @F.arrow_udf("struct<n: int, sig: array<bigint>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        codes, sigs = [], []
+        counts, sigs = [], []
         for text in texts:
             norm = normal_form(text.as_py() or "")
-            codes.append(shingle_codes(norm, k))
-            sigs.append(code_signature(norm, codes[-1], k, size))
-        ends = np.cumsum([0, *map(len, codes)], dtype=np.int32)
-        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*codes, np.zeros(0, np.int64)])))
+            codes = shingle_codes(norm, k)
+            counts.append(len(codes))
+            sigs.append(code_signature(norm, codes, k, size))
         signed = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * size), pa.array(np.array(sigs, np.int64).ravel()))
-        return pa.StructArray.from_arrays([listed, signed], ["codes", "sig"])
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), signed], ["n", "sig"])
 
     return sketch
 
 
-def scores(threshold: float):
-    """(pairs(src, tgt, ..), members(id, codes)) -> the pairs at the threshold with their Jaccard similarity; codes are sorted and distinct."""
+def code_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct codes; two empty ones are equal."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(few):
+        return 0.0 if len(many) else 1.0
+    both = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return both / (len(few) + len(many) - both)
+
+
+def scores(threshold: float, k: int):
+    """(pairs(src, tgt, ..), members(.., id, text)) -> the pairs at the threshold with their Jaccard similarity."""
 
     def score(pairs: pa.Table, members: pa.Table) -> pa.Table:
-        ids, column = members.column("id").to_pylist(), members.column("codes").combine_chunks()
-        codes = {i: column[k].values.to_numpy() for k, i in enumerate(ids)}
-        found = []
-        for src, tgt in zip(pairs.column("src").to_pylist(), pairs.column("tgt").to_pylist(), strict=True):
-            few, many = sorted((codes[src], codes[tgt]), key=len)
-            if not len(few):
-                value = 1.0 if not len(many) else 0.0
-            else:
-                at = np.searchsorted(many, few)
-                both = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                value = both / (len(few) + len(many) - both)
-            if value >= threshold:
-                found.append((src, tgt, value))
+        codes = {i: shingle_codes(normal_form(text), k) for i, text in zip(members.column("id").to_pylist(), members.column("text").to_pylist(), strict=True)}
+        found = [(src, tgt, value) for src, tgt in zip(pairs.column("src").to_pylist(), pairs.column("tgt").to_pylist(), strict=True) if (value := code_jaccard(codes[src], codes[tgt])) >= threshold]
         return pa.table({"src": pa.array([x[0] for x in found], pa.string()), "tgt": pa.array([x[1] for x in found], pa.string()), "jaccard": pa.array([x[2] for x in found], pa.float64())})
 
     return score
 
 
-def jaccard_column(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two arrays of distinct codes; two empty ones are equal."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+def text_jaccard_udf(k: int):
+    """Jaccard similarity of two texts' shingles; a text that stands in the row before is not cut again."""
+
+    @F.arrow_udf("double")
+    def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.int64))
+        out = []
+        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            if a != last[0]:
+                last = (a, shingle_codes(normal_form(a), k))
+            out.append(code_jaccard(last[1], shingle_codes(normal_form(b), k)))
+        return pa.array(out, pa.float64())
+
+    return similarity

@@ -5,7 +5,6 @@ rows(path, row_num, roles, row_hash) is the row relation; extra columns pass uns
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +30,36 @@ def exact_duplicates(rows: DataFrame, roles: tuple[str, ...]) -> DataFrame:
 
 
 def similarity_items(rows: DataFrame, text_col: str = "sim_text", shingle_size: int = 3, hashes: int = 64) -> DataFrame:
-    """rows with a similarity text -> items(id, path, row_num, roles, row_hash, discriminator, codes, sig)."""
+    """rows with a similarity text -> items(id, path, row_num, roles, row_hash, discriminator, text, n, sig)."""
     held = rows.where(F.coalesce(F.col(text_col), F.lit("")) != "")
-    named = held.select(F.concat_ws(":", "path", "row_num").alias("id"), "path", "row_num", "roles", "row_hash", "discriminator", similarity.sketch_udf(shingle_size, hashes)(text_col).alias("sketch"))
-    return named.select("id", "path", "row_num", "roles", "row_hash", "discriminator", "sketch.codes", "sketch.sig")
+    named = held.select(F.concat_ws(":", "path", "row_num").alias("id"), "path", "row_num", "roles", "row_hash", "discriminator", F.col(text_col).alias("text"), similarity.sketch_udf(shingle_size, hashes)(text_col).alias("sketch"))
+    return named.select("id", "path", "row_num", "roles", "row_hash", "discriminator", "text", "sketch.n", "sketch.sig")
 
 
 def banded(items: DataFrame, hashes: int = 64, bands: int = 16) -> DataFrame:
     """(id, n, band, key): an item's rows of each band, with its number of shingles; left-over hashes are not used."""
     width = max(1, hashes // bands)
     keys = F.transform(F.sequence(F.lit(0), F.lit(min(bands, hashes) - 1)), lambda b: F.xxhash64(F.slice("sig", b * width + 1, F.lit(width))))
-    return items.select("id", F.size("codes").alias("n"), F.posexplode(keys).alias("band", "key"))
+    return items.select("id", "n", F.posexplode(keys).alias("band", "key"))
 
 
-def candidate_pairs(items: DataFrame, threshold: float, hashes: int = 64, bands: int = 16) -> DataFrame:
+def candidate_pairs(items: DataFrame, threshold: float, hashes: int = 64, bands: int = 16, shingle_size: int = 3) -> DataFrame:
     """Pairs of items that share a band bucket of 2 to BUCKET_LIMIT members and reach the threshold.
 
     Buckets are counted before members meet, so a bucket beyond the limit is
     never gathered; within it a self-join makes fewer than 5,000 pairs.  Sets
     whose sizes differ by more than the threshold allows are not compared.  Pairs
-    are counted out under the least member of a bucket that they share: a family's
-    codes are sent there once, not with every pair.
+    are verified under the least member of a bucket that they share: a family's
+    texts are sent there once, not with every pair, and no text that meets no other
+    is sent at all.  Nothing is kept in the executors' memory.
     """
-    items = items.persist(StorageLevel.MEMORY_AND_DISK)  # signatures are taken once
     rows = banded(items, hashes, bands)
-    small = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where(F.col("n").between(2, BUCKET_LIMIT)).select("band", "key", "leader")
+    small = rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("id").alias("leader")).where(F.col("m").between(2, BUCKET_LIMIT)).select("band", "key", "leader")
     members = rows.join(small, ["band", "key"])
     close = (F.col("a.n") >= F.lit(threshold) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n"))
     pairs = members.alias("a").join(members.alias("b"), ["band", "key"]).where((F.col("a.id") < F.col("b.id")) & close).groupBy(F.col("a.id").alias("src"), F.col("b.id").alias("tgt")).agg(F.min("a.leader").alias("leader"))
     needed = pairs.select(F.col("leader").alias("owner"), F.explode(F.array("src", "tgt")).alias("id")).distinct()
-    scored = pairs.groupBy("leader").cogroup(needed.join(items.select("id", "codes"), "id").groupBy("owner")).applyInArrow(similarity.scores(threshold), "src string, tgt string, jaccard double")
+    scored = pairs.groupBy("leader").cogroup(needed.join(items.select("id", "text"), "id").groupBy("owner")).applyInArrow(similarity.scores(threshold, shingle_size), "src string, tgt string, jaccard double")
     facts = items.select("id", F.struct("path", "row_num", "roles", "row_hash", "discriminator").alias("meta"))
     return scored.join(facts.select(F.col("id").alias("src"), F.col("meta").alias("source")), "src").join(facts.select(F.col("id").alias("tgt"), F.col("meta").alias("target")), "tgt").select("src", "tgt", "source", "target", "jaccard")
 
@@ -76,11 +75,11 @@ def probe(items: DataFrame, queries: DataFrame, threshold: float, hashes: int =
     Buckets of any size are met: a query pairs with its bucket's members only, and the
     adaptive planner splits a hot bucket of a join.  A query without shingles finds nothing.
     """
-    q = queries.select(F.col("query_id").alias("id"), similarity.sketch_udf(shingle_size, hashes)("text").alias("sketch")).select("id", "sketch.codes", "sketch.sig").where(F.size("codes") > 0)
+    q = queries.where("text IS NOT NULL").select(F.col("query_id").alias("id"), "text", similarity.sketch_udf(shingle_size, hashes)("text").alias("sketch")).select("id", "text", "sketch.n", "sketch.sig").where("n > 0")
     asked = banded(q, hashes, bands).drop("n").withColumnRenamed("id", "query_id")
     met = asked.join(banded(items, hashes, bands).drop("n"), ["band", "key"]).select("query_id", "id").distinct()
-    texts = met.join(q.select(F.col("id").alias("query_id"), F.col("codes").alias("q_codes")), "query_id").join(items.select("id", "codes"), "id")
-    return texts.withColumn("jaccard", similarity.jaccard_column(F.col("q_codes"), F.col("codes"))).where(F.col("jaccard") >= threshold).select("query_id", "id", "jaccard")
+    texts = met.join(q.select(F.col("id").alias("query_id"), F.col("text").alias("asked")), "query_id").join(items.select("id", "text"), "id")
+    return texts.withColumn("jaccard", similarity.text_jaccard_udf(shingle_size)("asked", "text")).where(F.col("jaccard") >= threshold).select("query_id", "id", "jaccard")
 
 
 def oriented(pairs: DataFrame, left: tuple[str, ...], right: tuple[str, ...]) -> DataFrame:

@@ -138,7 +138,7 @@ class Index:
         """Similar pairs over the rows of all roles, found once."""
         s = self.config.similarity
         items = overlap.similarity_items(self.rows, "sim_text", s.shingle_size, s.num_hashes)
-        return overlap.candidate_pairs(items, s.threshold, s.num_hashes, s.bands).persist(StorageLevel.MEMORY_AND_DISK)
+        return overlap.candidate_pairs(items, s.threshold, s.num_hashes, s.bands, s.shingle_size).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def lines(self) -> DataFrame:
