@@ -87,16 +87,11 @@ PLAIN = r"regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'
 
 
 @_query(f"""WITH d AS (SELECT doc_id, {PLAIN.format('text')} AS p FROM documents)
-SELECT 'sha256:' || sha256(p) AS normalized_chunk_hash, count(*)::BIGINT AS duplicate_count, count(DISTINCT doc_id % 2)::BIGINT AS duplicate_artifact_count, min(doc_id) AS first_row
+SELECT 'sha256:' || sha256(p) AS normalized_chunk_hash, count(*)::BIGINT AS duplicate_count, count(DISTINCT doc_id % 2)::BIGINT AS duplicate_artifact_count, coalesce(min(doc_id) FILTER (doc_id % 2 = 1), min(doc_id)) AS first_row
 FROM d WHERE p <> '' GROUP BY p HAVING count(*) > 1""")
 def duplicate_chunk_in_corpus(spark, sf_dir):
-    return _chunk_view(identity.duplicate_chunks(_documents(spark, sf_dir, "rag_document")), spark, sf_dir)
-
-
-def _chunk_view(found: DataFrame, spark, sf_dir) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select(F.concat(F.lit("sha256:"), F.sha2(plain_text(F.col("text")), 256)).alias("normalized_chunk_hash"), "doc_id")
-    first = docs.groupBy("normalized_chunk_hash").agg(F.min("doc_id").alias("first_row"))
-    return found.select("normalized_chunk_hash", "duplicate_count", "duplicate_artifact_count").join(first, "normalized_chunk_hash")
+    found = identity.duplicate_chunks(_documents(spark, sf_dir, "rag_document"))
+    return found.select("normalized_chunk_hash", "duplicate_count", "duplicate_artifact_count", F.col("row_locations")[0]["row"].alias("first_row"))
 
 
 @_query(f"""WITH a AS (SELECT item_id, {PLAIN.format('text')} AS answer FROM benchmark), d AS (SELECT doc_id, {PLAIN.format('text')} AS p FROM documents)
