@@ -47,6 +47,11 @@ def test_similarity_against_brute_force(spark):
     assert got == want and (0, 1) in got
 
 
+def test_pairs_are_listed_by_similarity_then_ids(spark):
+    df = spark.createDataFrame([("b", "c", 0.9), ("a", "d", 0.9), ("a", "c", 0.9), ("x", "y", 0.95)], "src string, tgt string, jaccard double")
+    assert [(r["src"], r["tgt"]) for r in overlap.ranked_pairs(df).collect()] == [("x", "y"), ("a", "c"), ("a", "d"), ("b", "c")]
+
+
 def test_bucket_limit_drops_large_families(spark):
     n = overlap.BUCKET_LIMIT + 1
     df = spark.createDataFrame([("p", i, ["training_dataset"], str(i), None, "one and the same text") for i in range(n)], "path string, row_num long, roles array<string>, row_hash string, discriminator string, sim_text string")
