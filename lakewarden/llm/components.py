@@ -12,7 +12,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _apart(least: DataFrame) -> DataFrame:
+def dealt_apart(least: DataFrame) -> DataFrame:
     """Dealt out by no key: the join then exchanges both of its sides itself, and the planner can split a hub's."""
     return least.repartition(shuffle_width(least.sparkSession))
 
@@ -20,14 +20,14 @@ def _apart(least: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     near = _both_ways(edges)
-    least = _apart(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    least = dealt_apart(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _apart(down.groupBy("u").agg(F.min("v").alias("m")))
+    least = dealt_apart(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 

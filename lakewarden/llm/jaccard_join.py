@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .blocks import in_blocks, spanning_forest, with_chunks
 from .common import packed, written
-from .components import connected_components
+from .components import connected_components, dealt_apart
 from .words import gram_hashes, hashed_words, settled
 
 MAX_RANKED = 1_000_000
@@ -413,7 +413,7 @@ def headed_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
     # classes of one component, and documents of one class
     whole = named.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = whole.groupBy("component").agg(F.min("least").alias("head")).select("component", F.col("head.doc_id").alias("component_id"), F.col("head.text_hash").alias("head_hash"))
+    least = dealt_apart(whole.groupBy("component").agg(F.min("least").alias("head")).select("component", F.col("head.doc_id").alias("component_id"), F.col("head.text_hash").alias("head_hash")))
     # written, so that both sides of the join are exchanged as they are and a class of many copies can be split
     labelled = written(whole.join(least, "component").select("cls", "component_id", "head_hash"), "shingle-labels")
     return facts.join(labelled, "cls", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "head_hash")
