@@ -79,7 +79,7 @@ CONTENT_WORDS = {"article", "body", "content", "entry", "main", "post", "story",
 SENTENCE_ENDS = frozenset(".!?…:;\"”»。！？।؟۔")
 FEATURES = (
     "bias", "tag_bad", "tag_good", "name_bad", "name_good", "in_main", "link_share", "region_links", "log_words", "sentence", "heading", "first_heading", "list_item", "few_words", "copyright",
-    "region_prose", "region_apart", "region_late", "body_paragraph",
+    "region_prose", "region_apart", "region_late", "body_text", "paragraph", "cell",
 )
 #: What an element passes on to those inside it.
 LINK, TAG_BAD, TAG_GOOD, NAME_BAD, NAME_GOOD, LIST = 1, 2, 4, 8, 16, 32
@@ -322,7 +322,7 @@ def features(page: Page) -> np.ndarray:
 
 def _rows(page: Page, words: np.ndarray, prose: np.ndarray, of_nodes: list[np.ndarray], total: float) -> np.ndarray:
     mass, letters, links, held, headed, region, inside = of_nodes
-    kinds = {name: np.array([n in of for n in page.name]) for name, of in (("heading", HEADINGS), ("title", ("h1", "h2")), ("list", LISTS), ("box", ("div", "section")), ("part", ("div", "section", "article", "ul", "ol")), ("p", ("p",)))}
+    kinds = {name: np.array([n in of for n in page.name]) for name, of in (("heading", HEADINGS), ("title", ("h1", "h2")), ("list", LISTS), ("box", ("div", "section")), ("part", ("div", "section", "article", "ul", "ol")), ("p", ("p", "pre", "blockquote", "dd")), ("cell", ("td", "th", "caption", "figcaption", "dt")))}
     node = np.array([b.node for b in page.blocks])
     state = np.array([b.state for b in page.blocks])
     share = np.array([b.links for b in page.blocks])
@@ -334,10 +334,11 @@ def _rows(page: Page, words: np.ndarray, prose: np.ndarray, of_nodes: list[np.nd
     before = np.cumsum(np.where(within, prose, 0.0)) - np.where(within, prose, 0.0)
     first = np.zeros(len(node), bool)
     first[np.flatnonzero(heading)[:1]] = True
+    clean, around = within & ~has(TAG_BAD | NAME_BAD), np.where(there, links[at] / np.maximum(1.0, letters[at]), share)
     columns = (
-        np.ones(len(node)), has(TAG_BAD), has(TAG_GOOD), has(NAME_BAD), has(NAME_GOOD), within, share, np.where(there, links[at] / np.maximum(1.0, letters[at]), share), np.log1p(words), ended,
-        heading, first & kinds["title"][node], has(LIST), words < 4, np.array(["©" in b.text for b in page.blocks]), np.where(there & ~(within & (held[at] == 1)), mass[at] / (total + 1.0), 0.0),
-        apart | (there & kinds["box"][at] & ~heading & ~within), there & (before >= 0.8 * total) & ~heading & kinds["part"][at], within & ~apart & kinds["p"][node] & (share < 0.5) & ~has(TAG_BAD | NAME_BAD),
+        np.ones(len(node)), has(TAG_BAD), has(TAG_GOOD), has(NAME_BAD), has(NAME_GOOD), within, share, around, np.log1p(words), ended,
+        heading, first & kinds["title"][node], has(LIST), words < 4, np.array(["©" in b.text for b in page.blocks]), np.where(there & ~within, mass[at] / (total + 1.0), 0.0),
+        (apart & within) | (there & kinds["box"][at] & ~heading & ~within), there & within & (before >= 0.8 * total) & ~heading & kinds["part"][at], clean & (around < 0.4), clean & kinds["p"][node], clean & kinds["cell"][node],
     )
     return np.stack([c.astype(float) for c in columns], 1)
 
@@ -550,26 +551,48 @@ def generated_page(rng: random.Random) -> tuple[str, list[bool]]:
         put(f"<h1>{words(1 if brief else 3, 12)}</h1>", True)
     if rng.random() < 0.15:
         put(f"<p><b>{words(3, 12)}.<br></p>", True)
+    # paragraphs as such or as plain elements, on their own or in sections
+    paragraph = rng.choice(("p", "p", "p", "div"))
+    grouped = not brief and rng.random() < 0.35
+    opened_section = ""
     for _ in range(rng.randint(0, 2) if brief else rng.randint(4, 14)):
+        if grouped and rng.random() < 0.35:
+            out.append(opened_section and f"</{opened_section}>")
+            opened_section = rng.choice(("section", "div"))
+            out.append(f"<{opened_section}>")
+            if rng.random() < 0.7:
+                put(f"<h2>{words(1, 6)}</h2>", True)
         kind = rng.random()
-        if kind < 0.75:
-            put(f"<p>{' '.join(sentence(1, 25) for _ in range(rng.randint(1, 6)))}</p>", True)
-        elif kind < 0.82:
+        if kind < 0.68:
+            put(f"<{paragraph}>{' '.join(sentence(1, 25) for _ in range(rng.randint(1, 6)))}</{paragraph}>", True)
+        elif kind < 0.75:
             put(f"<h2>{words(1, 6)}</h2>", True)
-        elif kind < 0.89:
+        elif kind < 0.82:
             out.append("<ul>")
             for _ in range(rng.randint(2, 4)):
                 put(f"<li>{sentence(2, 12)}</li>", True)
             out.append("</ul>")
-        elif kind < 0.92:
-            boilerplate()
-        elif kind < 0.93:
-            put(f"<p>{words(1, 4)}</p>", True)
-        elif kind < 0.945:
+        elif kind < 0.85:
+            if not opened_section:
+                boilerplate()
+        elif kind < 0.87:
+            put(f"<{paragraph}>{words(1, 4)}</{paragraph}>", True)
+        elif kind < 0.885:
             put(f"<blockquote>{sentence(6, 30)}</blockquote>", True)
+        elif kind < 0.91:
+            out.append("<table>")
+            for _ in range(rng.randint(2, 4)):
+                out.append("<tr>")
+                for _ in range(2):
+                    put(f"<td>{words(1, 3) if rng.random() < 0.6 else rng.randint(1, 9999)}</td>", True)
+                out.append("</tr>")
+            out.append("</table>")
+        elif kind < 0.94:
+            put(f'<{paragraph}>{words(1, 2)} <a href="/y">{words(1, 3)}</a>.</{paragraph}>', True)
         else:
-            put(f'<p>{sentence(4, 9)} <a href="/y">{words(1, 3)}</a> {sentence(4, 9)}</p>', True)
-    if rng.random() < 0.3 and naming != "none":
+            put(f'<{paragraph}>{sentence(4, 9)} <a href="/y">{words(1, 3)}</a> {sentence(4, 9)}</{paragraph}>', True)
+    out.append(opened_section and f"</{opened_section}>")
+    if rng.random() < 0.3 and naming == "known":
         region("section", ("comments", "replies", "discussion"), "comments")
     out.append(closing)
     if rng.random() < 0.5:
