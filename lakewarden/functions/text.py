@@ -15,12 +15,13 @@ API_KEY = r"(?i)\b(?:api_key|apikey|secret|token|password)\s*[:=]\s*([^\s]{12,})
 PRIVATE_KEY = "BEGIN PRIVATE KEY"
 PLACEHOLDER = r"\{\{\s*[A-Za-z_][A-Za-z0-9_]*\s*\}\}|\$\{\s*[A-Za-z_][A-Za-z0-9_]*\s*\}|(?<!\{)\{[A-Za-z_][A-Za-z0-9_]*\}(?!\})"
 INTERPOLATION = r"\{\{\s*[A-Za-z_][A-Za-z0-9_]*\s*\}\}|\$\{\s*[A-Za-z_][A-Za-z0-9_]*\s*\}|\{[A-Za-z_][A-Za-z0-9_]*\}|<[A-Za-z_][A-Za-z0-9_]*>"
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# fixed values: the code points of white space
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
     """Without surrounding Unicode white space."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def plain_text(text: Column) -> Column:
@@ -115,14 +116,17 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[Column | str], item
     return gathered.select(*keys, *[F.col(f"_all.{n}").alias(n) for n in items])
 
 
-ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+# fixed values: how JSON writes the characters that it escapes
+SHORT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+RARE_ESCAPES = {"\b": "\\b", "\f": "\\f"}
 
 
 def json_string(text: Column) -> Column:
     """Text as a JSON string, in the canonical form: other control characters as \\u and four lower-case digits."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(out, F.lit('"'), F.lit('\\"'))
-    rare = out
-    for code in range(32):
-        rare = F.replace(rare, F.lit(chr(code)), F.lit(ESCAPES.get(chr(code), f"\\u{code:04x}")))
-    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), rare).otherwise(out), F.lit('"'))
+    out = text
+    for char, written in SHORT_ESCAPES.items():
+        out = F.replace(out, F.lit(char), F.lit(written))
+    rest = {chr(c): RARE_ESCAPES.get(chr(c), f"\\u{c:04x}") for c in range(32) if chr(c) not in SHORT_ESCAPES}
+    table = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
+    rare = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(out), F.lit('"'))

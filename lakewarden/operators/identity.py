@@ -56,11 +56,12 @@ def label_conflicts(rows: DataFrame) -> DataFrame:
     is that of both as canonical JSON.  A target's hash is that of its text, or of the
     JSON list where it has several values.
     """
-    held = rows.where(has_role(F.col("roles"), *aliases.EVALUATION)).withColumn("input", first_scalar(aliases.INPUT)).withColumn("target", _targets()).where("input IS NOT NULL AND target IS NOT NULL")
-    case = F.concat(F.lit('{"context":'), F.col("context"), F.lit(',"input":'), json_string(plain_text(F.col("input.value"))), F.lit("}"))
+    held = rows.where(has_role(F.col("roles"), *aliases.EVALUATION)).withColumn("input", first_scalar(aliases.INPUT)).withColumn("target", _targets()).where("input IS NOT NULL AND target IS NOT NULL").withColumn("plain", plain_text(F.col("input.value")))
+    case = F.concat(F.lit('{"context":'), F.col("context"), F.lit(',"input":'), json_string(F.col("plain")), F.lit("}"))
     values = F.col("target.values")
     signature = F.when(F.size(values) == 1, values[0]).otherwise(F.concat(F.lit("["), F.array_join(F.transform(values, json_string), ","), F.lit("]")))
-    keyed = held.select(F.sha2(case, 256).alias("identity"), F.sha2(signature, 256).alias("target_hash"), F.struct("path", "row_num", F.col("input.field").alias("input_field"), F.col("target.field").alias("target_field")).alias("place"))
+    # never null, which the planner would else check by hashing every text once more
+    keyed = held.select(F.coalesce(F.sha2(case, 256), F.lit("")).alias("identity"), F.sha2(signature, 256).alias("target_hash"), F.struct("path", "row_num", F.col("input.field").alias("input_field"), F.col("target.field").alias("target_field")).alias("place"))
     several = keyed.groupBy("identity").agg(F.countDistinct("target_hash").alias("distinct_target_count")).where("distinct_target_count > 1")
     return (
         keyed.join(several, "identity").groupBy(F.concat(F.lit("sha256:"), "identity").alias("normalized_input_hash"), "distinct_target_count").agg(
@@ -92,7 +93,7 @@ def retrieval_records(rows: DataFrame) -> DataFrame:
 def duplicate_chunks(rows: DataFrame) -> DataFrame:
     """One row per normalised content that occurs in two or more retrieval records, of one artifact or several."""
     held = retrieval_records(rows).where("plain IS NOT NULL AND plain <> ''")
-    keyed = held.select(prefixed_sha(F.col("plain")).alias("normalized_chunk_hash"), "path", "row_num", "row_hash", F.col("content.field").alias("field"))
+    keyed = held.select(F.coalesce(prefixed_sha(F.col("plain")), F.lit("")).alias("normalized_chunk_hash"), "path", "row_num", "row_hash", F.col("content.field").alias("field"))
     grouped = keyed.groupBy("normalized_chunk_hash").agg(F.count("*").alias("duplicate_count"), F.sort_array(F.collect_set("path")).alias("artifact_paths"), F.sort_array(F.collect_set("field")).alias("content_fields")).where("duplicate_count > 1")
     first = first_rows(keyed, ["normalized_chunk_hash"], ["path", "row_num", "row_hash"], {"row_locations": F.struct(F.col("path"), F.col("row_num").alias("row")), "row_hashes": "row_hash"})
     return grouped.join(first, "normalized_chunk_hash").select(

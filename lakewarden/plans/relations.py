@@ -30,7 +30,7 @@ def table_rows(df: DataFrame, path: Column, row_num: Column, roles: Column, fiel
         canon.append((name, F.concat(F.lit(f'"{name}":'), shown(stripped(value) if quoted else value))))
     context = [c for n, c in sorted(canon, key=lambda x: x[0]) if n in aliases.CONTEXT]
     whole = lambda members: F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
-    texts_map = F.map_filter(F.create_map(*texts), lambda k, v: v.isNotNull())
+    texts_map = F.create_map(*texts)  # with nulls, so that the planner reads a field's column instead of a map
     text = whole([c for _, c in sorted(canon, key=lambda x: x[0])])
     return chosen.select(
         "path", "row_num", "roles", F.lit("object").alias("kind"), text.alias("canon"), F.concat(F.lit("sha256:"), F.sha2(F.coalesce("hashed", text), 256)).alias("row_hash"),

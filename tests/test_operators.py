@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakewarden.functions.canon import canonical_json, record_view, trimmed
-from lakewarden.functions.text import json_string
+from lakewarden.functions.text import json_string, stripped
 from lakewarden.operators import content, identity, overlap, results
 from lakewarden.sources.formats import EVENTS, ReadLimits, read_artifacts
 
@@ -30,6 +30,13 @@ def test_json_string_is_canonical(spark):
     assert got == [json.dumps(t, ensure_ascii=False) for t in texts]
 
 
+def test_stripped_removes_all_white_space(spark):
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and not 0xD800 <= c < 0xE000]
+    texts = ["".join(spaces) + "a b" + "".join(spaces), "\u200b x", "", "  ", "\u3000é\u2003", "in\n side"]
+    got = [r["s"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(stripped(F.col("t")).alias("s")).collect()]
+    assert got == [t.strip() for t in texts]
+
+
 def test_label_conflicts_trim_context_and_hash_the_case(spark):
     records = [
         {"prompt": "Which  one?", "context": " The river. ", "label": "a"}, {"prompt": "Which one?", "context": "The river.", "label": "b"},  # one case: only outer white space differs
