@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from .common import hash60, packed, shuffle_width, written, written_at
 from .files import open_store
 from .mixing import find_thresholds
-from .words import give_back_memory, gram_hashes, hashes_of, settled
+from .words import give_back_memory, gram_hashes, hashes_of, kept, settled
 
 UNIGRAM_BITS, BIGRAM_BITS = 20, 18
 #: Bytes of text up to which the models have the bits above, and how often their sizes may double beyond it.
@@ -160,20 +160,18 @@ def log_importance(found: np.ndarray, by_count: np.ndarray, by_document: np.ndar
     return p.nominal * float(by_count[found].mean(dtype=np.float64)) + p.emphasis * float(np.minimum(held + p.dead_zone, 0.0).sum())
 
 
-_models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def load_model(uri: str, growth: int) -> tuple[np.ndarray, np.ndarray]:
     """Log ratios by occurrences and by documents for each bucket; a worker reads them once."""
-    if uri not in _models:
+
+    def read() -> tuple[np.ndarray, np.ndarray]:
         store, path = open_store(uri)
         table = pq.read_table(path, filesystem=store)
         by_count, by_document = np.zeros(bucket_count(growth), np.float32), np.zeros(bucket_count(growth), np.float32)
         bucket = table.column("bucket").to_numpy()
         by_count[bucket], by_document[bucket] = table.column("by_count").to_numpy(), table.column("by_document").to_numpy()
-        _models.clear()
-        _models[uri] = (by_count, by_document)
-    return _models[uri]
+        return by_count, by_document
+
+    return kept(("quality", uri), read)
 
 
 class QualityModel:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, written
 from .files import AtomicFile, open_ranges
-from .words import WordMemo, settled
+from .words import WordMemo, kept, settled
 
 MAGIC = b"LWWM0002"
 BITS = 16
@@ -338,15 +338,8 @@ class WordEncoder:
             gc.enable()
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
-
-
 def encoder_for(vocabulary: str, memo_words: int) -> WordEncoder:
-    key = (vocabulary, memo_words)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(vocabulary, memo_words)
-    return _encoders[key]
+    return kept(("encoder", vocabulary, memo_words), lambda: WordEncoder(vocabulary, memo_words))
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -379,7 +372,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_
         if doc_ids:
             yield close()
 
-    return written(ranged.mapInArrow(settled(write), "part int, seq int, path string, docs long, tokens long"), "wavelet-manifest")
+    return written(ranged.mapInArrow(settled(write, keeps=True), "part int, seq int, path string, docs long, tokens long"), "wavelet-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -26,11 +26,31 @@ def give_back_memory() -> None:
         pass  # another C library
 
 
-def settled(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same work on a task's batches; memory is given back when the task ends."""
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker keeps from one task to the next, made once; one thing at a time, as workers serve every operator."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    if _kept:
+        _kept.clear()
+        give_back_memory()
+
+
+def settled(work: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """The same work on a task's batches; memory is given back when the task ends, and what another operator
+    has kept is given back when it begins, unless the work keeps something itself."""
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
+        if not keeps:
+            forget()
         try:
             yield from work(batches)
         finally:
