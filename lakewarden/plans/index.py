@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -17,13 +18,48 @@ from ..functions import aliases
 from ..functions.canon import type_name
 from ..operators import overlap
 from ..sources.card import read_card
-from ..sources.config import ScanConfig, resolve_ref
+from ..sources.config import ConfigError, ScanConfig, resolve_ref
 from ..sources.discovery import Artifact, artifact_at, discover, fits_any
-from ..sources.formats import EVENTS, ReadLimits, read_artifacts
+from ..sources.formats import EVENTS, PIECE_EVENTS, ReadLimits, ordered_hashes, read_artifacts
 
 INCOMPLETE = ("artifact.parse_failed", "artifact.row_parse_failed", "artifact.row_limit_reached", "artifact.file_size_limit_exceeded")
 
 
+def _joined_facts(of_pieces: dict[str, list[dict]]) -> tuple[dict[str, dict], dict[tuple[str, int], int]]:
+    """The facts of files from those of their pieces, and the lines before each (path, part)."""
+    facts, firsts = {}, {}
+    for path, pieces in of_pieces.items():
+        lines, size, trouble = 0, 0, None
+        pieces.sort(key=lambda f: f["part"])
+        for f in pieces:
+            if (path, f["part"]) in firsts:
+                raise ConfigError(f"'{path}' has two pieces of number {f['part']}.")
+            firsts[path, f["part"]] = lines
+            if (t := f["encoding"]) is not None:
+                trouble = trouble or {"byte_hash": None, "invalid_utf8_range": None, "nul_byte_count": 0, "sample_nul_offsets": [], "nul_offsets_truncated": False}
+                if trouble["invalid_utf8_range"] is None and t["invalid_utf8_range"] is not None:
+                    trouble["invalid_utf8_range"] = [size + at for at in t["invalid_utf8_range"]]
+                trouble["nul_byte_count"] += t["nul_byte_count"]
+                trouble["sample_nul_offsets"] = (trouble["sample_nul_offsets"] + [size + at for at in t["sample_nul_offsets"]])[: aliases.EVIDENCE_LIMIT]
+                trouble["nul_offsets_truncated"] = trouble["nul_byte_count"] > len(trouble["sample_nul_offsets"])
+            lines, size = lines + f["line_ends"], size + f["bytes"]
+        if trouble is not None:
+            trouble["byte_count"] = size
+        facts[path] = {"path": path, "fingerprint": None, "has_rows": trouble is None and any(f["has_rows"] for f in pieces), "blank": all(f["blank"] for f in pieces), "text_length": sum(f["text_length"] for f in pieces), "line_ends": lines, "n_chars": sum(f["n_chars"] for f in pieces), "encoding": trouble, "root": None}
+    return facts, firsts
+
+
+def _joined_diagnostics(told: list[dict], firsts: dict[tuple[str, int], int]) -> list[dict]:
+    """Diagnostics with rows counted from the file's first line; those of a whole file once."""
+    out: dict[tuple, dict] = {}
+    for d in told:
+        part, row = d.pop("part"), d.get("row")
+        if row is not None:
+            d |= {"row": row + firsts[d["path"], part], "message": d["message"].replace(f"Row {row} ", f"Row {row + firsts[d['path'], part]} ", 1)}
+        out[d["path"], d["code"], d.get("row")] = {k: v for k, v in d.items() if v is not None}
+    return list(out.values())
+
+
 @dataclass
 class Index:
     spark: SparkSession
@@ -35,6 +71,8 @@ class Index:
     listed: frozenset[str]  # all paths that were found
     facts: dict[str, dict] = field(default_factory=dict)
     diagnostics: list[dict] = field(default_factory=list)
+    accepted: DataFrame | None = None  # (path, part, place, text) of accepted rows in canonical form, of files in pieces
+    hashed: bool = True  # whether files in pieces get fingerprints, which takes a pass of its own
 
     @classmethod
     def build(cls, spark: SparkSession, root: str, config: ScanConfig, keep=lambda artifact: True, fields: frozenset[str] | None = None) -> Index:
@@ -50,11 +88,24 @@ class Index:
         return cls._of(spark, root, config, found, contents, keep, fields)
 
     @classmethod
-    def of_files(cls, spark: SparkSession, files: DataFrame, config: ScanConfig, keep=lambda artifact: True, fields: frozenset[str] | None = None) -> Index:
+    def of_files(cls, spark: SparkSession, files: DataFrame, config: ScanConfig, keep=lambda artifact: True, fields: frozenset[str] | None = None, hashed: bool = True, paths: list[str] | None = None, shown: frozenset[str] | None = None) -> Index:
         """The index of files(path, content) or files(path, length, content): the same scan where files are rows.
 
         Paths and sizes are listed on the driver, contents are not.  Cards are not read.
+        Files of JSON lines beyond what one task can hold come as files(path, part, content),
+        in pieces by number that end at line ends.  They are read whole, whatever their size,
+        so the limits must be None, and by what asks for fields only, as texts are not joined;
+        paths are theirs, where the caller knows them without making the pieces, and shown the
+        fields whose values as JSON are asked for.
         """
+        if "part" in files.columns:
+            if config.max_rows is not None or config.max_file_mb is not None or fields is None:
+                raise ConfigError("Files in pieces are read without limits, and for named fields.")
+            listed = [r["path"] for r in files.select("path").distinct().collect()] if paths is None else paths
+            found = sorted((p, 0, p) for p in listed if fits_any(p, config.include) and not fits_any(p, config.exclude))
+            if strange := [p for p, *_ in found if (a := artifact_at(p, config)) is not None and a.format != "jsonl"]:
+                raise ConfigError(f"'{strange[0]}' is no file of JSON lines, so it cannot come in pieces.")
+            return cls._of(spark, None, config, found, lambda small: files.join(F.broadcast(spark.createDataFrame(small, "path string, uri string")), "path").select("path", "part", "content"), keep, fields, hashed, True, shown)
         size = F.col("length") if "length" in files.columns else F.length("content")
         found = sorted((r["path"], r["n"], r["path"]) for r in files.select("path", size.alias("n")).collect() if fits_any(r["path"], config.include) and not fits_any(r["path"], config.exclude))
         return cls._of(spark, None, config, found, lambda small: files.join(F.broadcast(spark.createDataFrame(small, "path string, uri string")), "path").select("path", "content"), keep, fields)
@@ -69,35 +120,55 @@ class Index:
         return files.select(F.substring(inner, len(root) + 1, 1 << 30).alias("path"), "length", "content")
 
     @classmethod
-    def _of(cls, spark: SparkSession, root: str | None, config: ScanConfig, found: list[tuple[str, int, str]], contents: Callable[[list[tuple[str, str]]], DataFrame], keep, fields) -> Index:
+    def _of(cls, spark: SparkSession, root: str | None, config: ScanConfig, found: list[tuple[str, int, str]], contents: Callable[[list[tuple[str, str]]], DataFrame], keep, fields, hashed: bool = True, pieces: bool = False, shown: frozenset[str] | None = None) -> Index:
         artifacts = {p: a for p, *_ in found if (a := artifact_at(p, config)) is not None and keep(a)}
         diagnostics = [n for a in artifacts.values() for n in a.notes]
         small = []
         for path, size, uri in found:
-            if path in artifacts and size > config.max_file_mb << 20:
+            if path in artifacts and config.max_file_mb is not None and size > config.max_file_mb << 20:
                 diagnostics.append({"severity": "warning", "code": "artifact.file_size_limit_exceeded", "message": f"'{path}' is larger than {config.max_file_mb} MB.", "path": path})
             elif path in artifacts:
                 small.append((path, uri))
         s = config.similarity
-        limits = ReadLimits(config.max_rows, s.focus_roles, s.focus_fields, fields)
+        limits = ReadLimits(config.max_rows, s.focus_roles, s.focus_fields, fields, shown)
         roles = spark.createDataFrame([(p, a.format, list(a.roles)) for p, a in artifacts.items()], "path string, kind string, roles array<string>")
+        accepted = None
         if small:
-            met = contents(small).join(F.broadcast(roles), "path").select("path", "kind", "roles", "content")
+            met = contents(small).join(F.broadcast(roles), "path").select("path", "kind", "roles", "content", *["part"] * pieces)
             events = read_artifacts(met, limits)
+            if pieces:
+                accepted = read_artifacts(met, replace(limits, fields=frozenset(), canon=True)).where("event = 'row'").select("path", "part", F.col("row_num").alias("place"), F.col("canon").alias("text"))
         else:
-            events = spark.createDataFrame([], EVENTS)
-        events = events.persist(StorageLevel.MEMORY_AND_DISK)
-        facts = {}
+            events = spark.createDataFrame([], PIECE_EVENTS if pieces else EVENTS)
+        # those of files without limit are on disk only: as much text as the files have would fill the memory
+        events = events.persist(StorageLevel.DISK_ONLY if pieces else StorageLevel.MEMORY_AND_DISK)
+        facts, of_pieces, told = {}, {}, []
         for r in events.where("event NOT IN ('row', 'text')").select("event", "payload").collect():  # a document's facts and its rejected rows
             value = json.loads(r["payload"])
-            if r["event"] == "document":
+            if r["event"] == "document" and pieces:
+                of_pieces.setdefault(value["path"], []).append(value)
+            elif r["event"] == "document":
                 facts[value["path"]] = value
+            elif pieces:
+                told.append(value)
             else:
                 diagnostics.append({k: v for k, v in value.items() if v is not None})
         with_roles = lambda rows: rows.join(F.broadcast(roles.drop("kind")), "path")
         rows = with_roles(events.where("event = 'row'").drop("event", "payload"))
+        if pieces:
+            facts, firsts = _joined_facts(of_pieces)
+            unclean = [p for p, f in facts.items() if f["encoding"] is not None]
+            diagnostics += _joined_diagnostics([d for d in told if d["path"] not in unclean or d["row"] is None], firsts)
+            if unclean:  # such a file gives no rows, whichever piece is at fault
+                rows, accepted = rows.where(~F.col("path").isin(unclean)), accepted.where(~F.col("path").isin(unclean))
+                whole = contents([(p, p) for p in unclean]).select("path", "part", F.lit(0).alias("place"), F.col("content").alias("text"))
+                for r in ordered_hashes(whole).collect():  # a row per file
+                    facts[r["path"]]["encoding"]["byte_hash"] = r["hash"]
+            # a row per piece: bytes of the files over the size of a piece
+            first = spark.createDataFrame([(*k, n) for k, n in firsts.items()], "path string, part long, first long")
+            rows = rows.join(F.broadcast(first), ["path", "part"]).withColumn("row_num", F.col("row_num") + F.col("first")).drop("part", "first")
         texts = with_roles(events.where("event = 'text'").select("path", F.col("payload").alias("text")))
-        return cls(spark, root, config, artifacts, rows, texts, frozenset(p for p, *_ in found), facts, diagnostics)
+        return cls(spark, root, config, artifacts, rows, texts, frozenset(p for p, *_ in found), facts, diagnostics, accepted, hashed)
 
     def paths(self, *roles: str, but_configuration: bool = False) -> list[str]:
         return sorted(p for p, a in self.artifacts.items() if set(roles) & set(a.roles) and not (but_configuration and "configuration" in a.roles))
@@ -106,8 +177,15 @@ class Index:
         return {d["code"] for d in self.diagnostics if d.get("path") == path}
 
     def fingerprint(self, path: str) -> str | None:
+        if self.accepted is not None and self.hashed:
+            return self.accepted_hashes.get(path)
         return self.facts.get(path, {}).get("fingerprint")
 
+    @cached_property
+    def accepted_hashes(self) -> dict[str, str]:
+        """Fingerprints of files in pieces, from another reading of them."""
+        return {r["path"]: r["hash"] for r in ordered_hashes(self.accepted, b"\n").collect()}  # a row per file
+
     @cached_property
     def row_counts(self) -> dict[str, int]:
         return {r["path"]: r["count"] for r in self.rows.groupBy("path").count().collect()}
@@ -120,7 +198,8 @@ class Index:
             rejected = sum(d["code"] == "artifact.row_parse_failed" and d.get("path") == path for d in self.diagnostics)
             cut = "artifact.row_limit_reached" in codes
             reasons = [name for code, name in (("artifact.file_size_limit_exceeded", "file_size_limit"), ("artifact.parse_failed", "parse_failed"), ("artifact.invalid_text_encoding", "invalid_text_encoding"), ("artifact.unsupported_parquet_schema", "unsupported_parquet_schema")) if code in codes]
-            if self.fingerprint(path) is None or "artifact.file_size_limit_exceeded" in codes:
+            has_content = self.fingerprint(path) is not None if self.hashed or self.accepted is None else path in self.row_counts
+            if not has_content or "artifact.file_size_limit_exceeded" in codes:
                 status, reasons = "skipped", reasons or ["no_indexable_content"]
             elif rejected or cut:
                 status, reasons = "partial", ["row_parse_failures"] * bool(rejected) + ["row_limit"] * cut
@@ -210,7 +289,7 @@ class Index:
             status, ref = None, d.provenance.values.get("source.ref")
             if d.provenance.values.get("source.type") == "local" and ref:
                 status = self._source_status(ref)
-            card = read_card(self.root, d.provenance.card, self.config.max_file_mb << 20) if d.provenance.card and self.root is not None else None
+            card = read_card(self.root, d.provenance.card, (self.config.max_file_mb or sys.maxsize) << 20) if d.provenance.card and self.root is not None else None
             out.append({"path": d.path, "contract": d.provenance, "source_status": status, "card": card})
         return out
 

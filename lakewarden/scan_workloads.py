@@ -6,6 +6,10 @@ whole tables, cut into files by a key.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,12 +215,50 @@ def empty_or_corrupted_document(spark, sf_dir):
     return spark.createDataFrame([(e["artifact_path"], e["state"], e["empty_record_count"], e["row_count"]) for _, e in found], "artifact_path string, state string, empty_record_count long, row_count long")
 
 
-def _split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records of a training file and an evaluation file for each remainder by eight of their ids."""
+def _joined_pieces(rows: DataFrame, path: Column, part: Column, order: Column, line: Column) -> DataFrame:
+    """(path, part, content): the rows' lines in order, a piece for each path and part; a task holds one piece at a time."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        piece = lambda: pa.RecordBatch.from_pylist([{"path": now[0], "part": now[1], "content": b"".join(held)}], pa.schema([("path", pa.string()), ("part", pa.int64()), ("content", pa.binary())]))
+        for batch in batches:
+            for *key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if key != now:
+                    if held:
+                        yield piece()
+                    now, held = key, []
+                held.append(text.as_py().encode() + b"\n")
+        if held:
+            yield piece()
+
+    dealt = rows.select(path.alias("path"), part.cast("long").alias("part"), order.alias("o"), line.alias("line")).repartition("path", "part").sortWithinPartitions("path", "part", "o")
+    return dealt.select("path", "part", "line").mapInArrow(join, "path string, part long, content binary")
+
+
+PIECE_BYTES = 2 << 20
+WHOLE = ScanConfig(max_file_mb=None, max_rows=None)
+
+
+def _split_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Documents as records of a training file or an evaluation file for each remainder by eight of their ids.
+
+    A file is as long as its documents, so it comes in pieces of about PIECE_BYTES, by hash of
+    the id, which any recomputation cuts alike.  Returned with the files' paths.
+    """
     docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL")
     side = F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval")
-    line = F.concat(F.lit('{"prompt": '), json_string(F.col("text")), F.lit(', "label": '), json_string(F.col("source")), F.when(F.col("doc_id") % 5 != 0, F.lit("}")).otherwise(F.concat(F.lit(', "id": '), F.col("doc_id").cast("string"), F.lit("}"))))
-    return _joined_lines(docs, F.concat(side, F.lit("_"), (F.col("doc_id") % 8).cast("string"), F.lit(".jsonl")), F.col("doc_id"), line)
+    pieces = max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 8 / PIECE_BYTES))
+    label = json_string(F.col("source"))
+    line = F.concat(F.lit('{"prompt": '), json_string(F.col("text")), F.lit(', "label": '), label, F.when(F.col("doc_id") % 5 != 0, F.lit("}")).otherwise(F.concat(F.lit(', "id": '), F.col("doc_id").cast("string"), F.lit("}"))))
+    path = F.concat(side, F.lit("_"), (F.col("doc_id") % 8).cast("string"), F.lit(".jsonl"))
+    files = _joined_pieces(docs, path, F.pmod(F.xxhash64("doc_id"), F.lit(pieces)), F.col("doc_id"), line)
+    return files, [r["path"] for r in docs.select(path.alias("path")).distinct().collect()]  # a path for each remainder
+
+
+def _whole_index(spark: SparkSession, sf_dir: str, fields: frozenset[str]) -> Index:
+    """The index of all rows of the split files."""
+    files, paths = _split_files(spark, sf_dir)
+    return Index.of_files(spark, files, WHOLE, fields=fields, hashed=False, paths=paths, shown=measure.shown_fields(WHOLE))
 
 
 TRIMMED = r"regexp_replace(text, '^[\s\x1c-\x1f\x0b\x85\p{Z}]+|[\s\x1c-\x1f\x0b\x85\p{Z}]+$', '', 'g')"
@@ -230,11 +272,10 @@ UNION ALL SELECT path, 'dataset.rejected_record_rate', 0.0, n FROM m UNION ALL S
 UNION ALL SELECT path, 'dataset.input_character_lengths.' || k, v::DOUBLE, n FROM (SELECT path, n, unnest(['min', 'max', 'p50', 'p95']) AS k, unnest([lo, hi, p50, p95]) AS v FROM m)""")
 def profile_measurements(spark, sf_dir):
     """The measurements of a whole profile, a row per number."""
-    config = ScanConfig()
-    index = Index.of_files(spark, _split_files(spark, sf_dir), config, fields=measure.asked_fields(config))
+    index = _whole_index(spark, sf_dir, measure.asked_fields(WHOLE))
     out = []
     for m in measure.measurements(index):
-        named = {f"{m['measurement_id']}.{k}": v for k, v in m["value"].items()} if m["measurement_id"] == "dataset.input_character_lengths" else {m["measurement_id"]: m["value"]}
+        named = {f"{m['measurement_id']}.{k}": v for k, v in (m["value"] or {}).items()} if m["measurement_id"] == "dataset.input_character_lengths" else {m["measurement_id"]: m["value"]}
         out += [(m["artifact_path"], k, round(float(v), 9), m["population_count"]) for k, v in named.items() if isinstance(v, (int, float))]
     return spark.createDataFrame(out, "artifact_path string, measurement_id string, value double, population long")
 
@@ -250,7 +291,7 @@ def scan_findings(spark, sf_dir):
     from .plans.rules import execute
 
     chosen = [RULES[i] for i in ("contamination.duplicate_train_sample", "contamination.duplicate_eval_sample", "dataset.partial_sample_id_coverage", "contamination.train_eval_overlap")]
-    index = Index.of_files(spark, _split_files(spark, sf_dir), ScanConfig())
+    index = _whole_index(spark, sf_dir, measure.asked_fields(WHOLE))
     report = scan_report(index, execute(index, chosen), chosen, "selected", "", "")
     counts: dict[tuple[str, str], int] = {}
     for f in report["findings"]:
