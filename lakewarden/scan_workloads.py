@@ -248,7 +248,7 @@ def _split_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]
     docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL")
     side = F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval")
     pieces = max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 8 / PIECE_BYTES))
-    label = json_string(F.col("source"))
+    label = F.coalesce(json_string(F.col("source")), F.lit("null"))
     line = F.concat(F.lit('{"prompt": '), json_string(F.col("text")), F.lit(', "label": '), label, F.when(F.col("doc_id") % 5 != 0, F.lit("}")).otherwise(F.concat(F.lit(', "id": '), F.col("doc_id").cast("string"), F.lit("}"))))
     path = F.concat(side, F.lit("_"), (F.col("doc_id") % 8).cast("string"), F.lit(".jsonl"))
     files = _joined_pieces(docs, path, F.pmod(F.xxhash64("doc_id"), F.lit(pieces)), F.col("doc_id"), line)
@@ -256,9 +256,12 @@ def _split_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]
 
 
 def _whole_index(spark: SparkSession, sf_dir: str, fields: frozenset[str]) -> Index:
-    """The index of all rows of the split files."""
+    """The index of all rows of the split files; an error where any was lost."""
     files, paths = _split_files(spark, sf_dir)
-    return Index.of_files(spark, files, WHOLE, fields=fields, hashed=False, paths=paths, shown=measure.shown_fields(WHOLE))
+    index = Index.of_files(spark, files, WHOLE, fields=fields, hashed=False, paths=paths, shown=measure.shown_fields(WHOLE))
+    if lost := sorted({d["code"] for d in index.diagnostics}):
+        raise RuntimeError(f"The documents were not read in full: {', '.join(lost)}.")
+    return index
 
 
 TRIMMED = r"regexp_replace(text, '^[\s\x1c-\x1f\x0b\x85\p{Z}]+|[\s\x1c-\x1f\x0b\x85\p{Z}]+$', '', 'g')"

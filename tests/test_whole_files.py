@@ -59,3 +59,25 @@ def test_pieces_have_no_limits(spark):
         Index.of_files(spark, files, ScanConfig(), fields=frozenset())
     with pytest.raises(ConfigError):
         Index.of_files(spark, files.withColumn("path", F.lit("train.csv")), ScanConfig(max_file_mb=None, max_rows=None), fields=frozenset())
+
+
+@pytest.fixture(scope="module")
+def long_file(spark, tmp_path_factory):
+    """All documents in one training file, more than a scan's row limit; the last two are equal."""
+    folder = tmp_path_factory.mktemp("long")
+    ids = spark.range(250_003).select((F.col("id") * 8).alias("doc_id"))
+    ids.select("doc_id", F.least("doc_id", F.lit(2_000_008)).cast("string").alias("text"), F.lit("s").alias("source")).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_profile_has_all_rows(spark, long_file):
+    got, want = against_sql("profile_measurements", spark, long_file)
+    assert got == want and ("train_0.jsonl", "dataset.row_count", 250_003.0, 250_003) in got
+
+
+def test_lost_rows_are_an_error(spark, monkeypatch):
+    cut = spark.createDataFrame([("train_0.jsonl", 0, bytearray(b'{"prompt": "p"}\n{"prompt"'))], "path string, part long, content binary")
+    monkeypatch.setattr(scan_workloads, "_split_files", lambda *_: (cut, ["train_0.jsonl"]))
+    for name in ("profile_measurements", "scan_findings"):
+        with pytest.raises(RuntimeError, match="row_parse_failed"):
+            scan_workloads.QUERIES[name](spark, DIR)
