@@ -81,3 +81,35 @@ def test_lost_rows_are_an_error(spark, monkeypatch):
     for name in ("profile_measurements", "scan_findings"):
         with pytest.raises(RuntimeError, match="row_parse_failed"):
             scan_workloads.QUERIES[name](spark, DIR)
+
+
+def test_scan_has_all_rows(spark, long_file):
+    got, want = against_sql("scan_findings", spark, long_file)
+    assert got == want == [("contamination.duplicate_train_sample", "medium", 1)]
+
+
+def test_counts_are_those_of_the_findings(spark, monkeypatch):
+    same = [b'{"prompt": "p"}\n'] * 5
+    texts = {"train_1.jsonl": same + [b'{"prompt": "q", "id": 1}\n'], "train_2.jsonl": same[:2], "eval_1.jsonl": same[:4] + [b'{"prompt": "q", "id": 1}\n'], "train_eval.jsonl": same[:3]}
+    index = of_pieces(spark, texts, fields=rules.counted_fields([rules.RULES[i] for i in rules.COUNTED]))
+    chosen = [rules.RULES[i] for i in rules.COUNTED]
+    want: dict = {}
+    for f in rules.execute(index, chosen):
+        want[f["rule_id"]] = want.get(f["rule_id"], 0) + 1
+    assert {r["rule_id"]: r["findings"] for r in rules.counted(index, chosen).collect()} == want and want["contamination.train_eval_overlap"] == 7 * 4 + 7 * 3 + 3 * 4 + 1
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    """10^5 copies on both sides are 10^10 pairs."""
+    n = 100_000
+    side = lambda path, role: spark.range(n).select(F.lit(path).alias("path"), F.col("id").alias("row_num"), F.array(F.lit(role)).alias("roles"), F.lit("h").alias("row_hash"))
+    assert [r["findings"] for r in overlap.overlap_counts(side("t", "training_dataset").unionByName(side("e", "evaluation_dataset"))).collect()] == [n * n]
+
+
+def test_a_failing_rule_ends_the_count(spark, monkeypatch):
+    def fails(index):
+        raise ValueError("no")
+
+    monkeypatch.setitem(rules.COUNTED, "contamination.train_eval_overlap", (fails, ()))
+    with pytest.raises(ValueError):
+        scan_workloads.QUERIES["scan_findings"](spark, DIR)
