@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,10 +117,10 @@ def scan_text(spark, sf_dir):
     """Documents as Markdown files with mixed line ends and a byte order mark."""
     text = F.concat(F.lit("﻿"), F.replace("text", F.lit(" the "), F.lit("\r\n")))
     files = _read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), text.cast("binary").alias("content"))
-    read = read_artifacts(files.select("path", F.lit("markdown").alias("kind"), F.array(F.lit("rag_document")).alias("roles"), "content"), LIMITS)
-    texts = read.where("event = 'text'").select("path", F.size(F.split("payload", "\n", -1)).cast("long").alias("lines"), F.length("payload").cast("long").alias("n_chars"))
-    facts = read.where("event = 'document'").select("path", F.get_json_object("payload", "$.fingerprint").alias("fingerprint"))
-    return facts.join(texts, "path")
+    read = read_artifacts(files.select("path", F.lit("markdown").alias("kind"), F.array(F.lit("rag_document")).alias("roles"), "content"), replace(LIMITS, fields=frozenset()))
+    get = lambda name: F.get_json_object("payload", f"$.{name}")
+    # a file's facts, which an empty file, one without content and each of two by one path have too
+    return read.where("event = 'document'").select("path", get("fingerprint").alias("fingerprint"), (get("line_ends").cast("long") + 1).alias("lines"), get("n_chars").cast("long").alias("n_chars"))
 
 
 @_query(r"""WITH d AS (SELECT doc_id, encode(text) || CASE WHEN doc_id % 4 = 0 THEN '\x00\x00'::BLOB ELSE ''::BLOB END || CASE WHEN doc_id % 6 = 0 THEN '\xFF'::BLOB ELSE ''::BLOB END AS b FROM documents WHERE text IS NOT NULL)

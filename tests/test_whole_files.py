@@ -75,6 +75,11 @@ def test_profile_has_all_rows(spark, long_file):
     assert got == want and ("train_0.jsonl", "dataset.row_count", 250_003.0, 250_003) in got
 
 
+def test_scan_has_all_rows(spark, long_file):
+    got, want = against_sql("scan_findings", spark, long_file)
+    assert got == want == [("contamination.duplicate_train_sample", "medium", 1)]
+
+
 def test_lost_rows_are_an_error(spark, monkeypatch):
     cut = spark.createDataFrame([("train_0.jsonl", 0, bytearray(b'{"prompt": "p"}\n{"prompt"'))], "path string, part long, content binary")
     monkeypatch.setattr(scan_workloads, "_split_files", lambda *_: (cut, ["train_0.jsonl"]))
@@ -83,9 +88,13 @@ def test_lost_rows_are_an_error(spark, monkeypatch):
             scan_workloads.QUERIES[name](spark, DIR)
 
 
-def test_scan_has_all_rows(spark, long_file):
-    got, want = against_sql("scan_findings", spark, long_file)
-    assert got == want == [("contamination.duplicate_train_sample", "medium", 1)]
+def test_a_failing_rule_ends_the_count(spark, monkeypatch):
+    def fails(index):
+        raise ValueError("no")
+
+    monkeypatch.setitem(rules.COUNTED, "contamination.train_eval_overlap", (fails, ()))
+    with pytest.raises(ValueError):
+        scan_workloads.QUERIES["scan_findings"](spark, DIR)
 
 
 def test_counts_are_those_of_the_findings(spark, monkeypatch):
@@ -106,10 +115,8 @@ def test_overlaps_are_counted_without_pairs(spark):
     assert [r["findings"] for r in overlap.overlap_counts(side("t", "training_dataset").unionByName(side("e", "evaluation_dataset"))).collect()] == [n * n]
 
 
-def test_a_failing_rule_ends_the_count(spark, monkeypatch):
-    def fails(index):
-        raise ValueError("no")
-
-    monkeypatch.setitem(rules.COUNTED, "contamination.train_eval_overlap", (fails, ()))
-    with pytest.raises(ValueError):
-        scan_workloads.QUERIES["scan_findings"](spark, DIR)
+def test_odd_texts(spark, tmp_path):
+    rows = [(0, "a the b"), (1, ""), (2, None), (3, "x"), (3, "y the\r the z\n"), (4, "﻿q"), (5, "\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = against_sql("scan_text", spark, tmp_path)
+    assert got == want and len(got) == len(rows)
